@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secret_ledger, token_cache
+from . import mixing, ngram_jaccard, packing, secret_ledger, token_cache
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
     "op8_packing": packing.op8_packing,
     "op9_secret_scans": secret_ledger.op9_secret_scans,
     "op10_token_counts": token_cache.op10_token_counts,
 }
-SQL = {"op1_mixing": mixing.SQL, "op9_secret_scans": secret_ledger.SQL}
+SQL = {"op1_mixing": mixing.SQL, "op2_ngram_jaccard": ngram_jaccard.SQL, "op9_secret_scans": secret_ledger.SQL}
