@@ -2,7 +2,7 @@
 
 A k-mer of a text's code points is a closed syncmer where the least of its inner s-mers, by hash, is its first or its
 last. Whether a k-mer is chosen depends on itself alone, so an edit moves no anchor that it does not touch, unlike
-minimizers. A fingerprint lists anchors (hash and place) of the whole text. To keep
+minimizers. A fingerprint lists anchors (hash and first place) of the whole text. To keep
 it short whatever the length, only anchors are listed whose hash has z trailing zero bits, z being the least for which
 at most ``most`` remain; the rule depends on hashes alone, so two fingerprints compare at the larger z of both.
 
@@ -78,16 +78,13 @@ class Fingerprint:
         if not len(at):
             whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
             at, hashes = np.zeros(1, np.int64), np.frombuffer(whole, np.uint64)
-        zeros = _zeros(hashes)
-        counts = np.bincount(np.minimum(zeros, 63), minlength=64)[::-1].cumsum()[::-1]
-        level = int(np.argmax(counts <= most))
-        if not counts[level]:  # one hash many times: it alone stays
-            level = int(zeros.max())
+        hashes, first = np.unique(hashes, return_index=True)
+        at, zeros = at[first], _zeros(hashes)
+        counts = np.bincount(zeros, minlength=66)[::-1].cumsum()[::-1]
+        level = min(int(np.argmax(counts <= most)), int(zeros.max()))
         keep = zeros >= level
-        self.level, self.places, self.hashes, self.zeros = level, at[keep], hashes[keep], zeros[keep]
-        if len(self.places) > most:
-            self.hashes, first = np.unique(self.hashes, return_index=True)
-            self.places, self.zeros = self.places[first], self.zeros[first]
+        order = np.argsort(at[keep], kind="stable")
+        self.level, self.places, self.hashes, self.zeros = level, at[keep][order], hashes[keep][order], zeros[keep][order]
 
     def __str__(self) -> str:
         return f"{self.size}.{self.level}:" + ",".join(f"{h:016x}@{p}" for p, h in zip(self.places.tolist(), self.hashes.tolist()))
