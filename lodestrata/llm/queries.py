@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_jaccard, packing, perplexity, secret_ledger, syncmers, token_cache
+from . import crf_langid, mixing, ngram_jaccard, packing, perplexity, secret_ledger, syncmers, token_cache
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
     "op3_perplexity": perplexity.op3_perplexity,
     "op4_syncmers": syncmers.op4_syncmers,
+    "op5_crf_langid": crf_langid.op5_crf_langid,
     "op8_packing": packing.op8_packing,
     "op9_secret_scans": secret_ledger.op9_secret_scans,
     "op10_token_counts": token_cache.op10_token_counts,
