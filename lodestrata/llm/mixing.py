@@ -23,6 +23,8 @@ from . import common
 
 #: More sources than this are joined by shuffle, not broadcast.
 MAX_BROADCAST_SOURCES = 100_000
+#: Hex digits of a document's digest that name its group within the source.
+DIGITS = 4
 
 
 def plan_targets(
@@ -64,52 +66,57 @@ def mix(
     share: tuple[int, int] = (3, 2),
     cap: int = 2,
     seed: str = "mix-1",
+    keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target and copies, the times the mix takes it."""
-    sized = common.materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            common.word_count(F.col(text_col)).alias("size"),
-            seeded_order(F.col(id_col), seed).alias("place"),
-        ),
-        "mix-sizes",
-    ).withColumn("digits", F.substring("place", 1, 4))
-    groups = sized.groupBy("source", "digits").agg(F.sum("size").alias("words"))
-    groups = common.materialize(groups, "mix-groups")  # at most 65,536 rows a source
+    """The columns ``keep`` of every row of ``docs``, with mix_size, mix_source_size, mix_target and mix_copies, the times the mix takes it."""
+    rows = docs.select(
+        *keep,
+        F.col(source_col).alias("__source"),
+        common.word_count(F.col(text_col)).alias("__size"),
+        seeded_order(F.col(id_col), seed).alias("__place"),
+    ).withColumn("__digits", F.substring("__place", 1, DIGITS))
+    if text_col not in keep:  # narrow: the words are counted once
+        rows = common.materialize(rows, "mix-sizes")
+    groups = rows.groupBy(F.col("__source").alias("source"), F.col("__digits").alias("digits")).agg(F.sum("__size").alias("words"))
+    groups = common.materialize(groups, "mix-groups")  # at most 16**DIGITS rows a source
     plan = plan_targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     plan = common.materialize(plan, "mix-plan")
-    if plan.count() <= MAX_BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("digits").rowsBetween(Window.unboundedPreceding, 0))
     cuts = (
         groups.withColumn("upto", upto)
-        .join(plan.select(F.col("source").alias("p_source"), "budget"), same("source", "p_source"))
+        .join(plan.select(F.col("source").alias("p_source"), "budget"), F.col("source").eqNullSafe(F.col("p_source")))
         .where((F.col("upto") >= F.col("budget")) & (F.col("upto") - F.col("words") < F.col("budget")))
         .groupBy("source")
         .agg(F.min_by(F.struct("digits", (F.col("upto") - F.col("words")).alias("base")), "digits").alias("cut"))
+        .select(F.col("source").alias("c_source"), "cut")
     )
-    plan = common.materialize(
-        plan.alias("p")
-        .join(cuts.select(F.col("source").alias("c_source"), F.col("cut.digits").alias("cut"), F.col("cut.base").alias("base")), same("source", "c_source"), "left")
-        .drop("c_source"),
-        "mix-cuts",
+    plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").select(
+        F.col("source").alias("__p_source"), "source_size", "target", "whole", "budget", "cut.digits", "cut.base"
     )
+    plan = common.materialize(plan.select(*(F.col(c).alias(f"__{c.strip('_')}" if c != "digits" else "__cut") for c in plan.columns)), "mix-cuts")
     if plan.count() <= MAX_BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    rows = sized.join(plan.withColumnRenamed("source", "p_source"), same("source", "p_source")).drop("p_source")
-    at_cut = F.col("digits") == F.col("cut")
-    clear = rows.where(~F.coalesce(at_cut, F.lit(False))).withColumn("extra", F.coalesce(F.col("digits") < F.col("cut"), F.lit(False)).cast("long"))
-    order = Window.partitionBy("source").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    split = rows.where(at_cut).withColumn("extra", (2 * upto + F.col("size") <= 2 * F.col("budget")).cast("long"))
-    return clear.unionByName(split).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("int").alias("copies"))
+    rows = rows.join(plan, F.col("__source").eqNullSafe(F.col("__p_source")))
+    at_cut = F.coalesce(F.col("__digits") == F.col("__cut"), F.lit(False))
+    clear = rows.where(~at_cut).withColumn("__extra", F.coalesce(F.col("__digits") < F.col("__cut"), F.lit(False)).cast("long"))
+    order = Window.partitionBy("__source").orderBy("__place", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("__base") + F.coalesce(F.sum("__size").over(order), F.lit(0))
+    split = rows.where(at_cut).withColumn("__extra", (2 * upto + F.col("__size") <= 2 * F.col("__budget")).cast("long"))
+    copies = (F.col("__whole") + F.col("__extra")).cast("int")
+    names = F.col("__size").alias("mix_size"), F.col("__source_size").alias("mix_source_size"), F.col("__target").alias("mix_target"), copies.alias("mix_copies")
+    return clear.unionByName(split).select(*keep, *names)
+
+
+def repeat(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it. Columns stay."""
+    taken = mix(docs, keep=tuple(docs.columns), **options).where("mix_copies > 0")
+    return taken.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     out = mix(common.documents(spark, sf_dir))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    taken = F.col("mix_size") * F.col("mix_copies")
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
 SQL = r"""
