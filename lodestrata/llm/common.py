@@ -99,18 +99,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets at which words begin and end."""
+def word_bounds(raw: np.ndarray, between: np.ndarray = _SPACE_TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets at which words begin and end; ``between`` marks the bytes that part words."""
     space = np.empty(len(raw) + 2, bool)
     space[0] = space[-1] = True
-    space[1:-1] = _SPACE_TABLE[raw]
+    space[1:-1] = between[raw]
     edges = np.flatnonzero(space[1:] != space[:-1])
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(raw: np.ndarray, lower: bool = True) -> np.ndarray:
+def word_hashes(raw: np.ndarray, lower: bool = True, between: np.ndarray = _SPACE_TABLE) -> np.ndarray:
     """A 64-bit hash of each word of UTF-8 bytes, by one prefix sum modulo 2**64 over the text."""
-    starts, ends = word_bounds(raw)
+    starts, ends = word_bounds(raw, between)
     if not len(starts):
         return np.empty(0, np.uint64)
     _grow_powers(len(raw) + 1)

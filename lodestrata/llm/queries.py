@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crf_langid, fm_quality, mixing, ngram_jaccard, packing, perplexity, secret_ledger, syncmers, token_cache
+from . import crf_langid, fm_quality, license_scan, mixing, ngram_jaccard, packing, perplexity, secret_ledger, syncmers, token_cache
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_perplexity": perplexity.op3_perplexity,
     "op4_syncmers": syncmers.op4_syncmers,
     "op5_crf_langid": crf_langid.op5_crf_langid,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_fm_quality": fm_quality.op7_fm_quality,
     "op8_packing": packing.op8_packing,
     "op9_secret_scans": secret_ledger.op9_secret_scans,
