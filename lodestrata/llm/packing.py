@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -32,7 +33,7 @@ PIECE_SCHEMA = "doc_id {}, piece int, start long, length int, ids_crc32 long"
 #: Ranks are taken within so many groups of each length.
 RANK_GROUPS = 512
 #: A worker's memory of pre-tokens is emptied at this size.
-MEMORY = 400_000
+MEMORY = 800_000
 
 # --- token ids ---------------------------------------------------------------------------------
 
@@ -42,6 +43,16 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|
 _LONG = 1 << 20
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next from 256."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class _Encoder(dict):
     """Maps pre-tokens to their ids' bytes. Merges never cross a pre-token, so each is encoded once."""
 
@@ -60,7 +71,8 @@ class _Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
-        ids = self[word] = self.whole(word)
+        tokens = self.model.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))
+        ids = self[word] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return ids
 
     def whole(self, text: str) -> bytes:
