@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import record_queries, text_queries
+
 FLAGSHIP = "recommend_ladder"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES = {**text_queries.QUERIES, **record_queries.QUERIES}
+SQL = {**text_queries.SQL, **record_queries.SQL}
