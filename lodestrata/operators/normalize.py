@@ -142,7 +142,7 @@ def gate_captures(records: DataFrame) -> DataFrame:
         F.when(known("responsibilities").isNull(), F.lit("incomplete_ocr:missing_responsibilities")),
     ))
     reasons = F.when(down, F.concat("review_reasons", why)).otherwise(F.col("review_reasons"))
-    df = records.withColumn("verification_status", F.when(down, "needs_review").otherwise(F.col("verification_status"))).withColumn("review_reasons", reasons)
+    df = records.withColumns({"verification_status": F.when(down, "needs_review").otherwise(F.col("verification_status")), "review_reasons": reasons})
     silent = (F.col("pipeline") == "ocr_jd") & (F.col("verification_status") == "needs_review") & (F.size("review_reasons") == 0)
     return df.withColumn("review_reasons", unique(F.when(silent, F.array(F.lit("incomplete_ocr:evidence_requires_review"))).otherwise(F.col("review_reasons"))))
 
