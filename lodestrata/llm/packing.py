@@ -128,45 +128,36 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id
 def reduce_bins(counts: dict[int, int], capacity: int) -> tuple[Counter, dict[int, int]]:
     """Bins that some best packing has, as patterns with multiplicities, and the counts that remain.
 
-    From the longest piece down, with w the space beside it. A set beside it can be swapped for one piece that fits
+    For each length from the longest down, with w the space beside such a piece. A set beside it can be swapped for one piece that fits
     at least as tightly without making any other bin worse (Martello and Toth's dominance), so a bin is fixed where
     - nothing else fits into w: the piece stays alone;
     - a piece of exactly w exists: it dominates every set of total w or less;
     - no two pieces fit into w together: the longest that fits dominates every other choice.
     """
     left = {n: c for n, c in counts.items() if c}
-    lengths = sorted(left)
     fixed: Counter = Counter()
 
     def take(pattern: tuple[int, ...], times: int) -> None:
         fixed[pattern] += times
         for n in pattern:
             left[n] -= times
+            if not left[n]:
+                del left[n]
 
     for n in sorted(left, reverse=True):
-        while left.get(n):
-            while lengths and not left[lengths[0]]:
-                lengths.pop(0)
-            w, least = capacity - n, lengths[0]
-            if least > w or (least == n and left[n] == 1):
-                take((n,), 1 if least <= w else left[n])
-                continue
-            if left.get(w) and (w != n or left[n] > 1):
+        while n in left:
+            w = capacity - n
+            others = left | {n: left[n] - 1}  # what may lie beside one piece of n
+            two = list(itertools.islice((m for m in sorted(others) for _ in range(min(2, others[m]))), 2))
+            if not two or two[0] > w:
+                take((n,), left[n])
+            elif others.get(w):
                 take((n, w), left[n] // 2 if w == n else min(left[n], left[w]))
-                continue
-            second = least if left[least] - (least == n) > 1 else next((m for m in lengths[1:] if left[m] - (m == n)), None)
-            if second is not None and least + second <= w:
-                break
-            k = bisect_left(lengths, w + 1) - 1
-            while k >= 0 and not left[lengths[k]] - (lengths[k] == n):
-                k -= 1
-            if k < 0:
-                take((n,), 1)
-            elif lengths[k] == n:
-                take((n, n), 1)
+            elif len(two) == 1 or sum(two) > w:
+                k = max(m for m in others if m <= w and others[m])
+                take((n, k), left[n] // 2 if k == n else min(left[n], left[k]))
             else:
-                # one at a time where the partner runs out or the premise may change with it
-                take((n, lengths[k]), min(left[n], left[lengths[k]]) if lengths[k] != least else 1)
+                break
     return fixed, {n: c for n, c in left.items() if c}
 
 
