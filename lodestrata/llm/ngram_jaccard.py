@@ -5,8 +5,8 @@ m blocks and keeps in each the XOR of the hashes that fall there: a bit sketch i
 one block alone. So blocks in which two sketches differ, and with them the sketches' Hamming distance, bound the
 symmetric difference from below. Two sets of sizes a and b with Jaccard similarity of at least t differ in at most
 d = (1 - t) (a + b) / (1 + t) elements: at least m - d of the m blocks agree. By the pigeonhole principle the first
-d + 1 blocks of both, in one order over all blocks of all sketches, share a block. Fullest blocks come first, as they
-agree by chance least. A band holds sizes from 2**k to 2**(k + 1) - 1; a set near its upper end also takes part in
+d + 1 blocks of both, in one order over all blocks of all sketches, share a block. Blocks that many sets have, as texts
+with a common passage do, come last in this order, and the fullest first, as they agree by chance least. A band holds sizes from 2**k to 2**(k + 1) - 1; a set near its upper end also takes part in
 the next band, so every pair that can link meets in one.
 
 Sets that share a block are candidates, and all of them are settled, without all pairs of a group:
@@ -37,6 +37,10 @@ from . import common
 from .components import components
 
 
+#: Frequent keys go to the tasks: 8 bytes each, no more than this.
+MAX_USUAL = 1 << 19
+
+
 def shingle_set(text: str, n: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
     return np.unique(common.window_hashes(common.word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)), n))
@@ -52,11 +56,11 @@ def most_differences(size: int, percent: int) -> int:
 
 
 def _blocks(level: int, percent: int) -> int:
-    return -(-11 * (most_differences((2 << level) - 1, percent) + 1) // 10)
+    return -(-3 * (most_differences((2 << level) - 1, percent) + 1) // 2)
 
 
-def _band_keys(hashes: np.ndarray, level: int, percent: int, first: int) -> np.ndarray:
-    """Keys of the ``first`` fullest blocks of the sketch at a band."""
+def _band_keys(hashes: np.ndarray, level: int, percent: int, first: int | None, usual: np.ndarray | None) -> np.ndarray:
+    """Keys of the ``first`` blocks of the sketch at a band: unusual before usual ones, then the fullest; all for None."""
     m = _blocks(level, percent)
     block = ((hashes >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # hashes are sorted, so blocks are runs
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
@@ -65,23 +69,38 @@ def _band_keys(hashes: np.ndarray, level: int, percent: int, first: int) -> np.n
     parity[used] = np.bitwise_xor.reduceat(common.mix64(hashes), starts)
     full[used] = np.diff(np.r_[starts, len(hashes)])
     keys = common.mix64(parity ^ common.mix64(np.arange(m, dtype=np.uint64) + np.uint64((level + 1) << 40)))
-    return keys[np.lexsort((keys, -full))[:first]]
+    late = np.zeros(m, bool)
+    if usual is not None and len(usual):
+        late = usual[np.minimum(np.searchsorted(usual, keys), len(usual) - 1)] == keys
+    return keys[np.lexsort((keys, -full, late))[:first]]
 
 
-def sketch_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The keys under which a set is looked up; none where only equal sets can link."""
+def sketch_keys(hashes: np.ndarray, percent: int, usual: np.ndarray | None = None, every: bool = False) -> np.ndarray:
+    """The keys under which a set is looked up (``every`` for those of all blocks); none where only equal sets can link."""
     n = len(hashes)
     d = most_differences(n, percent)
     if not d:
         return np.empty(0, np.uint64)
-    level = n.bit_length() - 1
-    keys = _band_keys(hashes, level, percent, d + 1)
+    level, first = n.bit_length() - 1, None if every else d + 1
+    keys = _band_keys(hashes, level, percent, first, usual)
     if 100 * n // percent >= 2 << level:
-        keys = np.r_[keys, _band_keys(hashes, level + 1, percent, d + 1)]
+        keys = np.r_[keys, _band_keys(hashes, level + 1, percent, first, usual)]
     return keys
 
 
-def _features(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _usual_keys(docs: DataFrame, n: int, percent: int) -> np.ndarray:
+    """Sorted keys that several sets of one eighth of the rows have, the most frequent ``MAX_USUAL`` at most.
+
+    They only decide the order in which a set's blocks are looked up. Any order is right if it is the same for all
+    sets, so neither the sample nor the bound can lose a pair; they keep texts that merely share a passage apart.
+    """
+    eighth = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(n)), F.lit(8)) == 0)
+    counts = _features(eighth, n, percent, None, every=True).select("set_id", F.explode("keys").alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n"))
+    rows = counts.where("n >= 4").orderBy(F.desc("n"), "key").limit(MAX_USUAL).select("key").toArrow()
+    return np.sort(rows["key"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _features(docs: DataFrame, n: int, percent: int, usual: np.ndarray | None, every: bool = False) -> DataFrame:
     """doc_id, n_shingles, set_id (null if empty) and keys; a task gives the keys of equal sets once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -95,7 +114,7 @@ def _features(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 ids.append(set_id(hashes) if len(hashes) else None)
                 fresh = len(hashes) and ids[-1] not in seen
                 seen.add(ids[-1])
-                keys.append(sketch_keys(hashes, percent).view(np.int64) if fresh else none)
+                keys.append(sketch_keys(hashes, percent, usual, every).view(np.int64) if fresh else none)
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([none, *keys])))
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists], names=["doc_id", "n_shingles", "set_id", "keys"])
@@ -153,7 +172,7 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str
     Sets link where 100 * intersection >= percent * union; component_id is the smallest id reachable by links.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = common.materialize(_features(docs, n, percent), "jaccard-rows")
+    rows = common.materialize(_features(docs, n, percent, _usual_keys(docs, n, percent)), "jaccard-rows")
     classes = rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
     classes = common.materialize(classes, "jaccard-classes")
 
