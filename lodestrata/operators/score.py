@@ -144,8 +144,9 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     A generator over one row is a fence: Catalyst neither copies the expressions into every place that reads them
     nor pushes filters on them down, either of which multiplies a rubric's expression tree beyond any bound.
     """
-    fence = F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), fence)
+    fence = F.inline(F.array(F.struct(*(c.alias(f"__new_{name}") for name, c in columns.items()))))
+    old = [c for c in columns if c in df.columns]
+    return df.select("*", fence).drop(*old).withColumnsRenamed({f"__new_{name}": name for name in columns})
 
 
 def half_up(numerator: Column, denominator: Column) -> Column:

@@ -63,7 +63,13 @@ def fields(ddl: str) -> T.StructType:
 def conform(df: DataFrame, ddl: str) -> DataFrame:
     """The schema's columns in its order, NULL where ``df`` has none; other columns go last."""
     schema = fields(ddl)
-    have = set(df.columns)
-    wanted = [(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    have = {f.name: f.dataType for f in df.schema}
+
+    def column(f: T.StructField):
+        if have.get(f.name) == f.dataType:
+            return f"`{f.name}`"
+        return (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+
+    wanted = [column(f) for f in schema]
     names = {f.name for f in schema}
     return df.select(*wanted, *(F.col(f"`{c}`") for c in df.columns if c not in names))

@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "6g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # else every column call sends its call site to the JVM
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
