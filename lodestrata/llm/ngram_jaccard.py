@@ -11,10 +11,12 @@ the next band, so every pair that can link meets in one.
 
 Sets that share a block are candidates, and all of them are settled, without all pairs of a group:
 1. sets with equal shingles are one class from the start;
-2. each block's members are verified against its least member, exactly, by intersecting the sets;
-3. the links found so far give components; in a block whose other members still lie in several components, those
-   outside its largest component are verified against all members of other components, except where the metric
-   |d(u, p) - d(x, p)| <= d(u, x) for Jaccard distances to the least member p rules a link out.
+2. each block's members are verified against its least member p, exactly, by intersecting the sets;
+3. the links give components; in a block whose other members still lie in several, they are verified against the
+   member nearest to p, which in a group of copies is near their original;
+4. where several components remain, members outside the largest are verified against those of other components, except
+   where the Hamming distance of the whole sketches, the sizes, or the metric |d(u, p) - d(x, p)| <= d(u, x) for
+   Jaccard distances rules a link out.
 What was not compared then lies in one component, or cannot link. So components are exact (up to collisions of
 64-bit hashes) with no cap on blocks or partners.
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -88,6 +90,24 @@ def sketch_keys(hashes: np.ndarray, percent: int, usual: np.ndarray | None = Non
     return keys
 
 
+def parity_sketches(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set's parity sketch as longs, four bits or more an element, and the one of twice the size."""
+    longs = max(8, (2 << (len(hashes).bit_length() - 1)) // 16)
+    out = []
+    for size in (longs, 2 * longs):
+        bits = (common.mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(64 * size - 1)).astype(np.int64)
+        odd = (np.bincount(bits, minlength=64 * size) & 1).astype(np.uint8)
+        out.append(np.packbits(odd, bitorder="little").view(np.int64))
+    return out[0], out[1]
+
+
+def _hamming(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Differing bits of two sets' sketches of the same size, 0 where they have none."""
+    count = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, v: n + v)
+    m, n = F.size(a[0]), F.size(b[0])
+    return F.when(m == n, count(a[0], b[0])).when(n == 2 * m, count(a[1], b[0])).when(m == 2 * n, count(a[0], b[1])).otherwise(0)
+
+
 def _usual_keys(docs: DataFrame, n: int, percent: int) -> np.ndarray:
     """Sorted keys that several sets of one eighth of the rows have, the most frequent ``MAX_USUAL`` at most.
 
@@ -122,8 +142,8 @@ def _features(docs: DataFrame, n: int, percent: int, usual: np.ndarray | None, e
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, keys array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """set_id, size and sorted hashes of the sets of ``wanted`` (set_id, doc_id)."""
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, sketches: bool = False) -> DataFrame:
+    """set_id, size and sorted hashes, or sketches, of the sets of ``wanted`` (set_id, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,11 +153,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 if len(hashes) and set_id(hashes) == want:
                     ids.append(want)
                     sizes.append(len(hashes))
-                    sets.append(hashes.tobytes())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "size", "hashes"])
+                    sets.append(parity_sketches(hashes) if sketches else hashes.tobytes())
+            if sketches:
+                last = [pa.array([x[i] for x in sets], pa.list_(pa.int64())) for i in (0, 1)]
+            else:
+                last = [pa.array(sets, pa.binary())]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *last], names=["set_id", "size", *(("sketch", "double_sketch") if sketches else ("hashes",))])
 
     wanted = wanted.select(F.col("doc_id").alias("w_doc_id"), "set_id")
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc_id"))).select("text", "set_id").mapInArrow(run, "set_id long, size long, hashes binary")
+    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc_id"))).select("text", "set_id").mapInArrow(run, "set_id long, size long, " + ("sketch array<long>, double_sketch array<long>" if sketches else "hashes binary"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -166,6 +190,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
     return common.materialize(out, "jaccard-verified")
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of keys under which several components meet, with root, and main, the key's largest component."""
+    placed = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    sums = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mains = sums.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    return placed.join(mains, "key")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs of set_id and x_set_id, the lesser first."""
+    return pairs.select(F.least("set_id", "x_set_id").alias("a"), F.greatest("set_id", "x_set_id").alias("b")).distinct()
+
+
 def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, set_id (null if empty) and component_id.
 
@@ -183,21 +220,31 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str
     links = first.where("linked").select("a", "b")
     roots = common.materialize(components(links), "jaccard-roots")
 
-    # members that their block's least member did not settle
-    placed = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    sums = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    open_keys = sums.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    distances = first.select(F.col("a").alias("p"), F.col("b").alias("set_id"), "distance")
-    open_members = placed.join(open_keys, "key").join(distances, ["p", "set_id"], "left")  # no distance where sizes rule a link out
-    open_members = common.materialize(open_members, "jaccard-open")
-    minor = open_members.where("root <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("set_id", "root", "distance")))
+    # a member that is near the least one often is near all: it is each open block's second centre
+    placed = _open(members, roots).join(first.select(F.col("a").alias("p"), F.col("b").alias("set_id"), "distance"), ["p", "set_id"], "left")
+    placed = common.materialize(placed.select("key", "p", "set_id", "root", "distance"), "jaccard-open")  # no distance where sizes rule a link out
+    second = placed.groupBy("key").agg(F.min_by(F.struct("set_id", "root"), F.struct(F.coalesce("distance", F.lit(2.0)), "set_id")).alias("c"))
+    second = placed.join(second.select("key", F.col("c.set_id").alias("c"), F.col("c.root").alias("c_root")), "key").where("root <> c_root")
+    second = _ordered(second.select("set_id", F.col("c").alias("x_set_id"))).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = _verified(second, docs, classes, n, percent)
+    links = common.materialize(links.union(second.where("linked").select("a", "b")), "jaccard-links")
+    roots = common.materialize(components(links), "jaccard-roots")
+
+    # what two centres did not settle meets pair by pair, under a bound from the whole sketches
+    left = _open(placed.select("key", "p", "set_id", "distance"), roots)
+    sketches = common.materialize(_sets(docs, classes.join(left.select("set_id").distinct(), "set_id"), n, sketches=True), "jaccard-sketches")
+    left = common.materialize(left.join(sketches, "set_id"), "jaccard-left")
+    minor = left.where("root <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("set_id", "root", "distance", "size", "sketch", "double_sketch")))
     reach = (100 - percent) / 100 + 1e-9
     near = F.coalesce(F.abs(F.col("distance") - F.col("x_distance")) <= reach, F.lit(True))
-    met = open_members.join(minor, "key").where((F.col("root") != F.col("x_root")) & near)
-    more = met.select(F.least("set_id", "x_set_id").alias("a"), F.greatest("set_id", "x_set_id").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verified(more, docs, classes, n, percent).where("linked").select("a", "b")
-    if not second.isEmpty():
-        roots = common.materialize(components(links.union(second)), "jaccard-roots")
+    sizes = 100 * F.least("size", "x_size") >= percent * F.greatest("size", "x_size")
+    apart = _hamming((F.col("sketch"), F.col("double_sketch")), (F.col("x_sketch"), F.col("x_double_sketch")))
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("x_size"))
+    met = left.join(minor, (left["key"] == minor["key"]) & (F.col("root") != F.col("x_root")) & sizes & near & close)
+    known = first.select("a", "b").union(second.select("a", "b"))
+    third = _verified(_ordered(met).join(known, ["a", "b"], "left_anti"), docs, classes, n, percent).where("linked").select("a", "b")
+    if not third.isEmpty():
+        roots = common.materialize(components(links.union(third)), "jaccard-roots")
 
     named = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
