@@ -216,6 +216,7 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str
     keys = rows.select("set_id", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("set_id").alias("p"), F.max("set_id").alias("last")).where("p <> last").select("key", "p")
     members = common.materialize(keys.join(least, "key").where("set_id <> p").distinct(), "jaccard-members")
+    common.settle(docs.sparkSession)
     first = _verified(members.select(F.col("p").alias("a"), F.col("set_id").alias("b")).distinct(), docs, classes, n, percent)
     links = first.where("linked").select("a", "b")
     roots = common.materialize(components(links), "jaccard-roots")
@@ -259,6 +260,7 @@ def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     Of rows that repeat that id one stays, the first by text; empty texts link with nothing and stay.
     """
     classes = jaccard_join(docs, n=n, percent=percent)
+    common.settle(docs.sparkSession)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
     order = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text")
