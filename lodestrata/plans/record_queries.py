@@ -81,7 +81,7 @@ def evidence_accumulate(spark, d):
 
 
 def pair_fold_merge(spark, d):
-    e = _t(spark, d, "events").where("event_id < 4 * user_id + 400")
+    e = _t(spark, d, "events")
     url = F.concat(F.lit(f"https://www.{P.host}/job_detail/"), F.col("user_id").cast("string"), F.lit(".html"))
     base = e.select(
         F.col("event_id").alias("ord"), url.alias("url"), F.concat(F.col("event_type"), F.lit(P.role)).alias("title"), F.lit(P.city).alias("city"),

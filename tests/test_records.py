@@ -1,10 +1,12 @@
 from dataclasses import replace
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.config import CONSIDER, INSUFFICIENT, REJECT, SHANGHAI_PM, TOP, validate_profile
 from lodestrata.operators import merge, metrics, normalize, ocr, pair_fold, score, validate, workbench
+from lodestrata.plans import record_queries
 from lodestrata.schema import INDEXED, RECORD, RESULT, conform, fields
 
 URL = "https://www.zhipin.com/job_detail/{}.html"
@@ -119,6 +121,31 @@ def test_pair_fold_matrix(spark):
     assert got["alone"]["recommendation"] == TOP and list(got) == sorted(got)
 
 
+def test_pair_fold_query_folds_every_event(spark, tmp_path):
+    """Late events and a hot user's count: the query against a fold of each user's records, one after another."""
+    kinds, start = ("view", "click", "purchase"), datetime(2024, 1, 1)
+    events = [(i, start + timedelta(hours=(i * 37) % 1500), 7 if i % 3 else i % 11, kinds[i % 7 % 3], float(i % 50)) for i in range(0, 9000, 15)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    rows = [
+        {
+            "ord": i, "url": URL.format(user), "title": kind + SHANGHAI_PM.role, "city": SHANGHAI_PM.city, "company": f"公司{i % 3}" if value > 20 else None, "collected_at": str(ts),
+            "job_description_raw": "产品规划 增长 交易 上线 A/B 用户研究", "responsibilities": "增长 转化 交易 上线" if value > 5 else None, "pipeline": "public_index" if kind == "view" else "ocr_jd",
+            "verification_status": "unverified_index_snapshot" if kind == "view" else "captured_jd", "capture_status": "captured",
+        }
+        for i, ts, user, kind, value in events
+    ]
+    contract, bad = normalize.to_contract(frame(spark, rows))
+    assert bad.count() == 0
+    want = {}
+    for r in sorted((pair_fold._plain(r) for r in normalize.gate_captures(contract).collect()), key=lambda r: (r["pipeline"] != "public_index", r.pop("ord"))):
+        want[r["id"]] = pair_fold.merge_pair(want[r["id"]], r) if r["id"] in want else pair_fold.score_one(r, SHANGHAI_PM)
+    got = {r["id"]: r for r in record_queries.pair_fold_merge(spark, str(tmp_path)).collect()}
+    assert sum(r["n_evidence"] for r in got.values()) == len(events) and set(got) == set(want) and len(got) > 5
+    for i, w in want.items():
+        assert {c: got[i][c] for c in ("title", "company", "recommendation", "match_score", "evidence_confidence", "first_seen_at")} == {c: w[c] for c in ("title", "company", "recommendation", "match_score", "evidence_confidence", "first_seen_at")}
+        assert got[i]["n_evidence"] == len(w["evidence_source"]) and got[i]["review_reasons"] == ",".join(w["review_reasons"])
+
+
 def test_gate_downgrades_with_reasons(spark):
     row = normalize.gate_captures(normalize.to_contract(frame(spark, [record(capture_status="detail_initial", responsibilities="unknown")]), "ocr_jd")[0]).first()
     assert row["verification_status"] == "needs_review"
