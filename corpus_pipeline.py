@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (shingles of five words, similarity of 0.8) the smallest id stays."""
+    """Of each group of near copies (shingles of five words, similarity of 0.8) one row stays, of the smallest id."""
     return ngram_jaccard.keep_one(docs, n=5, percent=80)
 
 

@@ -255,16 +255,20 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` (with doc_id, text) without near copies: of each component the row with the smallest id stays.
+    """``docs`` (with doc_id, text) without near copies: of each component one row stays, whatever ids others have.
 
-    Of rows that repeat that id one stays, the first by text; empty texts link with nothing and stay.
+    It is one with the smallest id (null comes last), of several the first by the digest of id and text. Rows that link
+    with nothing stay, also under a repeated or null id, and all rows without words; of rows equal in id and text one.
     """
-    classes = jaccard_join(docs, n=n, percent=percent)
+    name = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("__key", F.md5(name))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
+    rows = jaccard_join(keyed.select(row.alias("doc_id"), "text"), n=n, percent=percent)
     common.settle(docs.sparkSession)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text")
-    return out.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    kept = rows.where(F.col("set_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id.key").alias("__key")).distinct()
+    worded = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
+    once = keyed.where(worded).withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))).where("__nth = 1")
+    return once.join(kept, "__key", "left_semi").select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

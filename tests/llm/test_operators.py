@@ -143,6 +143,22 @@ def test_jaccard_join_finds_chains_and_clouds(spark, empty):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {r["component_id"] for r in got}
 
 
+def test_keep_one_looks_at_texts_not_ids(spark):
+    """Repeated and null ids: unlinked texts all stay, of linked ones a row stays, empty texts stay."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [prose(rng, 60, words) for _ in range(12)]
+    alone = [(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (8, texts[5])]
+    copies = [(1, texts[6]), (9, texts[6]), (9, texts[7]), (2, texts[7] + " more"), (None, texts[8]), (None, texts[8]), (5, texts[9] + " x"), (5, texts[9])]
+    blank = [(7, ""), (None, None), (None, " \n"), (7, "")]
+    df = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(alone + copies + blank)], "doc_id long, text string, source string")
+    out = ngram_jaccard.keep_one(df)
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    got[5] = got.pop((5, texts[9] + " x"), 0) + got.pop((5, texts[9]), 0)  # either may stay
+    assert out.columns == df.columns
+    assert got == Counter([*alone, (1, texts[6]), (2, texts[7] + " more"), (None, texts[8]), 5, *blank])
+
+
 @given(st.integers(6, 400), st.integers(0, 10**6))
 @settings(max_examples=60, deadline=None)
 def test_sets_that_can_link_share_a_key(size, seed):
