@@ -2,12 +2,14 @@
 
 A k-mer of a text's code points is a closed syncmer where the least of its inner s-mers, by hash, is its first or its
 last. Whether a k-mer is chosen depends on itself alone, so an edit moves no anchor that it does not touch, unlike
-minimizers. A fingerprint lists anchors (hash and first place) of the whole text. To keep
-it short whatever the length, only anchors are listed whose hash has z trailing zero bits, z being the least for which
-at most ``most`` remain; the rule depends on hashes alone, so two fingerprints compare at the larger z of both.
+minimizers. A fingerprint lists all anchors (hash and first place) of the whole text, so its length grows with the
+text's. A caller that needs short ones gives ``most``: then only anchors are listed whose hash has z trailing zero bits,
+z being the least for which at most ``most`` remain; the rule depends on hashes alone, so two fingerprints compare at the
+larger z of both.
 
-Likeness is positional: it is the share of both texts' anchors at the common z that have a partner in the other text
-with the same hash at about the same place.
+Likeness is the share of both texts' anchors at the common z that have a partner of the same hash in the other text, in
+the same order: the longest run of partners whose places rise in both. So text put in or taken out costs only the
+anchors that it touches, wherever it stands.
 
 ``compare_next`` needs each document's successor in descending order of ids without sorting the table into one task.
 Cut points from approximate quantiles deal rows to parts by id, a few for each shuffle partition; the first row of each part is sent to the part before
@@ -21,6 +23,7 @@ other by text; one row is its own successor; an empty table gives an empty resul
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 K, S = 19, 8  # S a power of two
+#: Characters of fingerprints that a task holds before it sends them on.
+SENT = 8_000_000
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -71,7 +76,7 @@ class Fingerprint:
 
     __slots__ = ("level", "places", "hashes", "zeros", "size")
 
-    def __init__(self, text: str, most: int = 96):
+    def __init__(self, text: str, most: int | None = None):
         points = _points(text)
         self.size = len(points)
         at, hashes = closed_syncmers(points)
@@ -81,7 +86,7 @@ class Fingerprint:
         hashes, first = np.unique(hashes, return_index=True)
         at, zeros = at[first], _zeros(hashes)
         counts = np.bincount(zeros, minlength=66)[::-1].cumsum()[::-1]
-        level = min(int(np.argmax(counts <= most)), int(zeros.max()))
+        level = 0 if most is None else min(int(np.argmax(counts <= most)), int(zeros.max()))
         keep = zeros >= level
         order = np.argsort(at[keep], kind="stable")
         self.level, self.places, self.hashes, self.zeros = level, at[keep][order], hashes[keep][order], zeros[keep][order]
@@ -89,8 +94,8 @@ class Fingerprint:
     def __str__(self) -> str:
         return f"{self.size}.{self.level}:" + ",".join(f"{h:016x}@{p}" for p, h in zip(self.places.tolist(), self.hashes.tolist()))
 
-    def likeness(self, other: Fingerprint, slack: int = 64) -> float:
-        """Share of anchors with a partner of the same hash at about the same place, in 0..1."""
+    def likeness(self, other: Fingerprint) -> float:
+        """Share of anchors with a partner of the same hash in the same order, in 0..1."""
         level = max(self.level, other.level)
         sides = []
         for x in (self, other):
@@ -99,8 +104,21 @@ class Fingerprint:
         (ha, pa_), (hb, pb) = sides
         if not len(ha) or not len(hb):
             return 0.0
-        met = (ha[:, None] == hb) & (np.abs(pa_[:, None] - pb) <= slack)  # at most `most` by `most`
-        return int(np.count_nonzero(met.any(0)) + np.count_nonzero(met.any(1))) / (len(ha) + len(hb))
+        _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+        return 2 * longest_rise(pb[ib[np.argsort(pa_[ia], kind="stable")]]) / (len(ha) + len(hb))
+
+
+def longest_rise(x: np.ndarray) -> int:
+    """Length of the longest strictly rising subsequence."""
+    if (x[1:] > x[:-1]).all():
+        return len(x)
+    ends: list[int] = []  # the least end of a rise of each length
+    for v in x.tolist():
+        if not ends or v > ends[-1]:
+            ends.append(v)
+        else:
+            ends[bisect_left(ends, v)] = v
+    return len(ends)
 
 
 def edited(text: str, other: str) -> str:
@@ -142,14 +160,14 @@ def _with_successors(docs: DataFrame) -> DataFrame:
     return dealt.repartition(width, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
 
 
-def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 96) -> DataFrame:
+def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
     """Per row: doc_id (a long), n_chars, the text edited with its successor, both fingerprints, and likenesses."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # part, id, text and fingerprint of the row that waits for its successor
+        out, held = [], 0
         for b in batches:
-            out = []
             for i, text, part, guest in zip(*(c.to_pylist() for c in b.columns)):
                 if last is not None and last[0] != part:
                     last = None
@@ -162,10 +180,17 @@ def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     new_mark = before_mark if new == before_text else Fingerprint(new, most)
                     digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
                     out.append((before_id, len(before_text), digest, str(before_mark), str(new_mark), before_mark.likeness(new_mark), before_mark.likeness(mark)))
+                    held += len(out[-1][3]) + len(out[-1][4])
+                    if held > SENT:
+                        yield send(out)
+                        out, held = [], 0
                 last = None if guest else (part, i, text, mark)
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+        yield send(out)
+
+    def send(out: list[tuple]) -> pa.RecordBatch:
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        return pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return _with_successors(narrow).mapInArrow(run, schema)

@@ -250,6 +250,34 @@ def test_compare_next(docs, rows, empty):
     assert syncmers.compare_next(empty).count() == 0
 
 
+def test_likeness_bears_shifts_and_sees_small_edits():
+    """A heading before a copy, a word replaced in a long text, and a passage shared by long texts."""
+    rng = random.Random(5)
+    words = [f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{i}" for i in range(3000)]
+    text, other = prose(rng, 400, words), prose(rng, 20_000, words)
+    a = syncmers.Fingerprint(text)
+    assert a.likeness(syncmers.Fingerprint(prose(rng, 40, words) + "\n" + text)) > 0.85
+    assert a.likeness(syncmers.Fingerprint(text[:200] + text[400:])) > 0.85
+    at, hashes = syncmers.closed_syncmers(syncmers._points(other))
+    mark = syncmers.Fingerprint(other)
+    assert len(other) > 100_000 and set(mark.hashes.tolist()) == set(hashes.tolist()) and str(mark).count("@") == len(set(hashes.tolist()))
+    for i in range(1000, 100_000, 9000):  # each replaced passage shows
+        assert str(syncmers.Fingerprint(other[:i] + "zzzzzzzzzzzzzzzzzzzz" + other[i + 20 :])) != str(mark)
+    far = prose(rng, 5000, words)
+    assert mark.likeness(syncmers.Fingerprint(far[:9000] + other[50_000:51_000] + far[9000:])) > 0.005
+    shuffled = text.split()
+    rng.shuffle(shuffled)
+    assert a.likeness(syncmers.Fingerprint(" ".join(shuffled))) < 0.2
+
+
+@given(st.lists(st.integers(0, 30), unique=True, max_size=9))
+def test_longest_rise(x):
+    from itertools import combinations
+
+    best = max((n for n in range(len(x) + 1) if any(list(c) == sorted(c) for c in combinations(x, n))), default=0)
+    assert syncmers.longest_rise(np.array(x, np.int64)) == best
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 
