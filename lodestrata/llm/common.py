@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,30 +41,90 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/lodestrata/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What runs inside drops its shuffle files when it ends, not when the driver next collects its garbage.
+
+    Only for actions on plans that nothing runs again: their results are in the shared folder or on the driver.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives a lost executor."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with swept(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are done; it acts on the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path of any file system that Spark reads, if it is there."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+class Scratch:
+    """The tables that one call of an operator writes to the shared folder.
+
+    ``drop`` deletes a table when its last reader has run; on leaving, all go but those that ``keep`` named, which the
+    returned DataFrame still reads. Those stay until ``release``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*(df for df, _ in list(self._paths.values())))
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        with swept(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = out, path
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        del self._paths[id(df)]
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            if id(df) in self._paths:
+                delete(self.spark, self._paths.pop(id(df))[1])
 
 
 def release(spark: SparkSession) -> None:
     """Delete everything this library wrote to the shared folder in earlier calls."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/lodestrata")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{scratch_root(spark)}/lodestrata")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free(taken: Iterable[str], *names: str) -> tuple[str, ...]:
+    """The names, lengthened where one is taken, so that helper columns clash with no column of the input."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null: each word becomes one mark, white space goes."""
     marks = F.translate(F.regexp_replace(text, WORD, "x"), SPACES, "")

@@ -26,18 +26,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     """Of (a, b), both long: node and root, the smallest node of its component, for every node with an edge.
 
-    Each round writes the edges to the shared folder. Rounds grow with the logarithm of the longest chain.
+    Each round writes the edges to the shared folder and deletes those of the round before; the result is a table of
+    ``scratch``. Rounds grow with the logarithm of the longest chain.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = common.materialize(now, "edges")
+    now = scratch.table(now, "edges")
     seen = None
     while True:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if sums == seen or not sums[0]:
             break
-        seen = sums
-        now = common.materialize(_small_star(_large_star(now)), "edges")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
+        seen, last = sums, now
+        now = scratch.table(_small_star(_large_star(now)), "edges")
+        scratch.drop(last)
+    out = scratch.table(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct(), "roots")
+    scratch.drop(now)
+    return out

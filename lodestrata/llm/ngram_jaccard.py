@@ -11,14 +11,17 @@ the next band, so every pair that can link meets in one.
 
 Sets that share a block are candidates, and all of them are settled, without all pairs of a group:
 1. sets with equal shingles are one class from the start;
-2. each block's members are verified against its least member p, exactly, by intersecting the sets;
-3. the links give components; in a block whose other members still lie in several, they are verified against the
-   member nearest to p, which in a group of copies is near their original;
-4. where several components remain, members outside the largest are verified against those of other components, except
-   where the Hamming distance of the whole sketches, the sizes, or the metric |d(u, p) - d(x, p)| <= d(u, x) for
-   Jaccard distances rules a link out.
-What was not compared then lies in one component, or cannot link. So components are exact (up to collisions of
-64-bit hashes) with no cap on blocks or partners.
+2. each block's members meet its least member p. A pair is verified, by intersecting the sets, only if its sizes and
+   the Hamming distance of its whole sketches, a second lower bound, allow a link;
+3. the links give components; in a block whose members still lie in several, they meet the member nearest to p too,
+   which in a group of copies is near their original;
+4. the sets of blocks that are open even then meet by their rarest shingles. Counted among these sets alone, of a set
+   of n shingles the first n - ceil(t n) + 1 in the order of count hold one that a linked set holds too. A passage that
+   the sets of a block share is common among them and so comes last; no two sets meet for it. Pairs of different
+   components take the same two bounds and the verification.
+What was not compared then lies in one component, or cannot link. So components are exact with no cap on blocks or
+partners. A set is known by 64 bits of its digest and a check of 64 more; sets that agree in the first alone are told
+apart by the second.
 
 Edge cases: null text and text without words have the empty set and link with nothing; with fewer words than n the
 whole sequence is the one shingle; equal texts and repeated rows are one class; an empty table gives an empty result;
@@ -48,8 +51,11 @@ def shingle_set(text: str, n: int) -> np.ndarray:
     return np.unique(common.window_hashes(common.word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)), n))
 
 
-def set_id(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(hashes: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The set's id, of so many bits, and its check."""
+    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    first, check = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+    return first >> (64 - bits), check
 
 
 def most_differences(size: int, percent: int) -> int:
@@ -108,167 +114,216 @@ def _hamming(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return F.when(m == n, count(a[0], b[0])).when(n == 2 * m, count(a[1], b[0])).when(m == 2 * n, count(a[0], b[1])).otherwise(0)
 
 
-def _usual_keys(docs: DataFrame, n: int, percent: int) -> np.ndarray:
+def _usual_keys(docs: DataFrame, n: int, percent: int, scratch: common.Scratch) -> np.ndarray:
     """Sorted keys that several sets of one eighth of the rows have, the most frequent ``MAX_USUAL`` at most.
 
     They only decide the order in which a set's blocks are looked up. Any order is right if it is the same for all
     sets, so neither the sample nor the bound can lose a pair; they keep texts that merely share a passage apart.
     """
     eighth = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(n)), F.lit(8)) == 0)
-    counts = _features(eighth, n, percent, None, every=True).select("set_id", F.explode("keys").alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n"))
-    rows = counts.where("n >= 4").orderBy(F.desc("n"), "key").limit(MAX_USUAL).select("key").toArrow()
-    return np.sort(rows["key"].to_numpy().astype(np.int64).view(np.uint64))
-
-
-def _features(docs: DataFrame, n: int, percent: int, usual: np.ndarray | None, every: bool = False) -> DataFrame:
-    """doc_id, n_shingles, set_id (null if empty) and keys; a task gives the keys of equal sets once."""
+    keys = _features(eighth, n, percent, None, every=True).select("set_id", F.explode("keys").alias("key")).distinct()
+    counts = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n")).where("n >= 4"), "jaccard-usual")
+    sizes = sorted(((r["n"], r["count"]) for r in counts.groupBy("n").count().collect()), reverse=True)  # a row for each different count
+    least, total = None, 0
+    for count, of_it in sizes:
+        total += of_it
+        if total > MAX_USUAL:
+            break
+        least = count
+    usual = np.empty(0, np.uint64)
+    if least is not None:
+        rows = counts.where(F.col("n") >= least).select("key").toArrow()
+        usual = np.sort(rows["key"].to_numpy().astype(np.int64).view(np.uint64))
+    scratch.drop(counts)
+    return usual
+
+
+def _features(docs: DataFrame, n: int, percent: int, usual: np.ndarray | None, every: bool = False, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, set_id and check (null if empty) and keys; a task gives the keys of equal sets once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             sizes, ids, keys, none = [], [], [], np.empty(0, np.int64)
             for text in b.column(1):
                 hashes = shingle_set(text.as_py() or "", n)
                 sizes.append(len(hashes))
-                ids.append(set_id(hashes) if len(hashes) else None)
+                ids.append(set_id(hashes, bits) if len(hashes) else (None, None))
                 fresh = len(hashes) and ids[-1] not in seen
                 seen.add(ids[-1])
                 keys.append(sketch_keys(hashes, percent, usual, every).view(np.int64) if fresh else none)
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([none, *keys])))
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists], names=["doc_id", "n_shingles", "set_id", "keys"])
+            columns = [b.column(0), pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), lists]
+            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "set_id", "check", "keys"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, check long, keys array<long>")
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, keys array<long>")
 
+def _told_apart(rows: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ids that differ wherever the checks do, and the classes: set_id, check, doc_id, size, first_id (the id as digested)."""
+    sets = rows.where(F.col("set_id").isNotNull()).groupBy(F.col("set_id").alias("first_id"), "check").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
+    sets = scratch.table(sets, "jaccard-sets-by-id")
+    twice = sets.groupBy("first_id").agg(F.min("check").alias("lead"), F.max("check").alias("last")).where("lead <> last").select("first_id", "lead")
+    moved = sets.join(twice, "first_id").where("check <> lead").select(F.col("first_id").alias("m_id"), F.col("check").alias("m_check"), F.xxhash64("first_id", "check", F.lit(1)).alias("moved"))
+    moved = scratch.table(moved, "jaccard-moved")  # a pair of ids in 2**64: hardly ever a row
+    if not moved.isEmpty():
+        rows = rows.join(moved, (F.col("set_id") == F.col("m_id")) & (F.col("check") == F.col("m_check")), "left")
+        rows = rows.withColumn("set_id", F.coalesce("moved", "set_id")).drop("m_id", "m_check", "moved")
+        sets = sets.join(moved, (F.col("first_id") == F.col("m_id")) & (F.col("check") == F.col("m_check")), "left")
+    else:
+        sets = sets.withColumn("moved", F.lit(None).cast("long"))
+    return rows, sets.select(F.coalesce("moved", "first_id").alias("set_id"), "check", "doc_id", "size", "first_id")
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int, sketches: bool = False) -> DataFrame:
-    """set_id, size and sorted hashes, or sketches, of the sets of ``wanted`` (set_id, doc_id)."""
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, bits: int) -> DataFrame:
+    """set_id, size, hashes and sketches of the sets of ``wanted``, classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, sets = [], [], []
-            for text, want in zip(b.column(0), b.column(1).to_pylist()):
+            ids, sets = [], []
+            for text, name, first, check in zip(b.column(0), *(b.column(i).to_pylist() for i in (1, 2, 3))):
                 hashes = shingle_set(text.as_py() or "", n)
-                if len(hashes) and set_id(hashes) == want:
-                    ids.append(want)
-                    sizes.append(len(hashes))
-                    sets.append(parity_sketches(hashes) if sketches else hashes.tobytes())
-            if sketches:
-                last = [pa.array([x[i] for x in sets], pa.list_(pa.int64())) for i in (0, 1)]
-            else:
-                last = [pa.array(sets, pa.binary())]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *last], names=["set_id", "size", *(("sketch", "double_sketch") if sketches else ("hashes",))])
-
-    wanted = wanted.select(F.col("doc_id").alias("w_doc_id"), "set_id")
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc_id"))).select("text", "set_id").mapInArrow(run, "set_id long, size long, " + ("sketch array<long>, double_sketch array<long>" if sketches else "hashes binary"))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) of sets: those whose sizes allow a link, with the size of both sets and of their intersection."""
-    for side in "ab":
-        pairs = pairs.join(classes.select(F.col("set_id").alias(side), F.col("size").alias(f"size_{side}")), side)
+                if len(hashes) and set_id(hashes, bits) == (first, check):
+                    ids.append(name)
+                    sets.append(hashes)
+            sketches = [parity_sketches(x) for x in sets]
+            lists = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (sets, [s[0] for s in sketches], [s[1] for s in sketches])]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *lists], names=["set_id", "size", "hashes", "sketch", "double_sketch"])
+
+    wanted = wanted.select(F.col("doc_id").alias("w_doc_id"), "set_id", "first_id", "check")
+    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc_id"))).select("text", "set_id", "first_id", "check")
+    found = found.mapInArrow(run, "set_id long, size long, hashes array<long>, sketch array<long>, double_sketch array<long>")
+    return found.dropDuplicates(["set_id"])  # rows may share an id and a text
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame:
+    """Of distinct pairs (a, b) of sets, those that link, with the Jaccard distance.
+
+    Sizes are compared first, then the sketches, then the sets of the pairs that are left. The side that many pairs
+    have in common, a, is joined last, so that no shuffle holds its set once for each pair.
+    """
+    reach = F.col("size_a") + F.col("size_b")
+    for side in "ba":
+        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("size").alias(f"size_{side}")), side)
     pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    pairs = common.materialize(pairs, "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    sets = common.materialize(_sets(docs, classes.join(wanted, "set_id"), n), "jaccard-sets").select("set_id", "hashes")
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
+    for side in "ba":
+        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("double_sketch").alias(f"double_{side}")), side)
+    apart = _hamming(*((F.col(f"sketch_{s}"), F.col(f"double_{s}")) for s in "ab"))
+    pairs = pairs.where((100 + percent) * apart <= (100 - percent) * reach).select("a", "b", "size_a", "size_b")
+    pairs = scratch.table(pairs, "jaccard-pairs")
+    both = pairs
+    for side in "ba":
+        both = both.join(sets.select(F.col("set_id").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             common_sizes = []
             for x, y in zip(b.column(4), b.column(5)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common_sizes.append(int(np.count_nonzero(both[1:] == both[:-1])))
+                x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                common_sizes.append(int(np.count_nonzero(y[at] == x)))
             yield pa.record_batch([*b.columns[:4], pa.array(common_sizes, pa.int64())], names=["a", "b", "size_a", "size_b", "both"])
 
-    out = pairs.select("a", "b", "size_a", "size_b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long, size_a long, size_b long, both long")
-    union = F.col("size_a") + F.col("size_b") - F.col("both")
-    out = out.distinct().withColumn("linked", 100 * F.col("both") >= percent * union).withColumn("distance", 1 - F.col("both") / union)
-    return common.materialize(out, "jaccard-verified")
+    out = both.select("a", "b", "size_a", "size_b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long, size_a long, size_b long, both long")
+    union = reach - F.col("both")
+    out = scratch.table(out.where(100 * F.col("both") >= percent * union).select("a", "b", (1 - F.col("both") / union).alias("distance")), "jaccard-links")
+    scratch.drop(pairs)
+    return out
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of keys under which several components meet, with root, and main, the key's largest component."""
+    """Members, with root, of keys under which several components meet."""
     placed = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    sums = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mains = sums.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    return placed.join(mains, "key")
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return placed.join(several, "key", "left_semi")
+
+
+def _ordered(x: str, y: str) -> tuple:
+    """The lesser as a, the other as b."""
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs of set_id and x_set_id, the lesser first."""
-    return pairs.select(F.least("set_id", "x_set_id").alias("a"), F.greatest("set_id", "x_set_id").alias("b")).distinct()
+def _meet_by_rarest(placed: DataFrame, sets: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame:
+    """Of (set_id, root): pairs of different roots that share one of the rarest shingles of both."""
+    items = placed.join(sets.select("set_id", "size", "hashes"), "set_id").select("set_id", "root", "size", F.explode("hashes").alias("item"))
+    counts = scratch.table(items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-items")
+    nth = Window.partitionBy("set_id").orderBy(F.coalesce("n", F.lit(1)), "item")  # a set's own shingles
+    first = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100 - 1e-9) + 1
+    rare = items.join(counts, "item", "left").withColumn("nth", F.row_number().over(nth)).where((F.col("nth") <= first) & F.col("n").isNotNull())
+    rare = scratch.table(rare.select("item", "set_id", "root", "size"), "jaccard-rare")
+    other = rare.select("item", *(F.col(c).alias(f"x_{c}") for c in ("set_id", "root", "size")))
+    met = rare.join(other, "item").where((F.col("set_id") < F.col("x_set_id")) & (F.col("root") != F.col("x_root")) & (100 * F.least("size", "x_size") >= percent * F.greatest("size", "x_size")))
+    met = scratch.table(met.select(*_ordered("set_id", "x_set_id")).distinct(), "jaccard-met")
+    scratch.drop(counts, rare)
+    return met
 
 
-def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, set_id (null if empty) and component_id.
 
     Sets link where 100 * intersection >= percent * union; component_id is the smallest id reachable by links.
+    ``id_bits`` shortens the sets' ids, to test that sets of one id are told apart.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = common.materialize(_features(docs, n, percent, _usual_keys(docs, n, percent)), "jaccard-rows")
-    classes = rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
-    classes = common.materialize(classes, "jaccard-classes")
-
-    keys = rows.select("set_id", F.explode("keys").alias("key"))
-    least = keys.groupBy("key").agg(F.min("set_id").alias("p"), F.max("set_id").alias("last")).where("p <> last").select("key", "p")
-    members = common.materialize(keys.join(least, "key").where("set_id <> p").distinct(), "jaccard-members")
-    common.settle(docs.sparkSession)
-    first = _verified(members.select(F.col("p").alias("a"), F.col("set_id").alias("b")).distinct(), docs, classes, n, percent)
-    links = first.where("linked").select("a", "b")
-    roots = common.materialize(components(links), "jaccard-roots")
-
-    # a member that is near the least one often is near all: it is each open block's second centre
-    placed = _open(members, roots).join(first.select(F.col("a").alias("p"), F.col("b").alias("set_id"), "distance"), ["p", "set_id"], "left")
-    placed = common.materialize(placed.select("key", "p", "set_id", "root", "distance"), "jaccard-open")  # no distance where sizes rule a link out
-    second = placed.groupBy("key").agg(F.min_by(F.struct("set_id", "root"), F.struct(F.coalesce("distance", F.lit(2.0)), "set_id")).alias("c"))
-    second = placed.join(second.select("key", F.col("c.set_id").alias("c"), F.col("c.root").alias("c_root")), "key").where("root <> c_root")
-    second = _ordered(second.select("set_id", F.col("c").alias("x_set_id"))).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verified(second, docs, classes, n, percent)
-    links = common.materialize(links.union(second.where("linked").select("a", "b")), "jaccard-links")
-    roots = common.materialize(components(links), "jaccard-roots")
-
-    # what two centres did not settle meets pair by pair, under a bound from the whole sketches
-    left = _open(placed.select("key", "p", "set_id", "distance"), roots)
-    sketches = common.materialize(_sets(docs, classes.join(left.select("set_id").distinct(), "set_id"), n, sketches=True), "jaccard-sketches")
-    left = common.materialize(left.join(sketches, "set_id"), "jaccard-left")
-    minor = left.where("root <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("set_id", "root", "distance", "size", "sketch", "double_sketch")))
-    reach = (100 - percent) / 100 + 1e-9
-    near = F.coalesce(F.abs(F.col("distance") - F.col("x_distance")) <= reach, F.lit(True))
-    sizes = 100 * F.least("size", "x_size") >= percent * F.greatest("size", "x_size")
-    apart = _hamming((F.col("sketch"), F.col("double_sketch")), (F.col("x_sketch"), F.col("x_double_sketch")))
-    close = (100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("x_size"))
-    met = left.join(minor, (left["key"] == minor["key"]) & (F.col("root") != F.col("x_root")) & sizes & near & close)
-    known = first.select("a", "b").union(second.select("a", "b"))
-    third = _verified(_ordered(met).join(known, ["a", "b"], "left_anti"), docs, classes, n, percent).where("linked").select("a", "b")
-    if not third.isEmpty():
-        roots = common.materialize(components(links.union(third)), "jaccard-roots")
-
-    named = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
-    names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    names = common.materialize(named.join(names, "root").select(F.col("set_id").alias("c_set_id"), "component_id"), "jaccard-names")
-    out = rows.join(names, F.col("set_id") == F.col("c_set_id"), "left")
-    return out.select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    with common.Scratch(docs.sparkSession) as scratch:
+        found = scratch.table(_features(docs, n, percent, _usual_keys(docs, n, percent, scratch), bits=id_bits), "jaccard-rows")
+        rows, classes = _told_apart(found, scratch)
+        keys = rows.where("size(keys) > 0").select("set_id", F.explode("keys").alias("key"))
+        least = keys.groupBy("key").agg(F.min("set_id").alias("p"), F.max("set_id").alias("last")).where("p <> last").select("key", "p")
+        members = scratch.table(keys.join(least, "key").where("set_id <> p").distinct(), "jaccard-members")
+        rows = scratch.table(rows.drop("keys"), "jaccard-narrow")
+        scratch.drop(found)
+
+        wanted = members.select("set_id").union(members.select("p")).distinct()
+        sets = scratch.table(_sets(docs, classes.join(wanted, "set_id"), n, id_bits), "jaccard-sets")
+        first = members.select(F.col("p").alias("a"), F.col("set_id").alias("b")).distinct()
+        first = _verified(first, sets, percent, scratch)
+        roots = components(first, scratch)
+
+        # a member that is near the least one often is near all: it is each open block's second centre
+        placed = _open(members, roots).join(first.select(F.col("a").alias("p"), F.col("b").alias("set_id"), "distance"), ["p", "set_id"], "left")
+        placed = scratch.table(placed.select("key", "set_id", "root", "distance"), "jaccard-open")  # no distance without a link
+        second = placed.groupBy("key").agg(F.min_by(F.struct("set_id", "root"), F.struct(F.coalesce("distance", F.lit(2.0)), "set_id")).alias("c"))
+        second = placed.join(second.select("key", F.col("c.set_id").alias("c"), F.col("c.root").alias("c_root")), "key").where("root <> c_root")
+        second = _verified(second.select(*_ordered("set_id", "c")).distinct(), sets, percent, scratch)
+        links = scratch.table(first.union(second).select("a", "b"), "jaccard-links")
+        scratch.drop(members, first, second, roots)
+        roots = components(links, scratch)
+
+        left = scratch.table(_open(placed.select("key", "set_id"), roots).select("set_id", "root").distinct(), "jaccard-left")
+        met = _meet_by_rarest(left, sets, percent, scratch)
+        third = _verified(met, sets, percent, scratch).select("a", "b")
+        scratch.drop(placed, left, met, sets)
+        if not third.isEmpty():
+            scratch.drop(roots)
+            roots = components(links.union(third), scratch)
+
+        named = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
+        names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        names = named.join(names, "root").select(F.col("set_id").alias("c_set_id"), "component_id")
+        out = rows.join(names, F.col("set_id") == F.col("c_set_id"), "left")
+        out = out.select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+        return scratch.keep(scratch.table(out, "jaccard-result"))
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (with doc_id, text) without near copies: of each component one row stays, whatever ids others have.
 
     It is one with the smallest id (null comes last), of several the first by the digest of id and text. Rows that link
-    with nothing stay, also under a repeated or null id, and all rows without words; of rows equal in id and text one.
+    with nothing stay, also under a repeated or null id, and all rows without words or text; of rows equal in id and text
+    any one. An empty table stays empty; columns of any name are kept as they are.
     """
     name = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("__key", F.md5(name))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
+    (key,) = common.free(docs.columns, "near_key")
+    keyed = docs.withColumn(key, F.md5(name))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
     rows = jaccard_join(keyed.select(row.alias("doc_id"), "text"), n=n, percent=percent)
-    common.settle(docs.sparkSession)
-    kept = rows.where(F.col("set_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id.key").alias("__key")).distinct()
+    kept = rows.where(F.col("set_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id.key").alias(key)).distinct()
     worded = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
-    once = keyed.where(worded).withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))).where("__nth = 1")
-    return once.join(kept, "__key", "left_semi").select(*docs.columns).unionByName(docs.where(~worded))
+    once = keyed.where(worded).dropDuplicates([key])  # a task sends equal rows once
+    return once.join(kept, key, "left_semi").select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

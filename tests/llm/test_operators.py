@@ -177,7 +177,7 @@ def test_sets_that_can_link_share_a_key(size, seed):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 102), (7, 7)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark)).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[102] == got[105] == got[100] == 100
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
