@@ -110,6 +110,28 @@ def release(spark: SparkSession) -> None:
     delete(spark, f"{scratch_root(spark)}/lodestrata")
 
 
+#: A key with more than this share of the rows is hot. So there are fewer hot keys than this, whatever the table.
+HOT_SHARE = 1 << 14
+SALTS = 64
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with ``table``, which has a row for each key; keys are not null.
+
+    Hot keys, of which at most ``HOT_SHARE`` come to be broadcast, are dealt over ``SALTS`` tasks, and their rows of
+    ``table`` go to each of them.
+    """
+    name, n, salt = free([*rows.columns, *table.columns], "hot_key", "key_rows", "key_salt")
+    least = max(rows.count(), 1 << 20) // HOT_SHARE
+    hot = rows.groupBy(F.col(key).alias(name)).agg(F.count("*").alias(n)).where(F.col(n) > least).select(name)
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col(name), "left")
+    dealt = dealt.withColumn(salt, F.when(F.col(name).isNotNull(), F.monotonically_increasing_id() % SALTS).otherwise(0)).drop(name)
+    spread = table.join(F.broadcast(hot), F.col(key) == F.col(name), "left")
+    every = F.when(F.col(name).isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    spread = spread.withColumn(salt, F.explode(every)).drop(name)
+    return dealt.join(spread, [key, salt], how).drop(salt)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

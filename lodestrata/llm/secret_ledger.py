@@ -9,6 +9,9 @@ Where a match lies follows from what lies between matches: the text split at the
 extracted gives the matches, and a running sum over both gives code point offsets. The sum is a window over the rows
 of one blob, so a text may have any number of matches.
 
+A repeated or racing append may leave a pair more than one row, all equal; reading makes the pairs distinct, so a
+result never doubles. Findings are joined back with hot blobs dealt over many tasks.
+
 Edge cases: null text counts as empty; an empty text has no finding and a ledger row; rows with the same path or text
 keep a row each; an empty table gives an empty result; other columns of the input are ignored.
 """
@@ -78,26 +81,33 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.groupBy("blob").agg(spans.alias("spans"))
 
 
-def read_ledger(spark, path: str) -> DataFrame | None:
+def read_ledger(spark, path: str, version: str) -> DataFrame | None:
+    """blob and spans of the pairs with this rule version, each once; None where there is no ledger yet."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
         return None
-    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    rows = spark.read.schema(LEDGER_SCHEMA).parquet(path).where(F.col("rules") == version)
+    return rows.select("blob", "spans").dropDuplicates(["blob"])
 
 
 def scan_versions(versions: DataFrame, ledger_path: str, *, path_cols: tuple[str, ...] = ("path",), text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of ``versions``: its path columns, blob and spans. The ledger gains the pairs that it lacked."""
     spark, version = versions.sparkSession, rules_version(rules)
+    paths = [f"path_{i}" for i in range(len(path_cols))]  # own names, as a path column may be called blob or spans
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = versions.select(*path_cols, F.sha2(text, 256).alias("blob"), text.alias("text"))
-    unseen = keyed.select("blob", "text")
-    ledger = read_ledger(spark, ledger_path)
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
-    found = scan(unseen.dropDuplicates(["blob"]), rules)
-    found.select("blob", F.lit(version).alias("rules"), "spans").write.mode("append").parquet(ledger_path)
-    ledger = read_ledger(spark, ledger_path).where(F.col("rules") == version).select("blob", "spans")
-    return keyed.drop("text").join(ledger, "blob").select(*path_cols, "blob", "spans")
+    keyed = versions.select(*(F.col(c).alias(p) for c, p in zip(path_cols, paths)), F.sha2(text, 256).alias("blob"))
+    with common.Scratch(spark) as scratch:
+        keyed = scratch.table(keyed, "secret-paths")
+        unseen = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
+        known = read_ledger(spark, ledger_path, version)
+        if known is not None:
+            unseen = unseen.join(known.select("blob"), "blob", "left_anti")
+        found = scan(unseen.dropDuplicates(["blob"]), rules)
+        with common.swept(spark):
+            found.select("blob", F.lit(version).alias("rules"), "spans").write.mode("append").parquet(ledger_path)
+        out = common.look_up(keyed, read_ledger(spark, ledger_path, version), "blob")
+        out = scratch.keep(scratch.table(out.select(*paths, "blob", "spans"), "secret-findings"))
+    return out.toDF(*path_cols, "blob", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -108,8 +118,11 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger_path: str | None = None, mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span in its text replaced by ``mask``; overlapping spans become one mask. Columns stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = scan_versions(docs.select(F.sha2(text, 256).alias("path"), text_col), ledger_path or common.scratch_path(docs.sparkSession, "ledger"), text_col=text_col, rules=rules)
-    found = found.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
+    blob, spans = common.free(docs.columns, "secret_blob", "secret_spans")
+    ledger_path = ledger_path or common.scratch_path(docs.sparkSession, "ledger")
+    scan_versions(docs.select(F.sha2(text, 256).alias("path"), text_col), ledger_path, text_col=text_col, rules=rules)
+    found = read_ledger(docs.sparkSession, ledger_path, rules_version(rules)).where(F.size("spans") > 0)
+    found = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     zero = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<string>").alias("parts"))
 
     def step(state: Column, x: Column) -> Column:
@@ -121,8 +134,8 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     def finish(state: Column) -> Column:
         return F.concat(F.array_join(state["parts"], ""), F.substr(F.col(text_col), (state["upto"] + 1).cast("int")))
 
-    masked = F.when(F.col("__spans").isNotNull(), F.aggregate("__spans", zero, step, finish)).otherwise(F.col(text_col))
-    out = docs.withColumn("__blob", F.sha2(text, 256)).join(found, "__blob", "left").withColumn(text_col, masked)
+    masked = F.when(F.col(spans).isNotNull(), F.aggregate(spans, zero, step, finish)).otherwise(F.col(text_col))
+    out = common.look_up(docs.withColumn(blob, F.sha2(text, 256)), found, blob, "left").withColumn(text_col, masked)
     return out.select(*docs.columns)
 
 

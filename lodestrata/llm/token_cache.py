@@ -1,10 +1,13 @@
 """Token counts through a digest cache.
 
-Every text is normalised the way its tokenizer would see it anyway, and digested; the cache holds one row of
-(digest, tokenizer version, n_tokens). The version is a digest of the tokenizer's file and its library's version, so
-a new file or library never reads old counts. Texts whose pair is not in the cache are made distinct by digest
-(partial aggregation first, so a text that a third of all rows share reaches the shuffle once a task), encoded once,
-and appended; then all rows read their counts from the cache.
+What is digested is a text's normal form under its tokenizer: where the tokenizer's file says that runs of spaces
+count as one and those at the ends as none, texts that differ in them alone share a digest; where its normaliser is the
+identity, the normal form is the text. The cache holds one row of (digest, tokenizer version, n_tokens). The version
+is a digest of the tokenizer's file and its library's version, so a new file or library never reads old counts. Texts
+whose pair is not in the cache are made distinct by digest (partial aggregation first, so a text that a third of all
+rows share reaches the shuffle once a task), encoded once, and appended; then all rows read their counts from the
+cache, hot digests dealt over many tasks. A repeated or racing append may leave a pair more than one row, all equal;
+reading makes the pairs distinct, so a result never doubles.
 
 Edge cases: null text counts as empty; an empty table gives an empty result and an empty append; rows with the same
 id or text keep a row each; other columns of the input are ignored; texts are never cut.
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -57,6 +60,17 @@ class TokenizerFile:
             raise ValueError(f"{path} is larger than {MAX_FILE_BYTES} bytes")
         self.version = hashlib.sha256(f"{self.kind} {importlib.metadata.version(self.kind)}\0".encode() + self.blob).hexdigest()[:32]
 
+    def normal_form(self, text: Column) -> Column:
+        """The text as the tokenizer sees it, as far as that is sure to leave the count as it is."""
+        if self.kind == "sentencepiece":
+            from sentencepiece import sentencepiece_model_pb2
+
+            model = sentencepiece_model_pb2.ModelProto()
+            model.ParseFromString(self.blob)
+            if model.normalizer_spec.remove_extra_whitespaces:
+                return F.btrim(F.regexp_replace(text, " {2,}", " "), F.lit(" "))
+        return text
+
     def count(self, texts: list[str]) -> list[int]:
         return _counter(self.kind, self.blob)(texts)
 
@@ -74,40 +88,40 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
 
 
 def token_counts(
-    docs: DataFrame, tokenizer_path: str, cache_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, normal=None
+    docs: DataFrame, tokenizer_path: str, cache_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit; the cache at ``cache_path`` gains what it lacked.
-
-    ``normal`` maps the text column to what is digested and encoded, for tokenizers that fold case or white space
-    themselves; as it comes (None) no two different texts share a digest.
-    """
+    """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit; the cache at ``cache_path`` gains what it lacked."""
     spark = docs.sparkSession
     file = TokenizerFile(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), (normal or (lambda c: c))(text).alias("__text"))
-    keyed = keyed.withColumn("digest", F.sha2("__text", 256))
-    misses = keyed.select("digest", "__text")
-    known = read_cache(spark, cache_path)
-    if known is not None:
-        misses = misses.join(known.where(F.col("tokenizer") == file.version).select("digest"), "digest", "left_anti")
-    misses = misses.dropDuplicates(["digest"])
+    normal = file.normal_form(text)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(normal, 256).alias("digest"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts = [n for g in _groups(b.column(1).to_pylist()) for n in file.count(g)]
             yield pa.record_batch([b.column(0), pa.array([file.version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == file.version).select("digest", "n_tokens")
-    return keyed.drop("__text").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-
-
-def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """The cache, None where there is none yet."""
+    with common.Scratch(spark) as scratch:
+        keyed = scratch.table(keyed, "token-digests")
+        misses = docs.select(F.sha2(normal, 256).alias("digest"), normal.alias("text"))
+        known = read_cache(spark, cache_path, file.version)
+        if known is not None:
+            misses = misses.join(known.select("digest"), "digest", "left_anti")
+        with common.swept(spark):
+            misses.dropDuplicates(["digest"]).mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+        out = common.look_up(keyed, read_cache(spark, cache_path, file.version), "digest")
+        out = out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        return scratch.keep(scratch.table(out, "token-counts"))
+
+
+def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame | None:
+    """digest and n_tokens of the pairs with this tokenizer version, each once; None where there is no cache yet."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
         return None
-    return spark.read.schema(CACHE_SCHEMA).parquet(path)
+    rows = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == version)
+    return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
