@@ -26,22 +26,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: common.Scratch, rounds: int | None = None) -> DataFrame:
     """Of (a, b), both long: node and root, the smallest node of its component, for every node with an edge.
 
+    With ``rounds`` it stops after so many; a root then is some node of the component, which may have several.
     Each round writes the edges to the shared folder and deletes those of the round before; the result is a table of
     ``scratch``. Rounds grow with the logarithm of the longest chain.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = scratch.table(now, "edges")
-    seen = None
-    while True:
+    seen, done = None, 0
+    while rounds is None or done < rounds:
+        done += 1
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if sums == seen or not sums[0]:
             break
         seen, last = sums, now
         now = scratch.table(_small_star(_large_star(now)), "edges")
         scratch.drop(last)
-    out = scratch.table(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct(), "roots")
+    # of several roots that are left to a node the smallest; a root that has one itself keeps it
+    both = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v"))
+    out = scratch.table(both.groupBy("node").agg(F.min("root").alias("root")), "roots")
     scratch.drop(now)
     return out

@@ -8,22 +8,27 @@ every word of a text its posterior; the text's language is the one with the high
 score.
 
 Scoring is vectorised: texts of a batch stand in order of length and take each step of the recursion together; a word
-is turned into its emissions once for each worker. The sample's bounds are ``max_docs`` documents with ``windows``
-windows of ``width`` words each, drawn by a digest of the id; model and sample do not grow with the corpus.
+is turned into its emissions once for each worker. Every language of the labels is learned. The sample is bounded by
+two parameters: ``per_lang`` documents of each language, drawn by a digest of the id, and ``max_words`` words of their
+texts, cut whole into windows of ``width`` words, of which a seeded choice stays where there are more. So model and
+sample grow with the number of languages and not with the corpus.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so are all texts where nothing is
 labelled; rows with the same id keep a row each; an empty table gives an empty result; other columns are ignored;
-texts are scored whole.
+texts are scored whole. ``keep_known`` returns the columns of its input, of any names; null and empty texts go, ties
+between languages fall to the first by name, and repeated rows get one verdict.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,7 +120,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return post, flow
 
 
-def train(sample: list[tuple[str, list[list[str]]]], *, steps: int = 60, splice: float = 0.35, decay: float = 1e-3, seed: int = 7) -> Model | None:
+def train(sample: list[tuple[str, list[list[str]]]], *, steps: int = 45, splice: float = 0.35, decay: float = 1e-3, seed: int = 7) -> Model | None:
     """Of (language, windows of words): the model, None without any."""
     languages = sorted({lang for lang, windows in sample if any(windows)})
     if not languages:
@@ -170,32 +175,44 @@ def train(sample: list[tuple[str, list[list[str]]]], *, steps: int = 60, splice:
     return Model(languages, params[0], lexicon, params[1], params[2])
 
 
-def sample_windows(docs: DataFrame, *, max_docs: int, windows: int, width: int, seed: str) -> list[tuple[str, list[list[str]]]]:
-    """Of (doc_id, text, lang): windows of words of a bounded sample, spread evenly over the languages."""
+#: A table of languages of at most so many rows is broadcast.
+MAX_LANGUAGES_SENT = 100_000
+
+
+def sample_windows(docs: DataFrame, *, per_lang: int, max_words: int, width: int, seed: str) -> list[tuple[str, list[list[str]]]]:
+    """Of (doc_id, text, lang): the texts of a bounded sample, spread evenly over the languages, in windows of words."""
     place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") / float(16**13)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("place", place)
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()  # more languages than this are not learned
-    if not sizes:
-        return []
-    quota = max_docs // len(sizes)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, quota / r["count"])).otherwise(share)
-    drawn = labelled.where(F.col("place") < share).select("lang", "place", "text")
+    sizes = labelled.groupBy(F.col("lang").alias("s_lang")).agg(F.count("*").alias("s_n"))
+    if sizes.count() <= MAX_LANGUAGES_SENT:
+        sizes = F.broadcast(sizes)
+    drawn = labelled.join(sizes, F.col("lang") == F.col("s_lang")).where(F.col("place") < F.lit(float(per_lang)) / F.col("s_n")).select("lang", "place", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, places, texts = (c.to_pylist() for c in b.columns)
             out = []
-            for place, text in zip(places, texts):
+            for text in texts:
                 words = LETTERS.findall(text.lower())
-                rng = np.random.default_rng(int(place * 2**52))
-                starts = rng.integers(0, max(1, len(words) - width + 1), windows) if len(words) > width else [0]
-                out.append([" ".join(words[s : s + width]) for s in starts])
+                out.append([" ".join(words[i : i + width]) for i in range(0, len(words), width)])
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(places, pa.float64()), pa.array(out, pa.list_(pa.string()))], names=["lang", "place", "windows"])
 
-    rows = drawn.mapInArrow(run, "lang string, place double, windows array<string>").orderBy("place", "lang").limit(2 * max_docs).collect()
-    return [(r["lang"], [w.split() for w in r["windows"]]) for r in rows]
+    rows = drawn.mapInArrow(run, "lang string, place double, windows array<string>").collect()
+    rows.sort(key=lambda r: (r["place"], r["lang"], r["windows"]))
+    taken: dict[str, int] = {}
+    windows = []
+    for r in rows:  # rows that share an id share their place: the bound holds for them too
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= 2 * per_lang:
+            windows += [(r["lang"], [w.split()]) for w in r["windows"]]
+    order = np.random.default_rng(int(hashlib.sha256(seed.encode()).hexdigest()[:8], 16)).permutation(len(windows))
+    total, chosen = 0, []
+    for i in order.tolist():
+        total += len(windows[i][1][0])
+        if total > max_words and chosen:
+            break
+        chosen.append(windows[i])
+    return chosen
 
 
 class _Words(dict):
@@ -275,15 +292,26 @@ def fold(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(n))
 
 
-def fit(docs: DataFrame, *, max_docs: int = 2400, windows: int = 2, width: int = 30, seed: str = "langid-1") -> Model | None:
+def fit(docs: DataFrame, *, per_lang: int = 250, max_words: int = 400_000, width: int = 30, seed: str = "langid-1") -> Model | None:
     """Of (doc_id, text, lang): a model learned from all rows given, by a bounded sample."""
-    return train(sample_windows(docs, max_docs=max_docs, windows=windows, width=width, seed=seed))
+    return train(sample_windows(docs, per_lang=per_lang, max_words=max_words, width=width, seed=seed))
+
+
+def keep_known(docs: DataFrame, *, least: float = 0.34, **sample) -> DataFrame:
+    """``docs`` (with doc_id, text, lang) without the rows whose text has no language, or hardly one.
 
+    Only the text goes to Python; the other columns wait in the JVM.
+    """
+    model = fit(docs.select("doc_id", "text", "lang"), **sample)
+
+    @F.pandas_udf("boolean")
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        given = ([None if t is None else str(t) for t in part] for part in texts)
+        found = _predict(model, given) if model else ([("und", 0.0)] * len(t) for t in given)
+        for results in found:
+            yield pd.Series([lang != "und" and score >= least for lang, score in results], dtype=bool)
 
-def keep_known(docs: DataFrame, *, least: float = 0.34) -> DataFrame:
-    """``docs`` (with doc_id, text, lang) without the rows whose text has no language, or hardly one."""
-    model = fit(docs.select("doc_id", "text", "lang"))
-    return predict(docs, model, *docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    return docs.where(known("text"))
 
 
 def op5_crf_langid(spark, sf_dir: str) -> DataFrame:

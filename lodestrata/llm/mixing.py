@@ -68,49 +68,63 @@ def mix(
     seed: str = "mix-1",
     keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs``, with mix_size, mix_source_size, mix_target and mix_copies, the times the mix takes it."""
-    rows = docs.select(
-        *keep,
-        F.col(source_col).alias("__source"),
-        common.word_count(F.col(text_col)).alias("__size"),
-        seeded_order(F.col(id_col), seed).alias("__place"),
-    ).withColumn("__digits", F.substring("__place", 1, DIGITS))
-    if text_col not in keep:  # narrow: the words are counted once
-        rows = common.materialize(rows, "mix-sizes")
-    groups = rows.groupBy(F.col("__source").alias("source"), F.col("__digits").alias("digits")).agg(F.sum("__size").alias("words"))
-    groups = common.materialize(groups, "mix-groups")  # at most 16**DIGITS rows a source
-    plan = plan_targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
-    plan = common.materialize(plan, "mix-plan")
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("digits").rowsBetween(Window.unboundedPreceding, 0))
-    cuts = (
-        groups.withColumn("upto", upto)
-        .join(plan.select(F.col("source").alias("p_source"), "budget"), F.col("source").eqNullSafe(F.col("p_source")))
-        .where((F.col("upto") >= F.col("budget")) & (F.col("upto") - F.col("words") < F.col("budget")))
-        .groupBy("source")
-        .agg(F.min_by(F.struct("digits", (F.col("upto") - F.col("words")).alias("base")), "digits").alias("cut"))
-        .select(F.col("source").alias("c_source"), "cut")
-    )
-    plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").select(
-        F.col("source").alias("__p_source"), "source_size", "target", "whole", "budget", "cut.digits", "cut.base"
-    )
-    plan = common.materialize(plan.select(*(F.col(c).alias(f"__{c.strip('_')}" if c != "digits" else "__cut") for c in plan.columns)), "mix-cuts")
+    """The columns ``keep`` of every row of ``docs``, with mix_size, mix_source_size, mix_target and mix_copies, the times the mix takes it.
+
+    A kept column of such a name stays as it is, and the mix's own gets a longer one.
+    """
+    kept = [f"kept_{i}" for i in range(len(keep))]  # own names, as any name may come in
+    keyed = docs.select(
+        *(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)),
+        F.col(source_col).alias("m_source"),
+        common.word_count(F.col(text_col)).alias("m_size"),
+        seeded_order(F.col(id_col), seed).alias("m_place"),
+    ).withColumn("m_digits", F.substring("m_place", 1, DIGITS))
+    with common.Scratch(docs.sparkSession) as scratch:
+        narrow = scratch.table(keyed if text_col not in keep else keyed.select("m_source", "m_size", "m_digits"), "mix-sizes")
+        groups = narrow.groupBy(F.col("m_source").alias("source"), F.col("m_digits").alias("digits")).agg(F.sum("m_size").alias("words"))
+        groups = scratch.table(groups, "mix-groups")  # at most 16**DIGITS rows a source
+        plan = plan_targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
+        plan = scratch.table(plan, "mix-plan")
+        upto = F.sum("words").over(Window.partitionBy("source").orderBy("digits").rowsBetween(Window.unboundedPreceding, 0))
+        cuts = (
+            groups.withColumn("upto", upto)
+            .join(plan.select(F.col("source").alias("p_source"), "budget"), F.col("source").eqNullSafe(F.col("p_source")))
+            .where((F.col("upto") >= F.col("budget")) & (F.col("upto") - F.col("words") < F.col("budget")))
+            .groupBy("source")
+            .agg(F.min_by(F.struct("digits", (F.col("upto") - F.col("words")).alias("base")), "digits").alias("cut"))
+            .select(F.col("source").alias("c_source"), "cut")
+        )
+        plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").select(
+            F.col("source").alias("p_source"), "source_size", "target", "whole", "budget", F.col("cut.digits").alias("cut"), "cut.base"
+        )
+        plan = scratch.keep(scratch.table(plan, "mix-cuts"))
+        if text_col not in keep:
+            keyed = scratch.keep(narrow)
     if plan.count() <= MAX_BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    rows = rows.join(plan, F.col("__source").eqNullSafe(F.col("__p_source")))
-    at_cut = F.coalesce(F.col("__digits") == F.col("__cut"), F.lit(False))
-    clear = rows.where(~at_cut).withColumn("__extra", F.coalesce(F.col("__digits") < F.col("__cut"), F.lit(False)).cast("long"))
-    order = Window.partitionBy("__source").orderBy("__place", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.col("__base") + F.coalesce(F.sum("__size").over(order), F.lit(0))
-    split = rows.where(at_cut).withColumn("__extra", (2 * upto + F.col("__size") <= 2 * F.col("__budget")).cast("long"))
-    copies = (F.col("__whole") + F.col("__extra")).cast("int")
-    names = F.col("__size").alias("mix_size"), F.col("__source_size").alias("mix_source_size"), F.col("__target").alias("mix_target"), copies.alias("mix_copies")
-    return clear.unionByName(split).select(*keep, *names)
+    rows = keyed.join(plan, F.col("m_source").eqNullSafe(F.col("p_source")))
+    at_cut = F.coalesce(F.col("m_digits") == F.col("cut"), F.lit(False))
+    clear = rows.where(~at_cut).withColumn("extra", F.coalesce(F.col("m_digits") < F.col("cut"), F.lit(False)).cast("long"))
+    order = Window.partitionBy("m_source").orderBy("m_place", "m_size").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("base") + F.coalesce(F.sum("m_size").over(order), F.lit(0))
+    split = rows.where(at_cut).withColumn("extra", (2 * upto + F.col("m_size") <= 2 * F.col("budget")).cast("long"))
+    copies = (F.col("whole") + F.col("extra")).cast("int")
+    out = clear.unionByName(split).select(*kept, "m_size", "source_size", "target", copies)
+    return out.toDF(*keep, *common.free(keep, "mix_size", "mix_source_size", "mix_target", "mix_copies"))
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as the mix takes it. Columns stay."""
-    taken = mix(docs, keep=tuple(docs.columns), **options).where("mix_copies > 0")
-    return taken.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    """The mix itself: every row of ``docs`` as often as the mix takes it. Columns stay, of any names.
+
+    Null and empty texts have no words: they come as often as their source's whole epochs say, and once more where
+    they stand before the cut. Equal rows each count; of rows equal in id and size some may be taken once more than
+    others. An empty table stays empty. Words are counted once, for the plan, and again only at the cuts.
+    """
+    taken = mix(docs, keep=tuple(docs.columns), **options)
+    copies = taken.columns[-1]
+    (nth,) = common.free(taken.columns, "mix_nth")
+    taken = taken.where(F.col(copies) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

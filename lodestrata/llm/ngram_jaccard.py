@@ -15,10 +15,8 @@ Sets that share a block are candidates, and all of them are settled, without all
    the Hamming distance of its whole sketches, a second lower bound, allow a link;
 3. the links give components; in a block whose members still lie in several, they meet the member nearest to p too,
    which in a group of copies is near their original;
-4. the sets of blocks that are open even then meet by their rarest shingles. Counted among these sets alone, of a set
-   of n shingles the first n - ceil(t n) + 1 in the order of count hold one that a linked set holds too. A passage that
-   the sets of a block share is common among them and so comes last; no two sets meet for it. Pairs of different
-   components take the same two bounds and the verification.
+4. where several components remain, members outside the block's largest meet those of other components, each pair
+   inside the join held against the sizes and the Hamming distance of the whole sketches; what passes is verified.
 What was not compared then lies in one component, or cannot link. So components are exact with no cap on blocks or
 partners. A set is known by 64 bits of its digest and a check of 64 more; sets that agree in the first alone are told
 apart by the second.
@@ -206,11 +204,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: common.S
     """
     reach = F.col("size_a") + F.col("size_b")
     for side in "ba":
-        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("size").alias(f"size_{side}")), side)
+        columns = (F.col(c).alias(f"{c}_{side}") for c in ("size", "sketch", "double_sketch"))
+        pairs = pairs.join(sets.select(F.col("set_id").alias(side), *columns), side)
     pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    for side in "ba":
-        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("double_sketch").alias(f"double_{side}")), side)
-    apart = _hamming(*((F.col(f"sketch_{s}"), F.col(f"double_{s}")) for s in "ab"))
+    apart = _hamming(*((F.col(f"sketch_{s}"), F.col(f"double_sketch_{s}")) for s in "ab"))
     pairs = pairs.where((100 + percent) * apart <= (100 - percent) * reach).select("a", "b", "size_a", "size_b")
     pairs = scratch.table(pairs, "jaccard-pairs")
     both = pairs
@@ -234,10 +231,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: common.S
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members, with root, of keys under which several components meet."""
+    """Members under keys where several components meet, with root, and main, the key's largest component."""
     placed = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return placed.join(several, "key", "left_semi")
+    sums = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mains = sums.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    return placed.join(mains, "key")
 
 
 def _ordered(x: str, y: str) -> tuple:
@@ -245,19 +243,15 @@ def _ordered(x: str, y: str) -> tuple:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _meet_by_rarest(placed: DataFrame, sets: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame:
-    """Of (set_id, root): pairs of different roots that share one of the rarest shingles of both."""
-    items = placed.join(sets.select("set_id", "size", "hashes"), "set_id").select("set_id", "root", "size", F.explode("hashes").alias("item"))
-    counts = scratch.table(items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-items")
-    nth = Window.partitionBy("set_id").orderBy(F.coalesce("n", F.lit(1)), "item")  # a set's own shingles
-    first = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100 - 1e-9) + 1
-    rare = items.join(counts, "item", "left").withColumn("nth", F.row_number().over(nth)).where((F.col("nth") <= first) & F.col("n").isNotNull())
-    rare = scratch.table(rare.select("item", "set_id", "root", "size"), "jaccard-rare")
-    other = rare.select("item", *(F.col(c).alias(f"x_{c}") for c in ("set_id", "root", "size")))
-    met = rare.join(other, "item").where((F.col("set_id") < F.col("x_set_id")) & (F.col("root") != F.col("x_root")) & (100 * F.least("size", "x_size") >= percent * F.greatest("size", "x_size")))
-    met = scratch.table(met.select(*_ordered("set_id", "x_set_id")).distinct(), "jaccard-met")
-    scratch.drop(counts, rare)
-    return met
+def _meet(left: DataFrame, percent: int) -> DataFrame:
+    """Of (key, set_id, root, main, size and sketches): distinct pairs of different components that may link."""
+    names = ("set_id", "root", "size", "sketch", "double_sketch")
+    minor = left.where("root <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in names))
+    sizes = 100 * F.least("size", "x_size") >= percent * F.greatest("size", "x_size")
+    apart = _hamming((F.col("sketch"), F.col("double_sketch")), (F.col("x_sketch"), F.col("x_double_sketch")))
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("x_size"))
+    met = left.join(minor, (left["key"] == minor["key"]) & (F.col("root") != F.col("x_root")) & sizes & close)
+    return met.select(*_ordered("set_id", "x_set_id")).distinct()
 
 
 def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
@@ -280,7 +274,7 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str
         sets = scratch.table(_sets(docs, classes.join(wanted, "set_id"), n, id_bits), "jaccard-sets")
         first = members.select(F.col("p").alias("a"), F.col("set_id").alias("b")).distinct()
         first = _verified(first, sets, percent, scratch)
-        roots = components(first, scratch)
+        roots = components(first, scratch, rounds=1)  # pairs that it does not yet join meet a centre again, which costs a row each
 
         # a member that is near the least one often is near all: it is each open block's second centre
         placed = _open(members, roots).join(first.select(F.col("a").alias("p"), F.col("b").alias("set_id"), "distance"), ["p", "set_id"], "left")
@@ -292,10 +286,10 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str
         scratch.drop(members, first, second, roots)
         roots = components(links, scratch)
 
-        left = scratch.table(_open(placed.select("key", "set_id"), roots).select("set_id", "root").distinct(), "jaccard-left")
-        met = _meet_by_rarest(left, sets, percent, scratch)
-        third = _verified(met, sets, percent, scratch).select("a", "b")
-        scratch.drop(placed, left, met, sets)
+        left = _open(placed.select("key", "set_id"), roots).join(sets.select("set_id", "size", "sketch", "double_sketch"), "set_id")
+        left = scratch.table(left, "jaccard-left")
+        third = _verified(_meet(left, percent), sets, percent, scratch).select("a", "b")
+        scratch.drop(placed, left, sets)
         if not third.isEmpty():
             scratch.drop(roots)
             roots = components(links.union(third), scratch)

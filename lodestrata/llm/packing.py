@@ -5,7 +5,8 @@ matter for packing and there are at most ``capacity`` different ones, so the who
 the number of documents. On it, ``plan_bins`` works with counts: it fixes for good the sets that dominate every other
 set with their largest piece, which shrinks the instance, and gives the rest to best-fit decreasing. The result is a
 list of bin patterns with multiplicities; a piece finds its bin by its length and its rank among pieces of this
-length, and the ranks come from a window over small groups and running sums of their sizes.
+length, and the ranks come from a window over groups, as many as the length's pieces need, and running sums of their
+sizes.
 
 Edge cases: null text counts as empty and packs as its end id alone; rows with the same id or text are packed each;
 an empty table gives an empty result; very long texts are tokenized in parts; other columns are ignored.
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PIECE_SCHEMA = "doc_id {}, piece int, start long, length int, ids_crc32 long"
-#: Ranks are taken within so many groups of each length.
-RANK_GROUPS = 512
+#: Ranks are taken within groups of a length of about so many pieces.
+GROUP_ROWS = 1 << 16
 #: A worker's memory of pre-tokens is emptied at this size.
 MEMORY = 800_000
 
@@ -225,12 +226,14 @@ def slots(plan: Counter) -> np.ndarray:
 
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = common.materialize(pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col), "pack-pieces")
-    cut = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_GROUPS)).cast("int"))
-    sizes = common.materialize(cut.groupBy("length", "group").agg(F.count("*").alias("n")), "pack-sizes")
-    # at most `capacity` rows come to the driver
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    scratch = common.Scratch(docs.sparkSession)
+    cut = scratch.table(pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col), "pack-pieces")
+    with common.swept(docs.sparkSession):  # at most `capacity` rows come to the driver
+        counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = slots(plan_bins(counts, capacity))
+    groups = F.array(*(F.lit(1 + counts.get(n, 0) // GROUP_ROWS) for n in range(1, capacity + 1)))  # as many as a length's pieces need
+    cut = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(groups, F.col("length"))).cast("int"))
+    sizes = scratch.table(cut.groupBy("length", "group").agg(F.count("*").alias("n")), "pack-sizes")
     ahead = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "group", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     order = Window.partitionBy("length", "group").orderBy("doc_id", "piece", "start", "ids_crc32")

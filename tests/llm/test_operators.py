@@ -380,11 +380,17 @@ def test_forward_backward_equals_enumeration():
 
 def test_language_id(spark, docs, rows, empty, sf):
     real = spark.read.parquet(f"{sf}/documents.parquet")
-    model = crf_langid.fit(real.where(crf_langid.fold(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang"), max_docs=160)
+    model = crf_langid.fit(real.where(crf_langid.fold(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang"), per_lang=40)
     got = crf_langid.predict(real, model, "doc_id", "lang").where(crf_langid.fold(F.col("doc_id"), 5) == 0).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.9
     out = {(r["doc_id"]): r for r in crf_langid.predict(docs, model, "doc_id").collect()}
     assert len(rows) - 3 <= len(out) and out[0]["lang_pred"] == out[1]["lang_pred"] == "und" and out[0]["score"] == 0
+    clash = docs.withColumnRenamed("size", "score").withColumnRenamed("target", "lang_pred").withColumnRenamed("spans", "place")
+    kept = crf_langid.keep_known(clash)
+    assert kept.columns == clash.columns and {0, 1, 2} & {r["doc_id"] for r in kept.collect()} == set()
+    assert crf_langid.keep_known(empty).count() == 0
+    many = spark.createDataFrame([(i, " ".join(chr(0x4E00 + 7 * (i % 90) + j) for j in range(5)) + " ", f"l{i % 90}") for i in range(360)], "doc_id long, text string, lang string")
+    assert len(crf_langid.fit(many, per_lang=3).languages) == 90  # no language is left out
     switched = "the and of that with is. " * 6 + "der und die das ist nicht ein. " * 6
     post = crf_langid._predict(model, iter([[switched]]))
     assert next(post)[0][1] < 0.9
