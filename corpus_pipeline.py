@@ -15,28 +15,48 @@ from lodestrata.llm import common, crf_langid, mixing, ngram_jaccard, packing, s
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a recognisable language go.
+
+    Null and empty texts, and texts without a letter, have none. Repeated rows get one verdict; texts are scored whole;
+    where no row has a label nothing can be recognised and all go; an empty table stays empty; further columns stay.
+    """
     return crf_langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (shingles of five words, similarity of 0.8) one row stays, of the smallest id."""
+    """Of each group of near copies (shingles of five words, similarity of 0.8) one row stays, of the smallest id.
+
+    Null ids come last; of equal ids the first by the digest of id and text; of equal rows any one. Texts without a word
+    are copies of nothing and stay; an empty table stays empty; further columns stay.
+    """
     return ngram_jaccard.keep_one(docs, n=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked and n_chars follows; every document stays.
+
+    A null text stays null, an empty one empty; equal texts are scanned once and masked alike; overlapping secrets
+    become one mask; an empty table stays empty; further columns stay.
+    """
     out = secret_ledger.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat, or go, as their source's target says."""
+    """Documents repeat, or go, as their source's target says.
+
+    A null source is a source of its own, last; texts without words take the place that their id gives them; equal
+    rows count each; an empty table stays empty; further columns stay.
+    """
     return mixing.repeat(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces, each with its sequence and offset."""
+    """Token pieces, each with its sequence and offset.
+
+    Null and empty texts are an end id alone; repeated rows are packed each; long texts are cut into pieces; an empty
+    table gives no piece.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -54,6 +74,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with common.Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            before, docs = docs, scratch.table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            scratch.drop(before)
+        return scratch.keep(scratch.table(STAGES[-1][1](spark, docs, sf_dir), "pipeline-result"))
