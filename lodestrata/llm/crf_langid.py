@@ -292,7 +292,7 @@ def fold(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(n))
 
 
-def fit(docs: DataFrame, *, per_lang: int = 250, max_words: int = 400_000, width: int = 30, seed: str = "langid-1") -> Model | None:
+def fit(docs: DataFrame, *, per_lang: int = 150, max_words: int = 200_000, width: int = 30, seed: str = "langid-1") -> Model | None:
     """Of (doc_id, text, lang): a model learned from all rows given, by a bounded sample."""
     return train(sample_windows(docs, per_lang=per_lang, max_words=max_words, width=width, seed=seed))
 
