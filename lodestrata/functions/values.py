@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed, and stands in the plan, once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def known(c: str | Column) -> Column:
     """The value, NULL where it is null, empty or the sentinel."""
     return F.when(col(c).isin("", UNKNOWN), F.lit(None)).otherwise(col(c))

@@ -6,6 +6,8 @@ text); they differ on purpose, see each. Points are integers in hundredths, so t
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,18 @@ def _groups(text: Column, profile: Profile) -> Column:
     return sum((contains_any(text, g).cast("int") for g in profile.duties), F.lit(0))
 
 
-def evidence_text(fields: tuple[str, ...], keep_unknown: bool = False) -> Column:
+#: Gives a record's field by name: a column of a table, or a field of a struct.
+Fields = Callable[[str], Column]
+
+
+def evidence_text(fields: tuple[str, ...], keep_unknown: bool = False, of: Fields = F.col) -> Column:
     """Fields joined by spaces; unknown ones count as nothing, or as they are."""
-    return F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) if keep_unknown else known(f) for f in fields))
+    return F.concat_ws(" ", *(F.coalesce(of(f), F.lit("")) if keep_unknown else known(of(f)) for f in fields))
 
 
-def infer_js(text: Column, profile: Profile) -> dict[str, Column]:
-    directions = F.coalesce(F.col("directions"), no_strings())
-    titled, here = F.col("title").contains(profile.role), F.col("city") == profile.city
+def infer_js(text: Column, profile: Profile, of: Fields = F.col) -> dict[str, Column]:
+    directions = F.coalesce(of("directions"), no_strings())
+    titled, here = of("title").contains(profile.role), of("city") == profile.city
     b_side, c_side = contains_any(text, (*B_WORDS, "中后台")), contains_any(text, (*C_WORDS, "消费者"))
     hits = lambda words: F.arrays_overlap(directions, F.array(*map(F.lit, words))) | contains_any(text, words)
     excluded = contains_any(text, profile.excluded)
@@ -43,17 +49,17 @@ def infer_js(text: Column, profile: Profile) -> dict[str, Column]:
     n = _groups(text, profile)
     return {
         "title_fit": _when((titled, "preferred")),
-        "city_fit": _when((here, "match"), (~is_unknown("city"), "mismatch")),
+        "city_fit": _when((here, "match"), (~is_unknown(of("city")), "mismatch")),
         "direction_fit": direction,
         "product_form_fit": _when((c_side, "priority"), (b_side, "conditional")),
         "product_layer_fit": _when((contains_any(text, ("核心链路", "交易链路")), "priority"), (b_side, "conditional")),
         "financing_fit": F.lit(UNKNOWN),
         "responsibility_fit": _when(((n >= 3) & contains_any(text, profile.delivery), "high"), (n > 0, "medium")),
         "role_fit": _when((titled, "preferred")),
-        "experience_fit": _when((~is_unknown("workExperience"), "medium")),
+        "experience_fit": _when((~is_unknown(of("workExperience")), "medium")),
         "company_quality": F.lit(UNKNOWN),
         "freshness_fit": F.lit(UNKNOWN),
-        "mandatory_requirement_fit": _when((~is_unknown("requirements"), "match")),
+        "mandatory_requirement_fit": _when((~is_unknown(of("requirements")), "match")),
         "team_quality": F.lit(UNKNOWN),
         "work_mode_fit": _when((here, "match")),
         "growth_value": _when((direction == "priority", "medium")),
@@ -113,19 +119,19 @@ def infer_ocr(title: Column, detail: Column, directions: Column, experience: Col
     return F.struct(*(found.get(d, F.lit(UNKNOWN)).alias(d) for d in DIMENSIONS))
 
 
-def scored_text(flavour: str) -> Column:
+def scored_text(flavour: str, of: Fields = F.col) -> Column:
     """What the classes are read from: known fields and directions (js), or eight fields as they are (py)."""
     if flavour == "js":
-        fields = evidence_text(("title", "company", "description", "job_description_raw", "responsibilities", "requirements"))
-        return F.concat_ws(" ", fields, F.filter("directions", lambda x: ~x.isin("", UNKNOWN)))
+        fields = evidence_text(("title", "company", "description", "job_description_raw", "responsibilities", "requirements"), of=of)
+        return F.concat_ws(" ", fields, F.filter(of("directions"), lambda x: ~x.isin("", UNKNOWN)))
     return evidence_text(("title", "company", "city", "description", "job_description_raw", "responsibilities", "requirements", "work_mode"), keep_unknown=True)
 
 
-def classify(text: Column, flavour: str, profile: Profile) -> Column:
+def classify(text: Column, flavour: str, profile: Profile, of: Fields = F.col) -> Column:
     """The evaluation struct. Supplied classes override what is inferred: known ones only (js), any at all (py)."""
     if flavour == "js":
-        inferred = infer_js(text, profile)
-        supplied = lambda d: F.lit(None) if d == "financing_fit" else known(F.col("evaluation")[d])  # noqa: E731  never inferred, so never read
+        inferred = infer_js(text, profile, of)
+        supplied = lambda d: F.lit(None) if d == "financing_fit" else known(of("evaluation")[d])  # noqa: E731  never inferred, so never read
     else:
         inferred = infer_py(text, profile)
         supplied = lambda d: F.col("evaluation")[d]
@@ -163,6 +169,17 @@ def hard_filters(evaluation: Column, profile: Profile, flags: bool) -> Column:
     return unique(F.concat(reasons, F.coalesce(risks, no_strings())))
 
 
+def is_public(of: Fields = F.col) -> Column:
+    """Records that no scorer looks at: their text was never captured."""
+    return F.coalesce((of("pipeline") == "public_index") | (of("verification_status") == "unverified_index_snapshot"), F.lit(False))
+
+
+def still_missing(prior: Column, unknown: Iterable[tuple[Column, str]], complete: Column) -> Column:
+    """What was missing, without the mark of an incomplete text if it is complete now, and what is missing now."""
+    rest = F.filter(F.coalesce(prior, no_strings()), lambda x: (x != INCOMPLETE_JD) | ~complete)
+    return unique(F.concat(rest, present(unknown), present([(~complete, INCOMPLETE_JD)])))
+
+
 def ladder(match_score: Column, permille: Column, hard: Column, complete: Column, captured: Column, review: Column, profile: Profile) -> Column:
     """Hard filters first, then the thresholds for complete records; little evidence or open review demote high tiers."""
     tier = F.when(match_score >= profile.preferred_at, TOP).when(match_score >= profile.consider_at, CONSIDER).otherwise(REJECT)
@@ -180,7 +197,7 @@ def score(records: DataFrame, profile: Profile = SHANGHAI_PM, flavour: str = "js
     validate_profile(profile)
     js = flavour == "js"
     df = conform(records, RECORD)
-    public = (F.col("pipeline") == "public_index") | (F.col("verification_status") == "unverified_index_snapshot") if js else F.lit(False)
+    public = is_public() if js else F.lit(False)
     captured = F.coalesce(F.col("verification_status") == "captured_jd", F.lit(False))
     raw, duties = known("job_description_raw"), known("responsibilities")
     complete = raw.isNotNull() & duties.isNotNull()
@@ -208,12 +225,7 @@ def score(records: DataFrame, profile: Profile = SHANGHAI_PM, flavour: str = "js
     review = F.coalesce(F.col("verification_status") == "needs_review", F.lit(False)) if js else F.lit(False)
     df = computed(df, __tier=ladder(F.col("__match"), F.col("__permille"), F.col("__hard"), F.col("__complete"), F.col("__captured") if js else F.lit(True), review, profile))
     components = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col("evaluation")[d].alias("classification"), F.lit(w).alias("weight"), f(d).isNotNull().alias("known"), (f(d) * w / F.lit(100.0)).alias("points")) for d, w in profile.weights.items())).cast(COMPONENTS)
-    prior = F.coalesce(F.col("missing_information"), no_strings())
-    missing = unique(F.concat(
-        F.filter(prior, lambda x: (x != INCOMPLETE_JD) | ~F.col("__complete")),
-        present((f(d).isNull(), d) for d in profile.dimensions if d not in profile.non_blocking),
-        present([(~F.col("__complete"), INCOMPLETE_JD)]),
-    ))
+    missing = still_missing(F.col("missing_information"), ((f(d).isNull(), d) for d in profile.dimensions if d not in profile.non_blocking), F.col("__complete"))
     version = profile.version if js else f"{profile.version}+{profile.preferences_version}"
     either = lambda a, b: F.when(public, a).otherwise(b)
     nothing = F.lit(None).cast("double")

@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_lines, decode_entities, keyword_tags, list_items, merge_pages
-from ..functions.url import normalize_url, site_key
-from ..functions.values import first_in_list, present
+from ..config import SHANGHAI_PM
+from ..functions.text import clean_lines, facts, infer_directions, list_items, merge_pages, normalize_text, normalize_title, recruiter_type, split_sections
+from ..functions.url import canonical_url, site_key, url_job_id, url_kind
+from ..functions.values import present
 from ..operators.dedupe import keep_first, ordered_list
+from ..operators.metrics import counted, rejections
+from ..operators.normalize import normalize_results
 from ..sources.captures import card_links
 
 RULES = (("article", ("the ", "that ")), ("german", ("der ", "und ")), ("french", ("les ", "que ")), ("spanish", ("que ", "los ")), ("table", (" | ",)), ("marked", ("%%%", "###")), ("mail", ("@",)))
+P = SHANGHAI_PM
+#: The profile with lists that the test tables have words of.
+PROSE = replace(P, directions=RULES, default_direction="plain", index_tags=RULES, experiences=("password", "license", "token"), educations=("the", "und", "les"), index_districts=("src", "that", "der", "que"))
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _hosted(url):
+    """A page's URL under the profile's host, articles as detail pages and the rest as it is; every ninth keeps its own host."""
+    path = F.regexp_replace(F.col(url), r"/[a-z]{2}/(\d+)(?:\.html)?(?=$|[?#])", "//job_detail/$1.html")
+    moved = F.regexp_replace(F.regexp_replace(path, r"^(https?://)(m\.)?[^/]+", f"$1$2{P.host}:8443"), r"/en/(\d+)/", "/zhaopin/$1/")
+    return F.when(F.col("page_id") % 9 == 0, F.col(url)).otherwise(moved)
+
+
 def url_canonical(spark, d):
-    return _t(spark, d, "pages").select("page_id", normalize_url(F.col("url")).alias("canonical"))
+    return _t(spark, d, "pages").select("page_id", canonical_url(_hosted("url")).alias("canonical"))
 
 
 def url_classify(spark, d):
-    path = F.regexp_extract(normalize_url(F.col("url")), r"^https://[^/]+(/.*)$", 1)
-    kind = F.when(path.rlike(r"^/[a-z]{2}/\d+\.html$"), "document").when(path.rlike(r"^/[a-z]{2}/\d+/?$"), "page").otherwise("other")
-    return _t(spark, d, "pages").select("page_id", kind.alias("kind"), F.nullif(F.regexp_extract(path, r"/(\d+)", 1), F.lit("")).alias("number"))
+    url = canonical_url(_hosted("url"))
+    return _t(spark, d, "pages").select("page_id", url_kind(url).alias("kind"), url_job_id(url).alias("number"))
 
 
 def url_dedupe_first(spark, d):
@@ -34,8 +48,7 @@ def url_dedupe_first(spark, d):
 
 
 def html_to_text(spark, d):
-    text = F.btrim(F.regexp_replace(decode_entities(F.col("html")), r"\s+", " "))
-    return _t(spark, d, "pages").select("page_id", text.alias("plain"))
+    return _t(spark, d, "pages").select("page_id", normalize_text(F.col("html")).alias("plain"))
 
 
 def link_extract(spark, d):
@@ -44,21 +57,19 @@ def link_extract(spark, d):
 
 
 def title_strip(spark, d):
-    bare = F.regexp_replace("p_name", r"\s*\S+$", "")
-    return _t(spark, d, "part").select("p_partkey", F.coalesce(F.nullif(bare, F.lit("")), "p_name").alias("stem"))
+    pay = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("  "), "p_size", F.lit("-99K·13薪 "))).when(F.col("p_size") % 3 == 1, F.concat("p_size", F.lit("-900元/天"))).otherwise("")
+    title = F.when(F.col("p_size") % 7 == 0, pay).otherwise(F.concat(F.lit("<b>"), "p_name", F.lit("</b> "), pay))
+    return _t(spark, d, "part").select("p_partkey", normalize_title(title).alias("stem"))
 
 
 def fact_extract(spark, d):
-    text = F.col("text")
-    return _t(spark, d, "documents").select(
-        "doc_id", F.nullif(F.regexp_extract(text, r"[0-9]+(?:-[0-9]+)?", 0), F.lit("")).alias("number"),
-        first_in_list(text, ("password", "license", "licensed", "token", "the", "und", "les")).alias("word"),
-        F.array_join(keyword_tags(text, RULES), ",").alias("tags"),
-    )
+    title = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("职位 "), F.col("doc_id") % 50, F.lit("-60k·14薪")))
+    found = facts(title, F.col("text"), PROSE)
+    return _t(spark, d, "documents").select("doc_id", F.md5(found["evidence"]).alias("evidence_md5"), *(found[c].alias(c) for c in ("salary", "experience", "education", "district")), F.array_join(found["tags"], ",").alias("tags"))
 
 
 def q_clean_lines(spark, d):
-    lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""))
+    lines = clean_lines(F.col("text"))
     return _t(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("lines_md5"))
 
 
@@ -68,26 +79,31 @@ def page_overlap_merge(spark, d):
 
 
 def section_split(spark, d):
-    text, at = F.col("text"), lambda mark: F.nullif(F.instr("text", mark), F.lit(0))
-    start, stop = F.instr(text, "\n"), F.least(at("###"), at("%%%"), at(" | "))
-    body = F.left(F.substr(text, start + 1, F.greatest(F.coalesce(stop, F.length(text) + 1) - start - 1, F.lit(0))), F.lit(1200))
-    return _t(spark, d, "documents").select("doc_id", start.cast("long").alias("start"), F.coalesce(stop, F.lit(0)).cast("long").alias("stop"), F.md5(body).alias("body_md5"))
+    """Every text under headings: duties, then, for all but each fifth document, requirements."""
+    need = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("\n（任职要求）\n"), "lang", F.lit("： \n"), "source", F.lit(";")))
+    page = F.concat(F.lit("公司\n【一、岗位职责：】\n"), "text", F.coalesce(need, F.lit("")))
+    duties, needs = split_sections(F.when(F.col("doc_id") % 11 == 0, F.col("text")).otherwise(page))
+    return _t(spark, d, "documents").select("doc_id", F.md5(duties).alias("duties_md5"), needs.alias("needs"))
 
 
 def q_recruiter_type(spark, d):
-    text = F.col("text")
-    kind = F.when(F.col("role") == "system", "system").when(text.rlike("(?i)password|token"), "secret").when(text.contains("?"), "question").otherwise("other")
-    return _t(spark, d, "conversations").select("conv_id", "turn", kind.alias("kind"))
+    said = F.regexp_replace("text", "(?i)password|token", "猎头")
+    asks = F.when(F.col("text").contains("?"), F.lit("招聘顾问"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", recruiter_type(said, asks).alias("kind"))
+
+
+def _directions(spark, d) -> DataFrame:
+    nothing = F.lit(None).cast("string")
+    tags = infer_directions(F.col("lang"), F.col("text"), F.when(F.col("doc_id") % 6 == 0, F.lit("岗位职责 | der 求职工具 the")), nothing, PROSE)
+    return _t(spark, d, "documents").select("doc_id", tags.alias("directions"))
 
 
 def direction_tags(spark, d):
-    tags = keyword_tags(F.col("text"), RULES, fold=False)
-    return _t(spark, d, "documents").select("doc_id", F.array_join(F.when(F.size(tags) == 0, F.array(F.lit("plain"))).otherwise(F.slice(tags, 1, 4)), ",").alias("tags"))
+    return _directions(spark, d).select("doc_id", F.array_join("directions", ",").alias("tags"))
 
 
 def direction_counts(spark, d):
-    tags = keyword_tags(F.col("text"), RULES, fold=False)
-    return _t(spark, d, "documents").select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return counted(_directions(spark, d), "directions").withColumnRenamed("directions", "tag")
 
 
 def item_split_top3(spark, d):
@@ -95,9 +111,14 @@ def item_split_top3(spark, d):
 
 
 def reject_reasons(spark, d):
-    url, html = F.col("url"), F.col("html")
-    reason = F.when(~url.rlike("^https://"), "unsupported_url").when(~html.contains("<title>"), "no_title").when(~html.contains('lang="en"'), "other_language").otherwise("accepted")
-    return _t(spark, d, "pages").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    """Pages as search results: every fourth of another host, every third without the role, every fifth without the city."""
+    n, url = F.col("page_id"), F.concat(F.lit(f"https://m.{P.host}/job_detail/"), F.col("page_id"), F.lit(".html?ref=x"))
+    results = _t(spark, d, "pages").select(
+        F.when(n % 4 == 0, F.col("url")).otherwise(url).alias("url"), F.when(n % 3 == 0, "Engineer").otherwise(f"&lt;{P.role} 20-30K").alias("title"),
+        F.when(n % 5 == 0, F.lit("elsewhere")).otherwise(F.lit(f"{P.city} 浦东")).alias("description"), F.lit("p").alias("provider"), F.lit("q").alias("query"),
+        F.lit("exact").alias("mode"), n.alias("rank"), F.lit("2024-01-01").alias("collected_at"),
+    )
+    return rejections(normalize_results(results))
 
 
 def review_queue(spark, d):
@@ -109,21 +130,26 @@ def review_queue(spark, d):
     return docs.select("doc_id", reasons.alias("reasons")).where(F.size("reasons") > 0).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-def _has(words: tuple[str, ...], fold: bool) -> str:
-    column = "lower(text)" if fold else "text"
-    return " OR ".join(f"contains({column}, '{w}')" for w in words)
+_SPACE = r"regexp_replace(trim(regexp_replace({}, '\s+', ' ', 'g')), '^ | $', '', 'g')"
+
 
+def _decoded(column: str) -> str:
+    for pattern, plain, flags in (("<[^>]*>", " ", "g"), ("&nbsp;|&#160;", " ", "gi"), ("&amp;", "&", "gi"), ("&quot;|&#34;", '"', "gi"), ("&#39;|&apos;", "''", "gi"), ("&lt;", "<", "gi"), ("&gt;", ">", "gi")):
+        column = f"regexp_replace({column}, '{pattern}', '{plain}', '{flags}')"
+    return column
 
-def _tags(fold: bool) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN {_has(words, fold)} THEN '{label}' END" for label, words in RULES) + "], lambda x: x IS NOT NULL)"
+
+def _tags(column: str) -> str:
+    has = lambda words: " OR ".join(f"contains({column}, '{w}')" for w in words)
+    return "list_filter([" + ", ".join(f"CASE WHEN {has(words)} THEN '{label}' END" for label, words in RULES) + "], lambda x: x IS NOT NULL)"
 
 
 _URL = r"regexp_extract(url, '^\s*(?i:https?|wss?|ftp)://([^/?#@]*@)?([^/?#:@]+)(:\d*)?([^?#]*)', {})"
-_PATH = f"regexp_replace({_URL.format(4)}, '/{{2,}}', '/', 'g')"
-_CANONICAL = f"'https://' || lower({_URL.format(2)}) || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END"
-_DECODED = "html"
-for _pattern, _plain, _flags in (("<[^>]*>", " ", "g"), ("&nbsp;|&#160;", " ", "gi"), ("&amp;", "&", "gi"), ("&quot;|&#34;", '"', "gi"), ("&#39;|&apos;", "''", "gi"), ("&lt;", "<", "gi"), ("&gt;", ">", "gi")):
-    _DECODED = f"regexp_replace({_DECODED}, '{_pattern}', '{_plain}', '{_flags}')"
+_MOVED = rf"""CASE WHEN page_id % 9 = 0 THEN NULL WHEN regexp_matches(url, '^https?://[^/]+/[a-z]{{2}}/\d+(\.html)?($|[?#])') THEN '/job_detail/' || regexp_extract(url, '/[a-z]{{2}}/(\d+)', 1) || '.html'
+    ELSE regexp_replace(regexp_replace(CASE WHEN {_URL.format(4)} = '' THEN '/' ELSE {_URL.format(4)} END, '/{{2,}}', '/', 'g'), '/en/(\d+)/', '/zhaopin/\1/') END"""
+_DIRECTIONS = f"""b AS (SELECT doc_id, lang || chr(10) || CASE WHEN doc_id % 6 = 0 THEN '岗位职责 | der ' ELSE {_SPACE.format('text')} END AS body FROM documents),
+t AS (SELECT doc_id, {_tags('body')} AS t FROM b),
+l AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN ['plain'] ELSE t[1:4] END AS t FROM t)"""
 
 QUERIES = {
     "url_canonical": url_canonical, "url_classify": url_classify, "url_dedupe_first": url_dedupe_first, "html_to_text": html_to_text,
@@ -133,40 +159,50 @@ QUERIES = {
 }
 
 SQL = {
-    "url_canonical": f"SELECT page_id, {_CANONICAL} AS canonical FROM pages",
+    "url_canonical": f"WITH m AS (SELECT page_id, {_MOVED} AS path FROM pages) SELECT page_id, 'https://www.{P.host}' || path AS canonical FROM m",
     "url_classify": rf"""
-WITH c AS (SELECT page_id, regexp_extract({_CANONICAL}, '^https://[^/]+(/.*)$', 1) AS path FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(path, '^/[a-z]{{2}}/\d+\.html$') THEN 'document' WHEN regexp_matches(path, '^/[a-z]{{2}}/\d+/?$') THEN 'page' ELSE 'other' END AS kind,
-       nullif(regexp_extract(path, '/(\d+)', 1), '') AS number FROM c""",
+WITH m AS (SELECT page_id, {_MOVED} AS path FROM pages)
+SELECT page_id, CASE WHEN path IS NULL THEN 'unsupported' WHEN regexp_matches(path, '^/job_detail/[^/]+\.html/?$') THEN 'job_detail' WHEN starts_with(path, '/zhaopin/') THEN 'listing' ELSE 'other_boss' END AS kind,
+       nullif(regexp_extract(path, '^/job_detail/([^/]+)\.html/?$', 1), '') AS number FROM m""",
     "url_dedupe_first": rf"""
 WITH k AS (SELECT page_id, regexp_replace(lower({_URL.format(2)}), '^(?:www|m|blog)\.', '') AS site FROM pages)
 SELECT page_id, site FROM k QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id) = 1""",
-    "html_to_text": rf"SELECT page_id, trim(regexp_replace({_DECODED}, '\s+', ' ', 'g')) AS plain FROM pages",
+    "html_to_text": f"SELECT page_id, {_SPACE.format(_decoded('html'))} AS plain FROM pages",
     "link_extract": r"""
 WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1) AS l FROM pages),
 u AS (SELECT page_id, unnest(l) AS href, unnest(generate_series(0, len(l) - 1)) AS place FROM a)
 SELECT page_id, min(place) AS place, href FROM u GROUP BY page_id, href""",
-    "title_strip": r"SELECT p_partkey, coalesce(nullif(regexp_replace(p_name, '\s*\S+$', ''), ''), p_name) AS stem FROM part",
+    "title_strip": """
+SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_name WHEN p_size % 3 = 0 THEN p_size || '-99K·13薪' WHEN p_size % 3 = 1 THEN p_size || '-900元/天' ELSE '' END AS stem FROM part""",
     "fact_extract": f"""
-SELECT doc_id, nullif(regexp_extract(text, '[0-9]+(?:-[0-9]+)?', 0), '') AS number,
-       CASE {' '.join(f"WHEN contains(text, '{w}') THEN '{w}'" for w in ('password', 'license', 'licensed', 'token', 'the', 'und', 'les'))} END AS word,
-       array_to_string({_tags(True)}, ',') AS tags FROM documents""",
+WITH e AS (SELECT doc_id, {_SPACE.format(_decoded("concat_ws(' ', CASE WHEN doc_id % 4 = 0 THEN '职位 ' || doc_id % 50 || '-60k·14薪' END, text)"))} AS e FROM documents)
+SELECT doc_id, md5(e) AS evidence_md5, nullif(regexp_extract(e, '(?i)(?:[0-9]+(?:\\.[0-9]+)?-[0-9]+(?:\\.[0-9]+)?K(?:·[0-9]+薪)?|[0-9]+-[0-9]+元/(?:时|天))', 0), '') AS salary,
+       nullif(regexp_extract(e, 'password|license|token', 0), '') AS experience, nullif(regexp_extract(e, 'the|und|les', 0), '') AS education,
+       CASE {' '.join(f"WHEN contains(e, '{w}') THEN '{w}'" for w in ('src', 'that', 'der', 'que'))} END AS district, array_to_string({_tags('lower(e)')}, ',') AS tags FROM e""",
     "clean_lines": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents),
 c AS (SELECT doc_id, i, trim(regexp_replace(x, '\s+', ' ', 'g')) AS x FROM l),
 f AS (SELECT doc_id, x, min(i) AS i FROM c WHERE x <> '' GROUP BY doc_id, x)
 SELECT d.doc_id, count(f.x) AS n_lines, md5(coalesce(string_agg(f.x, chr(10) ORDER BY f.i), '')) AS lines_md5 FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""",
     "section_split": r"""
-WITH p AS (SELECT doc_id, text, instr(text, chr(10)) AS start, least(nullif(instr(text, '###'), 0), nullif(instr(text, '%%%'), 0), nullif(instr(text, ' | '), 0)) AS stop FROM documents)
-SELECT doc_id, start, coalesce(stop, 0) AS stop,
-       md5(left(substr(text, start + 1, greatest(coalesce(stop, length(text) + 1) - start - 1, 0)), 1200)) AS body_md5 FROM p""",
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id % 11 <> 0),
+c AS (SELECT doc_id, i, trim(regexp_replace(x, '\s+', ' ', 'g')) AS x FROM l),
+f AS (SELECT doc_id, x, min(i) AS i FROM c WHERE x <> '' GROUP BY doc_id, x),
+s AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM f GROUP BY doc_id)
+SELECT doc_id, md5(nullif(trim(left(s, 1200), ' ：:;；'), '')) AS duties_md5, CASE WHEN doc_id % 11 <> 0 AND doc_id % 5 <> 0 THEN lang || '： ' || source END AS needs FROM documents LEFT JOIN s USING (doc_id)""",
     "recruiter_type": """
-SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'system' WHEN regexp_matches(text, '(?i)password|token') THEN 'secret' WHEN contains(text, '?') THEN 'question' ELSE 'other' END AS kind FROM conversations""",
-    "direction_tags": f"WITH t AS (SELECT doc_id, {_tags(False)} AS t FROM documents) SELECT doc_id, CASE WHEN len(t) = 0 THEN 'plain' ELSE array_to_string(t[1:4], ',') END AS tags FROM t",
-    "direction_counts": f"WITH t AS (SELECT unnest({_tags(False)}) AS tag FROM documents) SELECT tag, count(*) AS n FROM t GROUP BY tag",
+SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)password|token') OR contains(text, '猎头') THEN '猎头' WHEN contains(text, '?') OR contains(lower(text), 'hr') THEN 'HR' END AS kind FROM conversations""",
+    "page_overlap_merge": r"""
+WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM conversations),
+p AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS p FROM l),
+g AS (SELECT conv_id, list(p ORDER BY turn) AS g FROM p GROUP BY conv_id),
+m AS (SELECT conv_id, list_reduce(g, lambda a, b: list_concat(a, b[list_max(list_filter(range(0, 13), lambda n: n <= len(a) AND n <= len(b) AND a[len(a) - n + 1:] = b[1:n])) + 1:]), CAST([] AS VARCHAR[])) AS m FROM g)
+SELECT conv_id, len(m) AS n_lines, md5(array_to_string(m, chr(10))) AS lines_md5 FROM m""",
+    "direction_tags": f"WITH {_DIRECTIONS} SELECT doc_id, array_to_string(t, ',') AS tags FROM l",
+    "direction_counts": f"WITH {_DIRECTIONS}, u AS (SELECT unnest(t) AS tag FROM l) SELECT tag, count(*) AS n FROM u GROUP BY tag",
     "reject_reasons": """
-SELECT CASE WHEN NOT regexp_matches(url, '^https://') THEN 'unsupported_url' WHEN NOT contains(html, '<title>') THEN 'no_title'
-            WHEN NOT contains(html, 'lang="en"') THEN 'other_language' ELSE 'accepted' END AS reason, count(*) AS n FROM pages GROUP BY 1""",
+WITH r AS (SELECT CASE WHEN page_id % 4 = 0 THEN 'unsupported_url' WHEN page_id % 3 = 0 THEN 'title_not_product_manager' WHEN page_id % 5 = 0 THEN 'city_not_confirmed_shanghai' END AS reason FROM pages)
+SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason""",
     "review_queue": """
 WITH r AS (SELECT doc_id, list_filter([CASE WHEN quality IS NULL THEN 'unlabelled' END, CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'toxic' END,
   CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN contains(text, 'password') THEN 'secret=' || source END], lambda x: x IS NOT NULL) AS r FROM documents LEFT JOIN labels USING (doc_id))

@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
+import tempfile
 
 from pyspark.sql import SparkSession
 
+_own: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local session without it gets one that goes at exit."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="lodestrata-")
+        atexit.register(shutil.rmtree, _own[context.applicationId], True)
+    return f"file://{_own[context.applicationId]}"
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings every operator is tested under."""
