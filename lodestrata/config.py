@@ -21,6 +21,13 @@ SCALARS = (
 )
 ARRAYS = ("tags", "directions", "missing_information", "review_reasons", "score_components", "hard_filter_reasons")
 INCOMPLETE_JD = "完整JD或职责证据"
+VERIFICATION_LABELS = {"captured_jd": "完整 JD", "needs_review": "待复核", "unverified_index_snapshot": "公开索引待验证"}
+NOT_KNOWN, NO_TEXT = "未知", "JD 待补充"
+#: What an imported record must have as text, may have as text, and must have as a list of texts.
+IMPORT_TEXTS = ("id", "url", "title", "city", "recommendation", "pipeline", "verification_status")
+IMPORT_OPTIONAL = tuple(f for f in SCALARS if f not in IMPORT_TEXTS) + ("recruiter_name", "recruiter_role", "recruiter_activity", "collected_at", "job_status")
+IMPORT_LISTS = ("missing_information", "review_reasons")
+IMPORT_OPTIONAL_LISTS = ("tags", "directions", "hard_filter_reasons", "positive_evidence")
 # -------------------------------------------------------------------------------------------------
 
 
@@ -107,6 +114,19 @@ class Profile:
     noise_marks: tuple[str, ...] = (
         "与BOSS随时沟通", "求职工具", "工作地址", "APP 有了", "消息 简历", "消息\n简历", "查看更多信息", "升级VIP", "微信扫码分享", "不合适",
     )
+    display_headings: tuple[str, ...] = (
+        "职位描述", "岗位描述", "岗位职责", "职位职责", "工作职责", "工作内容", "职责概述", "职责描述", "工作要求", "能力要求", "任职要求", "职位要求",
+        "岗位要求", "必备要求", "硬性要求",
+    )
+    display_noise: tuple[str, ...] = (
+        "BOSS 直聘", "首页", "职位", "公司", "校园•海归", "APP 有了", "消息", "简历", "雷宇若", "地图", "求职工具", "打动老板", "查看更多信息", "升级VIP",
+        "去App", "收藏", "立即沟通", "工作地址", "与BOSS随时沟通",
+    )
+    chrome_words: tuple[str, ...] = ("不合适", "微信扫码", "分享", "举报", "添加求职期望", "城市", "工作经验", "学历", "招聘者")
+    misread_words: tuple[str, ...] = ("地图", "添加求职期望", "基干", "古项", "植牌", "音技", "彑联网", "宙核", "场号")
+    duty_sections: tuple[str, ...] = ("岗位职责", "职位职责", "工作职责", "工作内容")
+    requirement_sections: tuple[str, ...] = ("任职要求", "职位要求", "工作要求", "硬性要求", "必备要求")
+    closing_sections: tuple[str, ...] = ("岗位职责", "职位职责", "工作职责", "工作内容", "我们提供", "公司福利")
     card_tags: tuple[str, ...] = (
         "C端产品", "B端产品", "用户/功能产品", "中后台产品", "电商产品", "内容产品", "社交产品", "数据产品", "物联网产品", "TO C",
         "TMS运输管理", "承运人业务", "直播/视频产品", "变现", "用户增长", "策略", "AI产品", "海外产品", "其他行业",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import RECOMMENDATIONS
+from ..config import RECOMMENDATIONS, REJECT
 
 
 def query_metrics(normalised: DataFrame, by: tuple[str, ...] = ("mode", "query")) -> DataFrame:
@@ -64,3 +64,14 @@ def report(metrics: DataFrame, rejected: DataFrame, title: str = "Collection") -
     lines += [f"| {r['mode']} | {r['query']} | {r['pages']} | {r['raw_results']} | {r['exact_job_links']} | {r['marginal_yield']} |" for r in rows]
     lines += ["", "| rejected for | rows |", "| --- | ---: |", *(f"| {r['reason']} | {r['n']} |" for r in rejected.orderBy("reason").collect())]
     return "\n".join(lines) + "\n"
+
+
+def metadata_counts(records: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """One row of a dataset's metadata: records, those in review, those rejected by the rubric or before it."""
+    out = records.agg(
+        F.count("*").alias("job_count"), F.count_if(F.col("verification_status") == "needs_review").alias("review_count"),
+        F.count_if(F.col("verification_status") == "captured_jd").alias("captured_count"), F.count_if(F.col("recommendation") == REJECT).alias("not_recommended_count"),
+    )
+    if rejected is None:
+        return out.withColumn("rejected_count", F.lit(0).cast("long"))
+    return out.join(F.broadcast(rejected.agg(F.count("*").alias("rejected_count"))))  # one row each

@@ -141,3 +141,9 @@ def recognise(images: DataFrame, engine, timeout: float = 120.0) -> DataFrame:
 
 def out_of_scope(records: DataFrame, profile: Profile = SHANGHAI_PM) -> Column:
     return ~(F.col("city").eqNullSafe(F.lit(profile.city)) & F.coalesce(F.col("title").contains(profile.role), F.lit(False)))
+
+
+def in_scope(records: DataFrame, profile: Profile = SHANGHAI_PM, only_complete: bool = False) -> DataFrame:
+    """Records of the domain; with ``only_complete`` those alone whose text and duties are known."""
+    df = records.where(~out_of_scope(records, profile))
+    return df.where(known("job_description_raw").isNotNull() & known("responsibilities").isNotNull()) if only_complete else df

@@ -257,3 +257,10 @@ def reclassify(records: DataFrame, profile: Profile = SHANGHAI_PM) -> DataFrame:
 
     found = infer_directions(F.col("title"), F.col("job_description_raw"), known("responsibilities"), known("requirements"), profile)
     return records.withColumn("directions", found).withColumn("tags", F.col("directions"))
+
+
+def score_document(records: DataFrame, metadata: dict[str, str] | None = None, profile: Profile = SHANGHAI_PM) -> tuple[DataFrame, DataFrame]:
+    """The adapter's scores, and one row of metadata: what was given, both versions and the number of records."""
+    scored = score(records, profile, flavour="py")
+    given = [F.lit(v).alias(k) for k, v in (metadata or {}).items() if k not in ("scoring_algorithm_version", "preference_version", "job_count")]
+    return scored, scored.agg(F.count("*").alias("job_count")).select(*given, F.lit(profile.version).alias("scoring_algorithm_version"), F.lit(profile.preferences_version).alias("preference_version"), "job_count")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ARRAYS, COMPLETE_CAPTURES, HIGH, INSUFFICIENT, PIPELINES, RECOMMENDATIONS, REJECT, SCALARS, SHANGHAI_PM, TOP, UNKNOWN, VERIFICATIONS, Profile
+from ..config import ARRAYS, COMPLETE_CAPTURES, HIGH, IMPORT_LISTS, IMPORT_OPTIONAL, IMPORT_OPTIONAL_LISTS, IMPORT_TEXTS, INSUFFICIENT, PIPELINES, RECOMMENDATIONS, REJECT, SCALARS, SHANGHAI_PM, TOP, UNKNOWN, VERIFICATIONS, Profile
 from ..functions.url import detail_url, url_job_id
 from ..functions.values import is_unknown
 from ..schema import RECORD, conform
@@ -71,7 +71,7 @@ def assert_valid(records: DataFrame, profile: Profile = SHANGHAI_PM) -> None:
 
 
 #: The strict subset that an imported file must pass, and the subset that captures must pass.
-IMPORT_RULES = ("id:", "url:", "city:", "title:", "recommendation:", "pipeline:", "verification_status:", "score:", "match_score:", "public record", "needs_review in", "captured_jd without text", "closed")
+IMPORT_RULES = ("id:", "url:", "city: out", "title: out", "recommendation: not allowed", "pipeline: not allowed", "verification_status: not allowed", "score: outside", "match_score: outside", "public record", "needs_review in", "captured_jd without text", "closed")
 CAPTURE_RULES = ("id: missing", "id: repeated", "url:", "city:", "title:", "recommendation:", "match_score:", "evidence_confidence:", "score_components: not", "hard_filter_reasons: not", "scoring_config_version: missing", "evidence_source: empty", "review_reasons: not", "needs_review in", "top tier")
 
 
@@ -80,3 +80,60 @@ def first_violation(records: DataFrame, rules: tuple[str, ...], profile: Profile
     picked = F.col("rule").rlike("^(?:" + "|".join(r.replace("(", r"\(") for r in rules) + ")")
     row = violations(records, profile).where(picked).orderBy("id", "rule").first()
     return f"{row['id']}: {row['rule']}" if row else None
+
+
+def _kind(value: Column) -> Column:
+    """The kind of a variant as JSON has it: string, number, array, object, boolean, null; NULL where it is absent."""
+    name = F.schema_of_variant(value)
+    number = name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL")
+    return F.when(name == "STRING", "string").when(number, "number").when(name == "VOID", "null").when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object").otherwise(F.lower(name))
+
+
+def _import_types() -> list[tuple[str, Column]]:
+    """Rules on the types of an imported record ``job``, a variant: nothing is coerced."""
+    field = lambda f: F.try_variant_get("job", f"$.{f}", "variant")
+    kind = lambda f: _kind(field(f))
+    text = lambda f: F.try_variant_get("job", f"$.{f}", "string")
+    items = lambda f: F.try_variant_get("job", f"$.{f}", "array<variant>")
+    number = lambda f: F.when(kind(f) == "number", F.try_variant_get("job", f"$.{f}", "double"))
+    other = lambda f, *kinds: ~F.coalesce(kind(f).isin(*kinds), F.lit(False))
+    there = lambda f: kind(f).isNotNull()
+    mixed = lambda f: F.coalesce(F.exists(items(f), lambda x: _kind(x) != "string"), F.lit(False))
+    evidence, parts = items("evidence_source"), items("score_components")
+    untyped = lambda x: (_kind(x) != "object") | F.coalesce(_kind(F.try_variant_get(x, "$.type", "variant")) != "string", F.lit(True)) | (F.trim(F.try_variant_get(x, "$.type", "string")) == "")
+    return [
+        ("job: not an object", _kind(F.col("job")) != "object"),
+        *((f"{f}: not a text", other(f, "string") | (F.trim(text(f)) == "")) for f in IMPORT_TEXTS),
+        *((f"{f}: not a text", there(f) & other(f, "string")) for f in IMPORT_OPTIONAL),
+        ("score: not a number or null", other("score", "number", "null")),
+        ("match_score: not a number or null", there("match_score") & other("match_score", "number", "null")),
+        ("evidence_confidence: not in 0-1 or null", there("evidence_confidence") & (other("evidence_confidence", "number", "null") | F.coalesce(~number("evidence_confidence").between(0, 1), F.lit(False)))),
+        *((f"{f}: not a list of texts", other(f, "array") | mixed(f)) for f in IMPORT_LISTS),
+        *((f"{f}: not a list of texts", there(f) & (other(f, "array") | mixed(f))) for f in IMPORT_OPTIONAL_LISTS),
+        ("evidence_source: not entries with a type", other("evidence_source", "array") | (F.size(evidence) == 0) | F.coalesce(F.exists(evidence, untyped), F.lit(False))),
+        ("score_components: not a list of objects", there("score_components") & (other("score_components", "array") | F.coalesce(F.exists(parts, lambda x: _kind(x) != "object"), F.lit(False)))),
+        ("risk_flags: not a list", there("risk_flags") & other("risk_flags", "array")),
+    ]
+
+
+def import_payload(texts: DataFrame, column: str = "value", profile: Profile = SHANGHAI_PM) -> DataFrame:
+    """Contract records of imported JSON documents, one a row; ContractError names the first record at fault.
+
+    Types are checked before anything is read as a record, so a number is no id and a single text no list; then the
+    rules that imports must keep. A document is an object with a list ``jobs``.
+    """
+    parsed = texts.select(F.try_parse_json(F.col(column)).alias("doc"))
+    listed = F.try_variant_get("doc", "$.jobs", "array<variant>")
+    meta = _kind(F.try_variant_get("doc", "$.metadata", "variant"))
+    if not parsed.where(F.col("doc").isNull() | ~F.coalesce(_kind(F.try_variant_get("doc", "$.jobs", "variant")) == "array", F.lit(False)) | (meta.isNotNull() & (meta != "object"))).isEmpty():
+        raise ContractError("a document is an object with a list of jobs and, maybe, an object of metadata")
+    jobs = parsed.select(F.posexplode(listed).alias("place", "job"))
+    broken = F.array_compact(F.array(*(F.when(F.coalesce(cond, F.lit(False)), F.lit(rule)) for rule, cond in _import_types())))
+    fault = jobs.select("place", F.try_element_at(broken, F.lit(1)).alias("rule")).where("rule IS NOT NULL").orderBy("place").first()
+    if fault:
+        raise ContractError(f"jobs[{fault['place']}]: {fault['rule']}")
+    records = conform(jobs.select(F.from_json(F.to_json("job"), RECORD).alias("r")).select("r.*"), RECORD)
+    found = first_violation(records, IMPORT_RULES, profile)
+    if found:
+        raise ContractError(found)
+    return records

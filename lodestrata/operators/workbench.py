@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import USER_STATUSES
-from ..functions.values import known
+from ..config import INSUFFICIENT, UNKNOWN, USER_STATUSES
+from ..schema import RECORD, conform, fields
 
 #: A user's states are as many as rows that a person has marked; more than this are joined by shuffle.
 MAX_BROADCAST_STATES = 100_000
@@ -62,8 +62,16 @@ def top(records: DataFrame, n: int = 10) -> DataFrame:
 
 
 def normalize_payload(records: DataFrame) -> DataFrame:
-    """Imported records with the workbench's defaults; match_score falls back to score."""
-    return records.withColumn("match_score", F.coalesce("match_score", "score")).withColumn("company", F.coalesce(known("company"), F.lit("待确认")))
+    """Imported records with the workbench's defaults: unknown texts, empty lists, a description, match_score from score."""
+    df = conform(records, RECORD)
+    texts = [f.name for f in fields(RECORD) if f.dataType.typeName() == "string" and f.name not in ("id", "url", "title", "city", "recommendation", "pipeline", "verification_status", "description")]
+    lists = [f for f in fields(RECORD) if f.dataType.typeName() == "array" and f.name != "evidence_source"]
+    return df.withColumns({
+        "description": F.coalesce("description", "job_description_raw", F.lit(INSUFFICIENT)),
+        **{c: F.coalesce(c, F.lit(UNKNOWN)) for c in texts},
+        **{f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in lists},
+        "match_score": F.coalesce("match_score", "score"),
+    })
 
 
 def stale(stored: dict | None, bundled: dict) -> bool:

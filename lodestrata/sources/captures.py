@@ -47,10 +47,12 @@ def pending_images(images: DataFrame, done: DataFrame) -> DataFrame:
     return images.join(done.where(F.col("text").isNotNull()).select("path"), "path", "left_anti")
 
 
-def runnable(manifests: DataFrame) -> DataFrame:
-    """Runs that can be processed: records, and a screenshot somewhere."""
+def runnable(manifests: DataFrame, prefix: str = "") -> DataFrame:
+    """Runs that can be processed: a capture's folder by its name, records, and a screenshot somewhere."""
     shots = F.count_if(F.coalesce("card_screenshot", F.lit("")) != "") + F.count_if(F.size(F.coalesce("detail_screenshots", F.array().cast("array<string>"))) > 0)
-    return manifests.groupBy("file", "run_id").agg(F.count("*").alias("records"), shots.alias("shots")).where((F.col("records") > 0) & (F.col("shots") > 0))
+    folder = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
+    found = manifests.groupBy("file", "run_id").agg(F.count("*").alias("records"), shots.alias("shots")).where((F.col("records") > 0) & (F.col("shots") > 0))
+    return found.where(folder.startswith(prefix)) if prefix else found
 
 
 def decode_image(data_url: Column) -> Column:

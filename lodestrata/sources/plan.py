@@ -29,6 +29,11 @@ def signature(provider: str, pages: int, count: int, plan: list[dict]) -> str:
     return hashlib.sha256(json.dumps([provider, pages, count, plan], sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
+def resumable(stored: dict | None, sign: str) -> bool:
+    """Whether a stored collection goes on: it is the same collection and was not completed."""
+    return stored is not None and stored.get("signature") == sign and not stored.get("completed_at")
+
+
 def remaining(work: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("mode", "query", "page")) -> DataFrame:
     """Units of work without a checkpointed result."""
     return work.join(done.select(*keys).distinct(), list(keys), "left_anti")

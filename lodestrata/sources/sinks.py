@@ -21,22 +21,36 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Bring back the old output that a crash between two renames left beside its place, or drop it if its successor is there."""
+    target, fs, jvm = _fs(spark, path)
+    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old")
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, target)
+
+
 def replace_output(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write beside the target, then swap: readers see the old output or the new one, and a failed write changes nothing."""
+    """Write beside the target, then swap by two renames. A failed write changes nothing.
+
+    Readers see the old output or the new one, but for the moment between the renames. After a crash in that moment
+    the old output stands beside its place; the next write, or ``recover``, brings it back.
+    """
     spark, stage = df.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
+    recover(spark, path)
     target, fs, jvm = _fs(spark, path)
-    staged, old = jvm.org.apache.hadoop.fs.Path(stage), jvm.org.apache.hadoop.fs.Path(f"{stage}-old")
+    staged, old = jvm.org.apache.hadoop.fs.Path(stage), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old")
     try:
         df.write.format(fmt).save(stage)
     except Exception:
         fs.delete(staged, True)
         raise
-    had = fs.exists(target)
-    if had:
-        fs.rename(target, old)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"cannot move {path}")
     if not fs.rename(staged, target):
-        if had:
-            fs.rename(old, target)
+        recover(spark, path)
         raise OSError(f"cannot replace {path}")
     fs.delete(old, True)
 

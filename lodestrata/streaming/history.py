@@ -1,52 +1,93 @@
 """History as a stream: files of new records come in, each micro-batch merges into a snapshot that only ever grows.
 
-Snapshots are numbered by micro-batch, so a batch that runs again after a failure reads the snapshot before it and
-writes its own anew: replays change nothing.
+History lies in buckets by key. A micro-batch rewrites the buckets that its keys fall into, in a folder of its own
+number, and leaves the others where they are; a snapshot is the newest version of every bucket. A batch that runs
+again after a failure reads the versions before it and writes its own anew: replays change nothing. Versions that no
+replay can read any more are deleted, so disk does not grow with the number of batches.
 """
 
 from __future__ import annotations
 
 import traceback
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import merge_history
 from ..schema import INDEXED, fields
 
+BUCKETS = 64
 
-def _snapshots(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{root}/batch=*/_SUCCESS")
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
-    return sorted(int(x.getPath().getParent().getName().partition("=")[2]) for x in found)
 
+def _bucket() -> Column:
+    """The bucket of a record's key."""
+    return F.pmod(F.xxhash64(F.coalesce(F.nullif(F.col("job_id"), F.lit("")), F.col("job_url"))), F.lit(BUCKETS)).cast("int")
 
-def snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The newest snapshot (before a batch); empty if there is none."""
-    done = [n for n in _snapshots(spark, root) if before is None or n < before]
+
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, root: str) -> dict[int, list[int]]:
+    """Of each bucket the batches that wrote it whole, in order."""
+    p, fs = _folder(spark, f"{root}/batch=*/_SUCCESS")
+    done = {x.getPath().getParent().getName() for x in fs.globStatus(p) or []}
+    p, fs = _folder(spark, f"{root}/batch=*/bucket=*")
+    out: dict[int, list[int]] = {}
+    for x in fs.globStatus(p) or []:
+        if x.getPath().getParent().getName() in done:
+            batch, bucket = (int(y.getName().partition("=")[2]) for y in (x.getPath().getParent(), x.getPath()))
+            out.setdefault(bucket, []).append(batch)
+    return {bucket: sorted(batches) for bucket, batches in out.items()}
+
+
+def snapshot(spark: SparkSession, root: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """The newest snapshot (before a batch, of some buckets); empty if there is none."""
+    paths = []
+    for bucket, batches in _versions(spark, root).items():
+        known = [n for n in batches if before is None or n < before]
+        if known and (buckets is None or bucket in buckets):
+            paths.append(f"{root}/batch={known[-1]}/bucket={bucket}")
     schema = fields(INDEXED)
-    return spark.read.schema(schema).parquet(f"{root}/batch={done[-1]}") if done else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _forget(spark: SparkSession, root: str, n: int) -> None:
+    """Delete what neither a reader nor a replay of batch ``n`` or a later one reads."""
+    for bucket, batches in _versions(spark, root).items():
+        older = [x for x in batches if x < n]
+        for batch in older[:-1]:
+            p, fs = _folder(spark, f"{root}/batch={batch}/bucket={bucket}")
+            fs.delete(p, True)
 
 
 def upsert(root: str, merge: Callable[[DataFrame, DataFrame], DataFrame] = merge_history) -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        merge(snapshot(spark, root, n), batch).write.mode("overwrite").parquet(f"{root}/batch={n}")
+        touched = [r[0] for r in batch.select(_bucket().alias("bucket")).where("bucket IS NOT NULL").distinct().collect()]  # BUCKETS at most
+        merged = merge(snapshot(spark, root, n, touched), batch)
+        merged.withColumn("bucket", F.coalesce(_bucket(), F.lit(0))).write.partitionBy("bucket").mode("overwrite").parquet(f"{root}/batch={n}")
+        _forget(spark, root, n)
 
     return run
 
 
-def isolated(step: Callable[[DataFrame, int], None], log: Callable[[int, str], None]) -> Callable[[DataFrame, int], None]:
-    """A failed micro-batch is logged and the stream goes on with the next."""
+def isolated(step: Callable[[DataFrame, int], None], log: Callable[[int, str], None], dead: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A failed micro-batch is kept in the folder ``dead``, logged, and the stream goes on with the next."""
 
     def run(batch: DataFrame, n: int) -> None:
         try:
             step(batch, n)
         except Exception:
-            log(n, traceback.format_exc())
+            why = traceback.format_exc()
+            if dead:
+                batch.write.mode("overwrite").parquet(f"{dead}/batch={n}")
+            log(n, why)
 
     return run
 
@@ -76,6 +117,35 @@ def run_until(batch: Callable[[], None], size: Callable[[], int], target: int, w
     return limit, "limit"
 
 
+def with_timeout(batch: Callable[[], None], seconds: float, log: Callable[[str], None]) -> Callable[[], None]:
+    """A batch that is given up after so long; its error is logged and raised, and the caller's loop goes on.
+
+    Its Spark jobs run in a group of their own, which is cancelled.
+    """
+
+    def run() -> None:
+        spark = SparkSession.getActiveSession()
+        tag = f"batch-{uuid.uuid4().hex[:8]}"
+
+        def work() -> None:
+            if spark:
+                spark.addTag(tag)
+            batch()
+
+        pool = ThreadPoolExecutor(1)
+        try:
+            pool.submit(work).result(timeout=seconds)
+        except Exception as e:
+            if spark:
+                spark.interruptTag(tag)
+            log(f"{type(e).__name__}: {e}")
+            raise
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    return run
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events (ts, event_type) by window and type; late ones count up to the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))

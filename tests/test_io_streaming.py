@@ -91,6 +91,15 @@ def test_an_invalid_batch_leaves_the_old_output(spark, tmp_path):
     assert spark.read.parquet(target).first()["id"] == "a" and [p.name for p in tmp_path.iterdir()] == ["out"]
 
 
+def test_a_crash_between_the_renames_is_mended(spark, tmp_path):
+    target = f"file://{tmp_path}/out"
+    spark.range(3).write.parquet(f"{target}.old")  # the first rename was done, the second was not
+    sinks.recover(spark, target)
+    assert spark.read.parquet(target).count() == 3
+    sinks.replace_output(spark.range(5), target)
+    assert spark.read.parquet(target).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
 def test_run_status(spark, tmp_path):
     log = f"file://{tmp_path}/status"
     sinks.log_status(spark, log, "r", "processing")
@@ -115,8 +124,12 @@ def test_stream_equals_batch_and_replays_change_nothing(spark, tmp_path):
     history.upsert(root)(two, 1)  # the last batch again
     assert {r["job_id"]: r["seen_count"] for r in history.snapshot(spark, root).collect()} == {"a": 2, "b": 1}
     notes = []
-    history.isolated(lambda b, n: 1 / 0, lambda n, why: notes.append((n, why)))(one, 7)
-    assert notes[0][0] == 7 and "ZeroDivisionError" in notes[0][1]
+    history.isolated(lambda b, n: 1 / 0, lambda n, why: notes.append((n, why)), f"file://{tmp_path}/dead")(one, 7)
+    assert notes[0][0] == 7 and "ZeroDivisionError" in notes[0][1] and spark.read.parquet(f"file://{tmp_path}/dead/batch=7").count() == 1
+    for n in range(2, 6):  # old versions go, those that a replay of the last batch reads stay
+        history.upsert(root)(make([{"job_id": "a", "seen_count": 1, "last_seen_at": str(n), "ord": 0}]), n)
+    versions = history._versions(spark, root)
+    assert all(len(v) <= 2 for v in versions.values()) and {r["job_id"]: r["seen_count"] for r in history.snapshot(spark, root).collect()} == {"a": 6, "b": 1}
 
 
 def test_worker_loop():
