@@ -299,12 +299,41 @@ def test_quality_rules_keep_prose_and_reject_noise(spark, docs, rows, empty):
     assert perplexity.quality_rules(docs).count() == len(rows) and perplexity.quality_rules(empty).count() == 0
 
 
-def brute_syncmers(text, k, s):
-    import lodestrata.llm.syncmers as module
-
-    points = module._points(text)
-    one = {i: int(module.closed_syncmers(points[i : i + s], s, s)[1][0]) for i in range(len(points) - s + 1)}
-    return one
+def brute_syncmers(text, k=syncmers.K, s=syncmers.S):
+    """Places and inner hashes of the k-mers whose least s-mer is the first or the last, by definition."""
+    base, spread, mask = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+    value = lambda piece: sum((ord(c) * spread + 1) * pow(base, s - 1 - j, 1 << 64) for j, c in enumerate(piece)) & mask
+    inner = [int(common.mix64(np.array([value(text[i : i + s])], np.uint64))[0]) for i in range(len(text) - s + 1)]
+    return {i: (inner[i], inner[i + k - s]) for i in range(len(text) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])}
+
+
+def brute_likeness(a, b):
+    """Twice the longest list of common anchors in the order of both texts, by the number of anchors of both."""
+    firsts = []
+    for text in (a, b):
+        seen = {}
+        for i, edge in sorted(brute_syncmers(text).items()):
+            seen.setdefault(edge, i)
+        firsts.append(seen)
+    both = sorted((firsts[0][e], firsts[1][e]) for e in firsts[0].keys() & firsts[1].keys())
+    best = [1] * len(both)
+    for i in range(len(both)):
+        best[i] = 1 + max((best[j] for j in range(i) if both[j][1] < both[i][1]), default=0)
+    return 2 * max(best, default=0) / (len(firsts[0]) + len(firsts[1]))
+
+
+def test_fingerprints_equal_brute_force():
+    rng = random.Random(12)
+    base = prose(rng, 40)
+    texts = [base, base[:100] + "öß€" + base[100:], base[150:] + base[:150], prose(rng, 30), "日本語のテキスト" * 9, base.upper()]
+    for t in texts:
+        at, hashes = syncmers.closed_syncmers(syncmers._points(t))
+        want = brute_syncmers(t)
+        assert at.tolist() == sorted(want)
+        assert len(set(hashes.tolist())) == len(set(want.values()))
+    for x in texts:
+        for y in texts:
+            assert syncmers.Fingerprint(x).likeness(syncmers.Fingerprint(y)) == pytest.approx(brute_likeness(x, y))
 
 
 def test_closed_syncmers_are_context_free():
@@ -411,6 +440,15 @@ def test_factorisation_machine():
     assert 0 <= m.score("") <= 1
 
 
+def test_quality_is_learned(spark, sf):
+    """On the rows held out the classifier is right far more often than by the commoner label."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = crf_langid.fold(F.col("doc_id"), 4) == 2
+    m = fm_quality.fit(docs.select("doc_id", "text"), labels.where(~held))
+    got = fm_quality.predict(docs, m, "doc_id").where(held).join(labels, "doc_id").collect()
+    assert len(got) >= 10 and np.mean([r["predicted"] == r["quality"] for r in got]) >= 0.85
+
+
 def test_quality_frame(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     m = fm_quality.fit(docs.select("doc_id", "text"), labels)
