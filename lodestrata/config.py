@@ -28,6 +28,17 @@ IMPORT_TEXTS = ("id", "url", "title", "city", "recommendation", "pipeline", "ver
 IMPORT_OPTIONAL = tuple(f for f in SCALARS if f not in IMPORT_TEXTS) + ("recruiter_name", "recruiter_role", "recruiter_activity", "collected_at", "job_status")
 IMPORT_LISTS = ("missing_information", "review_reasons")
 IMPORT_OPTIONAL_LISTS = ("tags", "directions", "hard_filter_reasons", "positive_evidence")
+#: What the index leaves open, and words that classify a record's text, by scorer.
+MISSING = ("岗位当前开放状态", "完整JD", "公司信息", "办公地点", "发布时间", "招聘者信息")
+C_WORDS, B_WORDS = ("C端", "用户端", "App", "小程序"), ("B端", "企业SaaS", "商家后台", "内部系统")
+C_WORDS_JS, B_WORDS_JS, CORE_JS = (*C_WORDS, "消费者"), (*B_WORDS, "中后台"), ("核心链路", "交易链路")
+FORMS_OUT_PY, LAYERS_PY, LAYERS_OUT_PY = ("企业SaaS", "ERP", "CRM", "MES"), ("用户层", "核心链路", "交易链路"), ("纯内部系统", "开发者平台", "数据基础设施")
+SEVERE_PY = "严重真实性风险"
+EXCLUDED_OCR, ADJACENT_OCR = ("商业化广告", "支付产品", "金融产品", "数据治理", "医疗信息化"), "AI应用"
+#: Lines that are never a company, and words of recruiters.
+NOT_COMPANIES = ("C端产品", "B端产品", "产品", "AI产品", "电商产品")
+AGENT_WORD, AGENT_TYPE, STAFF_TYPE = "猎头", "猎头", "HR"
+STAFF_PATTERN = "(?i)招聘专家|招聘专员|招聘顾问|HR|人事专员|人力资源专员"
 # -------------------------------------------------------------------------------------------------
 
 

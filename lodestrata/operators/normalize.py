@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import COMPLETE_CAPTURES, INSUFFICIENT, SHANGHAI_PM, UNKNOWN, Profile
+from ..config import COMPLETE_CAPTURES, INSUFFICIENT, MISSING, SHANGHAI_PM, UNKNOWN, Profile
 from ..functions.text import display_summary, facts, normalize_text, normalize_title, optional_field
 from ..functions.url import canonical_url, detail_url, url_job_id, url_kind
 from ..functions.values import known, no_strings, or_unknown, strings, unique
 from ..schema import EVIDENCE, INDEX_EVIDENCE, INDEXED, RECORD, RESULT, conform
 from .dedupe import first_with_evidence
 
-MISSING = ("岗位当前开放状态", "完整JD", "公司信息", "办公地点", "发布时间", "招聘者信息")
-
 
 def normalize_results(results: DataFrame, profile: Profile = SHANGHAI_PM) -> DataFrame:
     """Every search result with kind (rejected, listing, job), reason, and a public record's columns.

@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CONSIDER, HIGH, INCOMPLETE_JD, INSUFFICIENT, REJECT, SHANGHAI_PM, TOP, UNKNOWN, Profile, validate_profile
+from ..config import (
+    ADJACENT_OCR, B_WORDS, B_WORDS_JS, C_WORDS, C_WORDS_JS, CONSIDER, CORE_JS, EXCLUDED_OCR, FORMS_OUT_PY, HIGH, INCOMPLETE_JD, INSUFFICIENT, LAYERS_OUT_PY, LAYERS_PY, REJECT, SEVERE_PY,
+    SHANGHAI_PM, TOP, UNKNOWN, Profile, validate_profile,
+)
 from ..functions.values import contains_any, is_unknown, known, no_strings, present, unique
 from ..schema import COMPONENTS, DIMENSIONS, RECORD, conform
 
-C_WORDS, B_WORDS = ("C端", "用户端", "App", "小程序"), ("B端", "企业SaaS", "商家后台", "内部系统")
-
 
 def _when(*arms: tuple[Column, str]) -> Column:
     """The first arm that holds, else unknown."""
@@ -42,7 +43,7 @@ def evidence_text(fields: tuple[str, ...], keep_unknown: bool = False, of: Field
 def infer_js(text: Column, profile: Profile, of: Fields = F.col) -> dict[str, Column]:
     directions = F.coalesce(of("directions"), no_strings())
     titled, here = of("title").contains(profile.role), of("city") == profile.city
-    b_side, c_side = contains_any(text, (*B_WORDS, "中后台")), contains_any(text, (*C_WORDS, "消费者"))
+    b_side, c_side = contains_any(text, B_WORDS_JS), contains_any(text, C_WORDS_JS)
     hits = lambda words: F.arrays_overlap(directions, F.array(*map(F.lit, words))) | contains_any(text, words)
     excluded = contains_any(text, profile.excluded)
     direction = _when((excluded, "excluded"), (hits(profile.priority), "priority"), (hits(profile.adjacent), "adjacent"))
@@ -52,7 +53,7 @@ def infer_js(text: Column, profile: Profile, of: Fields = F.col) -> dict[str, Co
         "city_fit": _when((here, "match"), (~is_unknown(of("city")), "mismatch")),
         "direction_fit": direction,
         "product_form_fit": _when((c_side, "priority"), (b_side, "conditional")),
-        "product_layer_fit": _when((contains_any(text, ("核心链路", "交易链路")), "priority"), (b_side, "conditional")),
+        "product_layer_fit": _when((contains_any(text, CORE_JS), "priority"), (b_side, "conditional")),
         "financing_fit": F.lit(UNKNOWN),
         "responsibility_fit": _when(((n >= 3) & contains_any(text, profile.delivery), "high"), (n > 0, "medium")),
         "role_fit": _when((titled, "preferred")),
@@ -71,15 +72,15 @@ def infer_py(text: Column, profile: Profile) -> dict[str, Column]:
     """No text but the eight fields; forms and layers can exclude; a title without the role is excluded."""
     titled, here = F.col("title").contains(profile.role), F.col("city") == profile.city
     n = _groups(text, profile)
-    severe = F.coalesce(F.exists("risk_flags", lambda x: F.coalesce(x["hard_reject"], F.lit(False))), F.lit(False)) | text.contains("严重真实性风险")
+    severe = F.coalesce(F.exists("risk_flags", lambda x: F.coalesce(x["hard_reject"], F.lit(False))), F.lit(False)) | text.contains(SEVERE_PY)
     level = lambda s: F.coalesce(F.exists("risk_flags", lambda x: F.coalesce(x["severity"] == s, F.lit(False))), F.lit(False))
     has = lambda words: contains_any(text, words)
     return {
         "title_fit": _when((titled, "preferred"), (~is_unknown("title"), "excluded")),
         "city_fit": _when((here, "match"), (~is_unknown("city"), "mismatch")),
         "direction_fit": _when((has(profile.excluded), "excluded"), (has(profile.priority), "priority"), (has(profile.adjacent), "adjacent")),
-        "product_form_fit": _when((has(C_WORDS), "priority"), (has(("企业SaaS", "ERP", "CRM", "MES")), "excluded")),
-        "product_layer_fit": _when((has(("用户层", "核心链路", "交易链路")), "priority"), (has(("纯内部系统", "开发者平台", "数据基础设施")), "excluded")),
+        "product_form_fit": _when((has(C_WORDS), "priority"), (has(FORMS_OUT_PY), "excluded")),
+        "product_layer_fit": _when((has(LAYERS_PY), "priority"), (has(LAYERS_OUT_PY), "excluded")),
         "financing_fit": F.lit(UNKNOWN),
         "responsibility_fit": _when(((n >= 3) & has(profile.delivery), "high"), (n >= 1, "medium")),
         "role_fit": _when((titled, "preferred")),
@@ -98,14 +99,14 @@ def infer_ocr(title: Column, detail: Column, directions: Column, experience: Col
     """Classes of captured text, duties counted in their own section alone; risk is left to the scorer."""
     text = F.concat_ws(" ", title, F.coalesce(detail, F.lit("")))
     c_side, b_side = contains_any(text, C_WORDS), contains_any(text, B_WORDS)
-    excluded = contains_any(text, ("商业化广告", "支付产品", "金融产品", "数据治理", "医疗信息化"))
+    excluded = contains_any(text, EXCLUDED_OCR)
     priority = F.arrays_overlap(directions, F.array(*map(F.lit, profile.priority)))
     have = known(duties).isNotNull()
     side = _when((c_side, "priority"), (b_side, "conditional"))
     found = {
         "title_fit": _when((title.contains(profile.role), "preferred")),
         "city_fit": F.lit("match"),
-        "direction_fit": _when((excluded, "excluded"), (priority, "priority"), (F.array_contains(directions, "AI应用"), "adjacent")),
+        "direction_fit": _when((excluded, "excluded"), (priority, "priority"), (F.array_contains(directions, ADJACENT_OCR), "adjacent")),
         "product_form_fit": side,
         "product_layer_fit": side,
         "responsibility_fit": _when((have & (_groups(duties, profile) >= 3) & contains_any(duties, profile.delivery), "high"), (have, "medium")),
