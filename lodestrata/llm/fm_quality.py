@@ -10,8 +10,8 @@ a digest of the id, evenly over the labels; rows are weighted back, so scores ke
 sample have fixed bounds whatever the corpus.
 
 Edge cases: null text counts as empty, and gets a score too; without any labelled row every score is 0.5; of several
-labels of one id each counts; repeated rows keep a row each; an empty table gives an empty result; other columns are
-ignored; texts are scored whole.
+labels of one id each counts, with the least text of the rows that have the id; repeated rows keep a row each; an empty
+table gives an empty result; other columns are ignored; texts are scored whole.
 """
 
 from __future__ import annotations
@@ -140,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", max_r
             columns = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.float32(), pa.float64()))]
             yield pa.record_batch([b.column(0), b.column(1), *columns], names=["label", "place", "bucket", "weight", "stats"])
 
-    rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("label", "place", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # 2 * max_rows at most, and so are the texts
+    rows = rows.groupBy("doc_id", "label", "place").agg(F.min("text").alias("text")).select("label", "place", "text")
     rows = rows.mapInArrow(run, "label int, place double, bucket array<int>, weight array<float>, stats array<double>").toArrow()
     order = np.argsort(rows["place"].to_numpy(), kind="stable")
     out = []
