@@ -297,6 +297,8 @@ def test_quality_rules_keep_prose_and_reject_noise(spark, docs, rows, empty):
     assert len(got) == df.count()
     assert not [g for g in got if not g[2] and g[1] == (g[0].endswith("copy") or "noise" in g[0])]
     assert perplexity.quality_rules(docs).count() == len(rows) and perplexity.quality_rules(empty).count() == 0
+    short = perplexity.quality_rules(docs.where("n_chars < 60")).collect()  # no text passes, so there is no model
+    assert short and all(r["base_failed"] and not r["kept"] for r in short)
 
 
 def brute_syncmers(text, k=syncmers.K, s=syncmers.S):
