@@ -107,7 +107,8 @@ def direction_counts(spark, d):
 
 
 def item_split_top3(spark, d):
-    return _t(spark, d, "documents").select("doc_id", list_items(F.col("text")).alias("items"))
+    numbered = F.concat(F.lit("1、"), F.regexp_replace("text", r"\n", F.lit(" 2) ")), F.lit("；3．der"))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(list_items(numbered), "|").alias("items"))
 
 
 def reject_reasons(spark, d):
@@ -198,6 +199,12 @@ p AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i)
 g AS (SELECT conv_id, list(p ORDER BY turn) AS g FROM p GROUP BY conv_id),
 m AS (SELECT conv_id, list_reduce(g, lambda a, b: list_concat(a, b[list_max(list_filter(range(0, 13), lambda n: n <= len(a) AND n <= len(b) AND a[len(a) - n + 1:] = b[1:n])) + 1:]), CAST([] AS VARCHAR[])) AS m FROM g)
 SELECT conv_id, len(m) AS n_lines, md5(array_to_string(m, chr(10))) AS lines_md5 FROM m""",
+    "item_split_top3": r"""
+WITH n AS (SELECT doc_id, '1、' || replace(text, chr(10), ' 2) ') || '；3．der' AS t FROM documents),
+s AS (SELECT doc_id, string_split(regexp_replace(t, '(^|[\s;；。])(\d{1,2}[、.．)）])', chr(1) || '\1\2', 'g'), chr(1)) AS l FROM n),
+i AS (SELECT doc_id, list_filter(list_transform(l, lambda x: regexp_replace(regexp_replace(x, '^[\s;；。]*\d{1,2}[、.．)）]\s*', ''), '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 4) AS l FROM s),
+k AS (SELECT doc_id, l, list_transform(l, lambda x: left(x, 24)) AS k FROM i)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(k, left(x, 24)) = i)[1:3], '|') AS items FROM k""",
     "direction_tags": f"WITH {_DIRECTIONS} SELECT doc_id, array_to_string(t, ',') AS tags FROM l",
     "direction_counts": f"WITH {_DIRECTIONS}, u AS (SELECT unnest(t) AS tag FROM l) SELECT tag, count(*) AS n FROM u GROUP BY tag",
     "reject_reasons": """
