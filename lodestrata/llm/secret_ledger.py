@@ -90,22 +90,28 @@ def read_ledger(spark, path: str, version: str) -> DataFrame | None:
     return rows.select("blob", "spans").dropDuplicates(["blob"])
 
 
+def fill_ledger(texts: DataFrame, ledger_path: str, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
+    """Scan the texts whose pair of blob and rule version the ledger lacks, one for each blob, and append the pairs."""
+    spark, version = texts.sparkSession, rules_version(rules)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    unseen = texts.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
+    known = read_ledger(spark, ledger_path, version)
+    if known is not None:
+        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
+    found = scan(unseen.dropDuplicates(["blob"]), rules)
+    with common.swept(spark):
+        found.select("blob", F.lit(version).alias("rules"), "spans").write.mode("append").parquet(ledger_path)
+
+
 def scan_versions(versions: DataFrame, ledger_path: str, *, path_cols: tuple[str, ...] = ("path",), text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of ``versions``: its path columns, blob and spans. The ledger gains the pairs that it lacked."""
-    spark, version = versions.sparkSession, rules_version(rules)
+    spark = versions.sparkSession
     paths = [f"path_{i}" for i in range(len(path_cols))]  # own names, as a path column may be called blob or spans
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = versions.select(*(F.col(c).alias(p) for c, p in zip(path_cols, paths)), F.sha2(text, 256).alias("blob"))
+    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob")
     with common.Scratch(spark) as scratch:
-        keyed = scratch.table(keyed, "secret-paths")
-        unseen = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
-        known = read_ledger(spark, ledger_path, version)
-        if known is not None:
-            unseen = unseen.join(known.select("blob"), "blob", "left_anti")
-        found = scan(unseen.dropDuplicates(["blob"]), rules)
-        with common.swept(spark):
-            found.select("blob", F.lit(version).alias("rules"), "spans").write.mode("append").parquet(ledger_path)
-        out = common.look_up(keyed, read_ledger(spark, ledger_path, version), "blob")
+        keyed = scratch.table(versions.select(*(F.col(c).alias(p) for c, p in zip(path_cols, paths)), blob), "secret-paths")
+        fill_ledger(versions, ledger_path, text_col=text_col, rules=rules)
+        out = common.look_up(keyed, read_ledger(spark, ledger_path, rules_version(rules)), "blob")
         out = scratch.keep(scratch.table(out.select(*paths, "blob", "spans"), "secret-findings"))
     return out.toDF(*path_cols, "blob", "spans")
 
@@ -120,7 +126,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     text = F.coalesce(F.col(text_col), F.lit(""))
     blob, spans = common.free(docs.columns, "secret_blob", "secret_spans")
     ledger_path = ledger_path or common.scratch_path(docs.sparkSession, "ledger")
-    scan_versions(docs.select(F.sha2(text, 256).alias("path"), text_col), ledger_path, text_col=text_col, rules=rules)
+    fill_ledger(docs, ledger_path, text_col=text_col, rules=rules)
     found = read_ledger(docs.sparkSession, ledger_path, rules_version(rules)).where(F.size("spans") > 0)
     found = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     zero = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<string>").alias("parts"))
