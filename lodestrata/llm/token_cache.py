@@ -75,7 +75,7 @@ class TokenizerFile:
         return _counter(self.kind, self.blob)(texts)
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
+def groups(texts: list[str]) -> Iterator[list[str]]:
     group, chars = [], 0
     for t in texts:
         group.append(t)
@@ -99,7 +99,7 @@ def token_counts(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [n for g in _groups(b.column(1).to_pylist()) for n in file.count(g)]
+            counts = [n for g in groups(b.column(1).to_pylist()) for n in file.count(g)]
             yield pa.record_batch([b.column(0), pa.array([file.version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
     with common.Scratch(spark) as scratch:
