@@ -137,7 +137,7 @@ def _usual_keys(docs: DataFrame, n: int, percent: int, scratch: common.Scratch)
 
 
 def _features(docs: DataFrame, n: int, percent: int, usual: np.ndarray | None, every: bool = False, bits: int = 64) -> DataFrame:
-    """doc_id, n_shingles, set_id and check (null if empty) and keys; a task gives the keys of equal sets once."""
+    """doc_id, text_id (a hash of the text), n_shingles, set_id and check (null if empty) and keys; a task gives the keys of equal sets once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +153,18 @@ def _features(docs: DataFrame, n: int, percent: int, usual: np.ndarray | None, e
                 keys.append(sketch_keys(hashes, percent, usual, every).view(np.int64) if fresh else none)
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([none, *keys])))
-            columns = [b.column(0), pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), lists]
-            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "set_id", "check", "keys"])
+            columns = [b.column(0), b.column(2), pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), lists]
+            yield pa.record_batch(columns, names=["doc_id", "text_id", "n_shingles", "set_id", "check", "keys"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, check long, keys array<long>")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
+    return docs.mapInArrow(run, f"doc_id {kind}, text_id long, n_shingles long, set_id long, check long, keys array<long>")
 
 
 def _told_apart(rows: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with ids that differ wherever the checks do, and the classes: set_id, check, doc_id, size, first_id (the id as digested)."""
-    sets = rows.where(F.col("set_id").isNotNull()).groupBy(F.col("set_id").alias("first_id"), "check").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
+    """``rows`` with ids that differ wherever the checks do, and the classes: set_id, check, doc_id, size, first_id (the id as digested), text_id (of a row with the doc_id)."""
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id"))
+    sets = rows.where(F.col("set_id").isNotNull()).groupBy(F.col("set_id").alias("first_id"), "check").agg(one.alias("one"), F.first("n_shingles").alias("size"))
+    sets = sets.select("first_id", "check", "one.doc_id", "one.text_id", "size")
     sets = scratch.table(sets, "jaccard-sets-by-id")
     twice = sets.groupBy("first_id").agg(F.min("check").alias("lead"), F.max("check").alias("last")).where("lead <> last").select("first_id", "lead")
     moved = sets.join(twice, "first_id").where("check <> lead").select(F.col("first_id").alias("m_id"), F.col("check").alias("m_check"), F.xxhash64("first_id", "check", F.lit(1)).alias("moved"))
@@ -172,7 +175,7 @@ def _told_apart(rows: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, Da
         sets = sets.join(moved, (F.col("first_id") == F.col("m_id")) & (F.col("check") == F.col("m_check")), "left")
     else:
         sets = sets.withColumn("moved", F.lit(None).cast("long"))
-    return rows, sets.select(F.coalesce("moved", "first_id").alias("set_id"), "check", "doc_id", "size", "first_id")
+    return rows, sets.select(F.coalesce("moved", "first_id").alias("set_id"), "check", "doc_id", "size", "first_id", "text_id")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, bits: int) -> DataFrame:
@@ -190,8 +193,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, bits: int) -> DataFrame:
             lists = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (sets, [s[0] for s in sketches], [s[1] for s in sketches])]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *lists], names=["set_id", "size", "hashes", "sketch", "double_sketch"])
 
-    wanted = wanted.select(F.col("doc_id").alias("w_doc_id"), "set_id", "first_id", "check")
-    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc_id"))).select("text", "set_id", "first_id", "check")
+    # by id and text: of rows that share an id, or have none, a class meets those with its text only
+    wanted = wanted.select(F.col("doc_id").alias("w_doc_id"), "text_id", "set_id", "first_id", "check")
+    docs = docs.withColumn("text_id", F.xxhash64("text"))
+    found = docs.join(wanted, (docs["text_id"] == wanted["text_id"]) & F.col("doc_id").eqNullSafe(F.col("w_doc_id"))).select("text", "set_id", "first_id", "check")
     found = found.mapInArrow(run, "set_id long, size long, hashes array<long>, sketch array<long>, double_sketch array<long>")
     return found.dropDuplicates(["set_id"])  # rows may share an id and a text
 
@@ -267,7 +272,7 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str
         keys = rows.where("size(keys) > 0").select("set_id", F.explode("keys").alias("key"))
         least = keys.groupBy("key").agg(F.min("set_id").alias("p"), F.max("set_id").alias("last")).where("p <> last").select("key", "p")
         members = scratch.table(keys.join(least, "key").where("set_id <> p").distinct(), "jaccard-members")
-        rows = scratch.table(rows.drop("keys"), "jaccard-narrow")
+        rows = scratch.table(rows.drop("keys", "text_id"), "jaccard-narrow")
         scratch.drop(found)
 
         wanted = members.select("set_id").union(members.select("p")).distinct()

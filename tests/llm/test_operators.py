@@ -126,6 +126,23 @@ def test_jaccard_join(docs, rows, n, percent):
         assert sorted(str(tuple(r)) for r in got) == brute_classes(rows, n, percent)
 
 
+@pytest.mark.parametrize("ids", ["none", "one", "third"])
+def test_jaccard_join_under_shared_ids(spark, ids):
+    """Ids that no row has, that all share, or a third: a class meets its own text only, and classes are as by own ids."""
+    rng = random.Random(8)
+    texts = [t for _ in range(20) for base in [prose(rng, 60)] for t in (base, base + " end", base.upper(), base)]
+    rows = [(None if ids == "none" else 5 if ids == "one" or i % 3 == 0 else i + 100, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = ngram_jaccard.jaccard_join(df, n=4, percent=85)
+    assert sorted(str(tuple(r)) for r in found.select("doc_id", "n_shingles", "component_id").collect()) == brute_classes(rows, 4, 85)
+    with common.Scratch(spark) as scratch:
+        features, classes = ngram_jaccard._told_apart(ngram_jaccard._features(df, 4, 85, np.empty(0, np.uint64)), scratch)
+        met = ngram_jaccard._sets(df, classes, 4, 64)
+        assert met.count() == classes.count() == 40
+        join = next(line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
+        assert "text_id" in join and "<=>" in join
+
+
 def test_jaccard_join_finds_chains_and_clouds(spark, empty):
     """Near copies whose links form chains, and texts that share a long passage but do not link."""
     rng = random.Random(3)
