@@ -3,9 +3,8 @@
 A text is brought to its normal form by longest-prefix matches in the model's compiled character map, which is walked
 for all places of the text at once, a byte a step. Every byte of the normal form keeps the original byte at which the
 match that made it began; this alignment projects each piece, whatever the map inserted, dropped or merged before it, to
-a span of the original bytes. Pieces themselves come from the library, from the model without its normaliser, run by
-run: where no piece of the vocabulary crosses into a space mark, the runs between such places never merge, so each
-different run is encoded once a worker and remembered.
+a span of the original bytes. Pieces themselves come from the library, from the model without its normaliser; their
+places in the normal form are sums of their lengths, taken for a group of texts at once.
 
 Rows are independent: nothing is shuffled, and a task holds one group of texts at a time.
 
@@ -17,7 +16,6 @@ original character became, too, the last spans it. Models with user-defined symb
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +27,6 @@ from pyspark.sql import functions as F
 from . import common, token_cache
 
 MARK = "▁"
-#: Runs of more characters are encoded without being remembered; the memory is emptied at MEMORY runs.
-LONG_RUN, MEMORY = 64, 400_000
 ENCODED = "doc_id {}, ids array<int>, begins array<int>, ends array<int>, n_bytes long, covered_bytes long"
 
 
@@ -70,24 +66,31 @@ class CharMap:
             value[alive[ends]] = self.units[node[ends]] & ((1 << 31) - 1)
         return length, value
 
-    def apply(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The replaced bytes, and for each the original byte at which its match or character begins."""
+    def _text(self, value: int) -> bytes:
+        return self.texts[value : self.texts.index(b"\0", value)]
+
+    def apply(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The replaced bytes, for each the original byte at which its match or character begins, and where leading spaces end."""
         starts = np.flatnonzero((raw & 0xC0) != 0x80)
         sizes = np.diff(np.append(starts, len(raw)))
         length, value = self.matches(raw, starts)
         origin = np.repeat(starts, sizes)
+        lead = 0
+        while lead < len(starts) and (self._text(int(value[lead])) == b" " if length[lead] else raw[starts[lead]] == 32):
+            lead = int(np.searchsorted(starts, starts[lead] + max(1, length[lead])))
+        lead = int(starts[lead]) if lead < len(starts) else len(raw)
         parts, origins, at = [], [], 0
         for i in np.flatnonzero(length).tolist():
             begin = int(starts[i])
             if begin < at:  # inside the match before
                 continue
-            text = self.texts[int(value[i]) : self.texts.index(b"\0", int(value[i]))]
+            text = self._text(int(value[i]))
             parts += [raw[at:begin], np.frombuffer(text, np.uint8)]
             origins += [origin[at:begin], np.full(len(text), begin)]
             at = begin + int(length[i])
         if not parts:
-            return raw, origin
-        return np.concatenate([*parts, raw[at:]]), np.concatenate([*origins, origin[at:]])
+            return raw, origin, lead
+        return np.concatenate([*parts, raw[at:]]), np.concatenate([*origins, origin[at:]]), lead
 
 
 class Pieces:
@@ -109,12 +112,13 @@ class Pieces:
         self.prefix = spec.add_dummy_prefix and not model.trainer_spec.treat_whitespace_as_suffix
         self.suffix = spec.add_dummy_prefix and model.trainer_spec.treat_whitespace_as_suffix
         self.space = np.frombuffer((MARK if self.escape else " ").encode(), np.uint8)
-        crossing = any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in model.pieces if p.type == kinds.NORMAL)
-        self.by_run = model.trainer_spec.model_type == model.trainer_spec.BPE and model.trainer_spec.byte_fallback and not crossing
+        # with byte pieces every id stands for so many bytes of the normal form; without, the library says what it stands for
+        self.by_length = model.trainer_spec.model_type == model.trainer_spec.BPE and model.trainer_spec.byte_fallback
+        self.byte_values = np.array([int(p.piece[3:5], 16) if p.type == kinds.BYTE else -1 for p in model.pieces])
+        self.lengths = np.where(self.byte_values >= 0, 1, [len(p.piece.encode()) for p in model.pieces])
         spec.precompiled_charsmap, spec.name, spec.normalization_rule_tsv = b"", "identity", b""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.memory: dict[str, tuple[bytes, bytes, bytes, int]] = {}
 
     def normal(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normal form, and for each of its bytes, and its end, the original byte that it comes from."""
@@ -123,8 +127,9 @@ class Pieces:
             out, origin = raw, np.arange(len(raw))
             whole = (raw & 0xC0) != 0x80
             origin = origin[whole][np.cumsum(whole) - 1] if len(raw) else origin
+            lead = len(raw) - len(text.lstrip(" ").encode("utf-8", "replace")) if self.squeeze else 0
         else:
-            out, origin = self.map.apply(raw)
+            out, origin, lead = self.map.apply(raw)
         end, blank = len(raw), out == 32
         if self.squeeze:
             keep = ~blank
@@ -136,7 +141,7 @@ class Pieces:
             out, origin, blank = out[keep], origin[keep], blank[keep]
         elif not len(raw):
             return b"", np.array([0])
-        first = int(origin[0]) if len(origin) else end
+        first = lead if self.squeeze else 0
         width = len(self.space)
         if self.escape:
             times = np.where(blank, width, 1)
@@ -156,34 +161,35 @@ class Pieces:
             done, origin = done + self.space.tobytes(), np.append(origin, np.full(width, end))
         return done, origin
 
-    def _learn(self, runs: list[str]) -> dict[str, tuple[bytes, bytes, bytes, int]]:
-        found = {}
-        for run, got in zip(runs, self.bare.encode(runs, return_type="proto", num_threads=1)):
-            ids, begins, ends = (np.array([getattr(p, k) for p in got.pieces], np.int32).tobytes() for k in ("id", "begin", "end"))
-            found[run] = ids, begins, ends, len(run.encode())
-        return found
+    def _spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of normal forms that stand one after another begin and end, from the pieces' lengths."""
+        ends = np.cumsum(self.lengths[ids])
+        begins = ends - self.lengths[ids]
+        values = self.byte_values[ids]
+        if (values >= 0).any():
+            inner = (values & 0xC0) == 0x80
+            inner &= values >= 0
+            begins = np.maximum.accumulate(np.where(inner, 0, begins))  # a character's later bytes begin where it does
+            ends = np.where((values >= 0) & np.append(inner[1:], False), begins, ends)
+        return begins, ends
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each text its ids, and the original bytes at which each piece begins and ends."""
         forms = [self.normal(t) for t in texts]
-        split = [(re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", f.decode()) if self.by_run else [f.decode()] if f else []) for f, _ in forms]
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        wanted = {r for runs in split for r in runs}
-        known = self.memory
-        short = [r for r in wanted if r not in known and len(r) <= LONG_RUN]
-        known.update(self._learn(short))
-        long = [r for r in wanted if len(r) > LONG_RUN]
-        if long:
-            known = known | self._learn(long)
-        out = []
-        for (_, origin), runs in zip(forms, split):
-            got = [known[r] for r in runs]
-            ids, begins, ends = (np.frombuffer(b"".join([g[k] for g in got]), np.int32) for k in range(3))
-            sizes = np.array([g[3] for g in got], np.int64)
-            shift = np.repeat(np.cumsum(sizes) - sizes, np.array([len(g[0]) // 4 for g in got], np.int64))
-            out.append((ids, origin[begins + shift], origin[ends + shift]))
-        return out
+        plain = [f.decode() for f, _ in forms]
+        if not self.by_length:
+            got = [p.pieces for p in self.bare.encode(plain, return_type="proto", num_threads=1)]
+            return [tuple(a if k == "id" else origin[a] for k in ("id", "begin", "end") for a in [np.array([getattr(x, k) for x in p], np.int64)]) for (_, origin), p in zip(forms, got)]
+        parts = [np.asarray(x, np.int32) for x in self.bare.encode(plain, return_type="numpy", num_threads=1)]
+        if not parts:
+            return []
+        cuts = np.cumsum([len(p) for p in parts])
+        ids = np.concatenate(parts)
+        begins, ends = self._spans(ids)
+        text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])  # each form is followed by its end
+        origin = np.concatenate([o for _, o in forms])
+        begins, ends = (np.split(origin[x + text], cuts[:-1]) for x in (begins, ends))
+        return list(zip(parts, begins, ends))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.full.decode(ids, num_threads=1)
