@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import ARRAYS, COMPLETE_CAPTURES, HIGH, IMPORT_LISTS, IMPORT_OPTIONAL, IMPORT_OPTIONAL_LISTS, IMPORT_TEXTS, INSUFFICIENT, PIPELINES, RECOMMENDATIONS, REJECT, SCALARS, SHANGHAI_PM, TOP, UNKNOWN, VERIFICATIONS, Profile
@@ -56,10 +58,14 @@ def _rules(p: Profile) -> list[tuple[str, Column]]:
     ]
 
 
+def _with_repeats(records: DataFrame) -> DataFrame:
+    df = conform(records, RECORD)
+    return df.withColumn("__ids", F.count("*").over(Window.partitionBy("id"))).withColumn("__urls", F.count("*").over(Window.partitionBy("url")))
+
+
 def violations(records: DataFrame, profile: Profile = SHANGHAI_PM) -> DataFrame:
     """A row (id, url, rule) for every rule that a record breaks."""
-    df = conform(records, RECORD)
-    df = df.withColumn("__ids", F.count("*").over(Window.partitionBy("id"))).withColumn("__urls", F.count("*").over(Window.partitionBy("url")))
+    df = _with_repeats(records)
     broken = F.array_compact(F.array(*(F.when(cond, F.lit(rule)) for rule, cond in _rules(profile))))
     return df.select("id", "url", F.explode(broken).alias("rule"))
 
@@ -70,6 +76,38 @@ def assert_valid(records: DataFrame, profile: Profile = SHANGHAI_PM) -> None:
         raise ContractError("\n".join(f"{r['id'] or r['url'] or UNKNOWN}: {r['rule']}" for r in found))
 
 
+def observed(records: DataFrame, profile: Profile = SHANGHAI_PM) -> tuple[DataFrame, Callable[[], dict]]:
+    """The records in the contract's columns, and what the one job that runs over them next will have counted.
+
+    Call the second when the job, as a rule the write of the records, is done: ``rules`` (violations by rule, without
+    those that are 0), ``captures`` (records by capture status: those that are complete, unknown, other) and the counts of ``metrics.metadata_counts``. Counting
+    needs no scan of its own; repeated ids and urls cost the shuffles that ``violations`` needs too.
+    """
+    rules = _rules(profile)
+    statuses = [*COMPLETE_CAPTURES, UNKNOWN]
+    status = F.coalesce("capture_status", F.lit(UNKNOWN))
+    watch = Observation()
+    df = _with_repeats(records).observe(
+        watch,
+        F.count("*").alias("job_count"),
+        F.count_if(F.col("verification_status") == "needs_review").alias("review_count"),
+        F.count_if(F.col("verification_status") == "captured_jd").alias("captured_count"),
+        F.count_if(F.col("recommendation") == REJECT).alias("not_recommended_count"),
+        *(F.count_if(F.coalesce(cond, F.lit(False))).alias(f"rule_{i}") for i, (_, cond) in enumerate(rules)),
+        *(F.count_if(status == s).alias(f"capture_{i}") for i, s in enumerate(statuses)),
+        F.count_if(~status.isin(*statuses)).alias("capture_other"),
+    )
+
+    def counted() -> dict:
+        got = watch.get
+        out = {k: v for k, v in got.items() if k.endswith("_count")}
+        out["rules"] = {rule: got[f"rule_{i}"] for i, (rule, _) in enumerate(rules) if got[f"rule_{i}"]}
+        out["captures"] = {s: n for s, n in [*((s, got[f"capture_{i}"]) for i, s in enumerate(statuses)), ("other", got["capture_other"])] if n}
+        return out
+
+    return df.drop("__ids", "__urls"), counted
+
+
 #: The strict subset that an imported file must pass, and the subset that captures must pass.
 IMPORT_RULES = ("id:", "url:", "city: out", "title: out", "recommendation: not allowed", "pipeline: not allowed", "verification_status: not allowed", "score: outside", "match_score: outside", "public record", "needs_review in", "captured_jd without text", "closed")
 CAPTURE_RULES = ("id: missing", "id: repeated", "url:", "city:", "title:", "recommendation:", "match_score:", "evidence_confidence:", "score_components: not", "hard_filter_reasons: not", "scoring_config_version: missing", "evidence_source: empty", "review_reasons: not", "needs_review in", "top tier")
