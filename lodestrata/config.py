@@ -10,6 +10,13 @@ UNKNOWN = "unknown"
 RECOMMENDATIONS = ("优先推荐", "可以考虑", "谨慎评估", "不推荐", "信息不足")
 TOP, CONSIDER, CAUTION, REJECT, INSUFFICIENT = RECOMMENDATIONS
 HIGH = (TOP, CONSIDER)
+#: Fixed patterns of captured texts: how a numbered item begins, signs of the person to contact, usual misreadings, pay.
+ITEM_PATTERN = r"(?:\d{1,2}[、.)]|[一二三四五六七八九十]+、)"
+CONTACT_PATTERN = r"(?i)(?:[\x{4e00}-\x{9fa5}]{1,4}(?:女士|先生)\s*[vV]|招聘(?:专家|HR|专员|顾问)|HRBP?\b|[vV]\s*[•·]\s*(?:在线|今日活跃|刚刚活跃))"
+MISREADINGS = ((r"\b020\b", "O2O"), (r"\bAl\b", "AI"), (r"\s+([，。；：、！？）】》])", "$1"), (r"([（【《])\s+", "$1"))
+SALARY = r"(?:\d+(?:\.\d+)?-\d+(?:\.\d+)?K(?:·\d+薪)?|\d+-\d+元/(?:时|天))"
+SALARY_K = r"\d+(?:\.\d+)?-\d+(?:\.\d+)?K(?:·\d+薪)?"
+PAGE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 PIPELINES = ("public_index", "ocr_jd")
 VERIFICATIONS = ("unverified_index_snapshot", "captured_jd", "needs_review")
 COMPLETE_CAPTURES = ("captured", "detail_captured", "list_detail_captured")
@@ -125,16 +132,24 @@ class Profile:
     noise_marks: tuple[str, ...] = (
         "与BOSS随时沟通", "求职工具", "工作地址", "APP 有了", "消息 简历", "消息\n简历", "查看更多信息", "升级VIP", "微信扫码分享", "不合适",
     )
+    # headings at which a captured text may begin, and headings that are taken off its start
     display_headings: tuple[str, ...] = (
         "职位描述", "岗位描述", "岗位职责", "职位职责", "工作职责", "工作内容", "职责概述", "职责描述", "工作要求", "能力要求", "任职要求", "职位要求",
-        "岗位要求", "必备要求", "硬性要求",
+        "必备要求", "硬性要求",
+    )
+    leading_headings: tuple[str, ...] = (
+        "职位描述", "岗位描述", "岗位职责", "职位职责", "工作职责", "工作内容", "职责概述", "职责描述", "职位要求", "任职要求", "岗位要求", "工作要求",
+        "能力要求", "必备要求", "硬性要求", "一、必备要求",
     )
     display_noise: tuple[str, ...] = (
-        "BOSS 直聘", "首页", "职位", "公司", "校园•海归", "APP 有了", "消息", "简历", "雷宇若", "地图", "求职工具", "打动老板", "查看更多信息", "升级VIP",
+        "BOSS 直聘", "首页", "职位", "公司", "校园•海归", "APP 有了", "消息", "简历", "地图", "求职工具", "打动老板", "查看更多信息", "升级VIP",
         "去App", "收藏", "立即沟通", "工作地址", "与BOSS随时沟通",
     )
-    chrome_words: tuple[str, ...] = ("不合适", "微信扫码", "分享", "举报", "添加求职期望", "城市", "工作经验", "学历", "招聘者")
-    misread_words: tuple[str, ...] = ("地图", "添加求职期望", "基干", "古项", "植牌", "音技", "彑联网", "宙核", "场号")
+    #: Names that stand on the pages of whoever captured them; none by default.
+    noise_names: tuple[str, ...] = ()
+    chrome_pattern: str = r"不合适|微信扫码|分享|举报|推荐\s*[|｜].{0,12}经理|添加求职期望|城市|工作经验|学历|招聘者|[？?]\s*R\b"
+    misread_pattern: str = r"[？?]\s*R\b|上海[^\n]{0,20}\d{1,2}-\d{1,2}年|地图|添加求职期望|基干|古项|植牌|音技|彑联网|宙核|场号"
+    page_top_pattern: str = r"^(?:[？?]\s*R?\s*(?:上海[^\d]{0,18}\d{1,2}-\d{1,2}年[^\d]{0,8})?|[\]】）)·•]+)\s*"
     duty_sections: tuple[str, ...] = ("岗位职责", "职位职责", "工作职责", "工作内容")
     requirement_sections: tuple[str, ...] = ("任职要求", "职位要求", "工作要求", "硬性要求", "必备要求")
     closing_sections: tuple[str, ...] = ("岗位职责", "职位职责", "工作职责", "工作内容", "我们提供", "公司福利")

@@ -7,15 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import NO_TEXT, NOT_KNOWN, SHANGHAI_PM, VERIFICATION_LABELS, Profile
+from ..config import CONTACT_PATTERN, ITEM_PATTERN, MISREADINGS, NO_TEXT, NOT_KNOWN, SHANGHAI_PM, VERIFICATION_LABELS, Profile
 from .text import squeeze, strip
 from .values import is_unknown, known, let, no_strings
 
 HAN = r"[\x{4e00}-\x{9fff}]"
-#: How a numbered item begins: a number or an ideograph for one, and its mark.
-ITEM = r"(?:\d{1,2}[、.)]|[一二三四五六七八九十]+、)"
-#: Signs of the person to contact.
-CONTACT = r"(?i)(?:[\x{4e00}-\x{9fa5}]{1,4}(?:女士|先生)\s*v|招聘(?:专家|HR|专员|顾问)|HRBP?\b|v\s*[•·]\s*(?:在线|今日活跃|刚刚活跃))"
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -36,7 +32,7 @@ def repaired(text: Column) -> Column:
     out = squeeze(text)
     for _ in range(3):
         out = F.regexp_replace(out, f"({HAN})\\s+({HAN})", "$1$2")
-    for pattern, right in ((r"\b020\b", "O2O"), (r"\bAl\b", "AI"), (r"\s+([，。；：、！？）】》])", "$1"), (r"([（【《])\s+", "$1")):
+    for pattern, right in MISREADINGS:
         out = F.regexp_replace(out, pattern, right)
     return out
 
@@ -44,14 +40,14 @@ def repaired(text: Column) -> Column:
 def _begun(text: Column, profile: Profile) -> Column:
     """From the first heading; without one from the first item, if what stands before it is page chrome."""
     heading = _place(text, _any(profile.display_headings))
-    item = _place(text, rf"(?:^|\s){ITEM}")
-    chrome = F.left(text, F.greatest(item - 1, F.lit(0))).rlike(rf"{_any(profile.chrome_words)}|推荐\s*[|｜].{{0,12}}经理|[？?]\s*R\b")
+    item = _place(text, rf"(?:^|\s){ITEM_PATTERN}")
+    chrome = F.left(text, F.greatest(item - 1, F.lit(0))).rlike(profile.chrome_pattern)
     return F.when(heading > 1, _from(text, heading)).when((item > 1) & chrome, _from(text, item)).otherwise(text)
 
 
 def _ended(text: Column, profile: Profile) -> Column:
     """Up to the first sign of the page around it or of a contact, if something stands before that."""
-    at = F.least(*(F.when(place > 1, place) for place in (*(F.instr(text, m) for m in profile.display_noise), _place(text, CONTACT))))
+    at = F.least(*(F.when(place > 1, place) for place in (*(F.instr(text, m) for m in (*profile.display_noise, *profile.noise_names)), _place(text, CONTACT_PATTERN))))
     return F.coalesce(strip(F.left(text, at - 1)), text)
 
 
@@ -59,15 +55,15 @@ def display_text(text: Column, profile: Profile = SHANGHAI_PM) -> Column:
     """A captured text for display; empty for what is not known."""
     body = let(repaired(F.coalesce(known(text), F.lit(""))), lambda t: _begun(t, profile))
     body = strip(F.regexp_replace(body, r"[？?]\s*R?\s*$", ""))
-    body = F.regexp_replace(body, rf"^(?:[？?]\s*R?\s*(?:{profile.city}[^\d]{{0,18}}\d{{1,2}}-\d{{1,2}}年[^\d]{{0,8}})?|[\]】）)·•]+)\s*", "")
-    return strip(F.regexp_replace(let(body, lambda t: _ended(t, profile)), rf"^(?:一、)?{_any(profile.display_headings)}[：:]?\s*", ""))
+    body = F.regexp_replace(body, profile.page_top_pattern, "")
+    return strip(F.regexp_replace(let(body, lambda t: _ended(t, profile)), rf"^{_any(profile.leading_headings)}[：:]?\s*", ""))
 
 
 def display_items(text: Column, profile: Profile = SHANGHAI_PM, most: int = 3, least: int = 4, key: int = 24) -> Column:
     """The first numbered items of a text, distinct by how they begin; the text itself where there are none."""
 
     def items(body: Column) -> Column:
-        parts = F.transform(F.split(body, rf"(?=(?:^|\s){ITEM})"), lambda x: strip(F.regexp_replace(F.regexp_replace(x, rf"^\s*{ITEM}\s*|[？?]\s*$", ""), r"^[\s，。；：:]+", "")))
+        parts = F.transform(F.split(body, rf"(?=(?:^|\s){ITEM_PATTERN})"), lambda x: strip(F.regexp_replace(F.regexp_replace(x, rf"^\s*{ITEM_PATTERN}\s*|[？?]\s*$", ""), r"^[\s，。；：:]+", "")))
         parts = F.filter(parts, lambda x: (F.length(x) >= least) & ~x.rlike(r"^[RABC]\s*$"))
         start = lambda x: F.left(F.regexp_replace(x, r"^\d{1,2}[、.)]?\s*", ""), F.lit(key))
         add = lambda kept, x: F.when(F.exists(kept, lambda y: start(y) == start(x)), kept).otherwise(F.concat(kept, F.array(x)))
@@ -78,8 +74,7 @@ def display_items(text: Column, profile: Profile = SHANGHAI_PM, most: int = 3, l
 
 def is_noise(text: Column, profile: Profile = SHANGHAI_PM) -> Column:
     """Nothing, little, or signs of a misread page."""
-    odd = rf"[？?]\s*R\b|{profile.city}[^\n]{{0,20}}\d{{1,2}}-\d{{1,2}}年|{_any(profile.misread_words)}"
-    return text.isNull() | (F.length(text) < 12) | text.rlike(odd)
+    return text.isNull() | (F.length(text) < 12) | text.rlike(profile.misread_pattern)
 
 
 def _last(text: Column, numeral: str, start: tuple[str, ...], stop_numeral: str, stop: tuple[str, ...]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RECOMMENDATIONS, REJECT
+from .ordinal import with_ordinal
 
 
 def query_metrics(normalised: DataFrame, by: tuple[str, ...] = ("mode", "query")) -> DataFrame:
@@ -34,6 +35,10 @@ def counted(records: DataFrame, column: str) -> DataFrame:
     return records.groupBy(column).agg(F.count("*").alias("n"))
 
 
+#: Runs are looked through in blocks of so many places.
+BLOCK_BITS = 16
+
+
 def recommendation_counts(records: DataFrame) -> DataFrame:
     """A row for every label, 0 where none has it."""
     labels = records.sparkSession.createDataFrame([(i, r) for i, r in enumerate(RECOMMENDATIONS)], "place int, recommendation string")
@@ -43,13 +48,21 @@ def recommendation_counts(records: DataFrame) -> DataFrame:
 def streaks(runs: DataFrame, order: str, size: str, pause_at: int = 3) -> DataFrame:
     """Runs with delta (growth since the last one), streak (runs without growth so far) and pause.
 
-    Runs are the driver's own rounds: a short table, whose order needs one partition.
+    A null size is no growth. Each run has a place by a distributed ordinal, so the one before it is a join on places; and a run's streak is its
+    distance from the last run that grew. That one is found in two levels: the last in each block of places, then the
+    last block before it, so that no task holds more than a block, or a row a block.
     """
-    line = Window.orderBy(order)
-    df = runs.withColumn("delta", F.col(size) - F.coalesce(F.lag(size).over(line), F.lit(0)))
-    df = df.withColumn("__island", F.sum((F.col("delta") > 0).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    streak = F.sum((F.col("delta") <= 0).cast("int")).over(Window.partitionBy("__island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("streak", streak).withColumn("pause", F.col("streak") >= pause_at).drop("__island")
+    rows = with_ordinal(runs, [order], name="__place")
+    before = rows.select((F.col("__place") + 1).alias("__place"), F.col(size).alias("__before"))
+    df = rows.join(before, "__place", "left").withColumn("delta", F.col(size) - F.coalesce("__before", F.lit(0))).drop("__before")
+    grew = F.when(F.col("delta") > 0, F.col("__place"))
+    df = df.withColumn("__block", F.shiftright("__place", BLOCK_BITS))
+    line = Window.partitionBy("__block").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = df.groupBy("__block").agg(F.max(grew).alias("__last"))
+    earlier = blocks.select("__block", F.max("__last").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))  # a row a block
+    df = df.withColumn("__last", F.max(grew).over(line)).join(earlier, "__block")
+    streak = F.col("__place") - F.coalesce("__last", "__earlier", F.lit(-1))
+    return df.withColumn("streak", streak).withColumn("pause", F.col("streak") >= pause_at).drop("__place", "__block", "__last", "__earlier")
 
 
 def directions(records: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CAUTION, COMPLETE_CAPTURES, CONSIDER, INSUFFICIENT, REJECT, SHANGHAI_PM, TOP, UNKNOWN, Profile
-from ..functions.text import SALARY_K, card_hint, clean_lines, first_match, infer_company, infer_directions, merge_pages, page_text, recruiter_type, split_sections
+from ..config import CAUTION, COMPLETE_CAPTURES, CONSIDER, INSUFFICIENT, REJECT, SALARY_K, SHANGHAI_PM, TOP, UNKNOWN, Profile
+from ..functions.text import card_hint, clean_lines, first_match, infer_company, infer_directions, merge_pages, page_text, recruiter_type, sections
 from ..functions.values import known, no_strings, or_unknown, present
 from ..schema import DIMENSIONS, EVIDENCE, conform
 from .dedupe import keep_first, ordered_list
-from .score import half_up, infer_ocr
+from .score import computed, half_up, infer_ocr
 
 
 def join_captures(manifest: DataFrame, cards: DataFrame, details: DataFrame) -> DataFrame:
@@ -42,14 +42,13 @@ def structure(captures: DataFrame, profile: Profile = SHANGHAI_PM) -> tuple[Data
     df = df.where(F.col("__drop").isNull()).drop("__drop").withColumn("__status", F.coalesce("status", "capture_status", F.lit(UNKNOWN)))
 
     card = F.filter(clean_lines(F.col("card_text")), lambda x: ~x.isin("猎头", "急招", "代招") | F.lit(False))
-    df = df.withColumns({"__card": card, "__detail": clean_lines(F.col("detail_text"))})
+    df = computed(df, __card=card, __detail=clean_lines(F.col("detail_text")), __sections=sections(F.col("detail_text"), profile))
     hint = card_hint(F.col("title_hint"), profile)
     df = df.withColumns({f"__h_{k}": v for k, v in hint.items()})
     titled = lambda lines: F.try_element_at(F.filter(lines, lambda x: x.contains(profile.role)), F.lit(1))
     first = F.try_element_at("__card", F.lit(1))
     title = F.coalesce("__h_title", F.when(first.contains(profile.role), first), titled(F.slice("__detail", 1, 20)))
-    duties, needs = split_sections(F.col("detail_text"), profile)
-    df = df.withColumns({"__title": title, "__duties": duties, "__needs": needs})
+    df = df.withColumns({"__title": title, "__duties": F.col("__sections.duties"), "__needs": F.col("__sections.needs")})
     listed = lambda values: F.try_element_at(F.filter("__card", lambda x: x.isin(*values)), F.lit(1))
     evidence = F.concat_ws("\n", "card_text", "detail_text")
     found = present((evidence.contains(d), d) for d in profile.districts)

@@ -12,6 +12,7 @@ from ..functions.values import present
 from ..operators import metrics
 from ..operators.dedupe import ordered_list
 from ..operators.merge import latest, merge_history, merge_index, new_rows, upsert_manifest
+from ..operators.ordinal import with_ordinal
 from ..operators.pair_fold import earliest, merge_pipelines
 from ..operators.score import score, top_positives
 from ..operators.validate import violations
@@ -38,11 +39,13 @@ def query_metrics(spark, d):
 
 
 def plan_matrix(spark, d):
-    """Part types as terms, regions as modes, nations as districts: short lists, which is what a plan is made of."""
-    listed = lambda table, column: [r[0] for r in _t(spark, d, table).select(column).distinct().orderBy(column).collect()]
-    modes = [{"id": r, "template": f"site {{city}} {r} {{district}}  {{term}}"} for r in listed("region", "r_name")]
-    plan = query_plan(spark, {"city": "X", "terms": listed("part", "p_type"), "modes": modes, "district_shards": listed("nation", "n_name")}, shards=True)
-    return plan.select(F.col("place").cast("long").alias("place"), "term", "district", "mode", "query")
+    """Part types as terms, regions as modes, nations as districts, whole city first: lists that stay in Spark."""
+    listed = lambda table, column: with_ordinal(_t(spark, d, table).select(column).distinct(), [column], name="place", unique=True)
+    modes = listed("region", "r_name").select("place", F.col("r_name").alias("mode"), F.concat(F.lit("site {city} "), "r_name", F.lit(" {district}  {term}")).alias("template"))
+    nations = listed("nation", "n_name").select((F.col("place") + 1).alias("place"), F.col("n_name").alias("district"))
+    districts = nations.union(spark.range(1).select(F.col("id").alias("place"), F.lit("").alias("district")))
+    terms = listed("part", "p_type").withColumnRenamed("p_type", "term")
+    return query_plan(spark, {"city": "X"}, terms=terms, modes=modes, districts=districts)
 
 
 def resume_remaining(spark, d):

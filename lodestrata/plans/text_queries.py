@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SHANGHAI_PM
-from ..functions.text import clean_lines, facts, infer_directions, list_items, merge_pages, normalize_text, normalize_title, recruiter_type, split_sections
+from ..functions.text import clean_lines, facts, infer_directions, list_items, merge_pages, normalize_text, normalize_title, recruiter_type, sections
 from ..functions.url import canonical_url, site_key, url_job_id, url_kind
 from ..functions.values import present
 from ..operators.dedupe import keep_first, ordered_list
 from ..operators.metrics import counted, rejections
 from ..operators.normalize import normalize_results
+from ..operators.score import computed
 from ..sources.captures import card_links
 
 RULES = (("article", ("the ", "that ")), ("german", ("der ", "und ")), ("french", ("les ", "que ")), ("spanish", ("que ", "los ")), ("table", (" | ",)), ("marked", ("%%%", "###")), ("mail", ("@",)))
@@ -82,8 +83,8 @@ def section_split(spark, d):
     """Every text under headings: duties, then, for all but each fifth document, requirements."""
     need = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("\n（任职要求）\n"), "lang", F.lit("： \n"), "source", F.lit(";")))
     page = F.concat(F.lit("公司\n【一、岗位职责：】\n"), "text", F.coalesce(need, F.lit("")))
-    duties, needs = split_sections(F.when(F.col("doc_id") % 11 == 0, F.col("text")).otherwise(page))
-    return _t(spark, d, "documents").select("doc_id", F.md5(duties).alias("duties_md5"), needs.alias("needs"))
+    both = sections(F.when(F.col("doc_id") % 11 == 0, F.col("text")).otherwise(page), P)
+    return computed(_t(spark, d, "documents"), both=both).select("doc_id", F.md5("both.duties").alias("duties_md5"), F.col("both.needs").alias("needs"))
 
 
 def q_recruiter_type(spark, d):

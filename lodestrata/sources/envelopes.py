@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import first_match
 from ..schema import ENVELOPE, RESULT, fields
 
 
@@ -68,11 +68,6 @@ def parse_agent_output(logs: DataFrame) -> DataFrame:
     return whole.join(last, "file", "left").select("file", F.coalesce(text("last"), text("text")).alias("json"))
 
 
-def first_object(value):
-    """The first JSON object in a text, for logs with chatter around it."""
-    return first_match(value, r"(?s)\{.*\}")
-
-
 def paged(fetch: Callable[[str, int], dict], query: str, pages: int, count: int, done: dict[int, dict] | None = None, *, attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> Iterator[dict]:
     """Pages of a query until the source has no more or a page is short; checkpointed pages are not fetched again."""
     for page in range(pages):
@@ -91,17 +86,6 @@ def paged(fetch: Callable[[str, int], dict], query: str, pages: int, count: int,
             return
 
 
-def rounds(search: Callable[[int], list[str]], limit: int) -> tuple[set[str], int]:
-    """URLs of repeated searches until a round brings no new one, and the rounds taken."""
-    seen: set[str] = set()
-    for n in range(1, limit + 1):
-        new = set(search(n)) - seen
-        seen |= new
-        if not new:
-            return seen, n
-    return seen, limit
-
-
 class ReplaySource(DataSource):
     """``spark.read.format("search_replay")``: recorded pages of a search, a file of JSON lines a query, a partition a file."""
 
@@ -124,10 +108,13 @@ class _ReplayReader(DataSourceReader):
         return [InputPartition(p) for p in self.paths] or [InputPartition("")]
 
     def read(self, partition):
+        from pyarrow import fs
+
         if not partition.value:
             return
-        with open(partition.value, encoding="utf-8") as f:
-            for line in f:
+        files, path = fs.FileSystem.from_uri(partition.value)  # tasks have no JVM and maybe no local copy
+        with files.open_input_stream(path) as f:
+            for line in io.TextIOWrapper(f, encoding="utf-8"):
                 page = json.loads(line)
                 for r in page.get("results", []):
                     yield page.get("query"), page.get("page"), r.get("url"), r.get("title"), r.get("description")

@@ -5,23 +5,47 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
 
 
-def query_plan(spark: SparkSession, config: dict, *, terms: list[str] | None = None, modes: list[str] | None = None, shards: bool = False, limit: int = 0) -> DataFrame:
-    """place, term, district, mode, query. A cross product of three short lists, which is the plan's definition."""
-    listed = lambda name, items: spark.createDataFrame([(i, x) for i, x in enumerate(items)], f"{name}_i int, {name} string")
-    kept = [m for m in config["modes"] if not modes or m["id"] in modes]
-    by_mode = spark.createDataFrame([(i, m["id"], m["template"]) for i, m in enumerate(kept)], "mode_i int, mode string, template string")
-    parts = listed("district", ["", *(config.get("district_shards") or [])] if shards else [""])
-    df = listed("term", terms or config["terms"]).crossJoin(by_mode).crossJoin(parts)
-    query = F.replace(F.replace(F.replace("template", F.lit("{city}"), F.lit(config["city"])), F.lit("{district}"), F.col("district")), F.lit("{term}"), F.col("term"))
-    df = df.withColumn("query", squeeze(query)).withColumn("district", F.coalesce(F.nullif("district", F.lit("")), F.lit("全市")))
-    df = df.withColumn("place", F.row_number().over(Window.orderBy("term_i", "mode_i", "district_i")) - 1).orderBy("place")
-    return (df.limit(limit) if limit else df).select("place", "term", "district", "mode", "query")
+def _entries(spark: SparkSession, items: list[dict] | DataFrame) -> DataFrame:
+    """Of entries (place, and what they say) one row: their list by place, and how many there are. Lists of a plan are short."""
+    if isinstance(items, DataFrame):
+        names = [c for c in items.columns if c != "place"]
+        entry = F.struct("place", *names)
+        return items.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(*(x[n].alias(n) for n in names))).alias("entries"))
+    literal = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in item.items())) for item in items))
+    return spark.range(1).select(literal.alias("entries"))
+
+
+def query_plan(
+    spark: SparkSession, config: dict, *, terms: list[str] | DataFrame | None = None, modes: list[str] | DataFrame | None = None, shards: bool = False, districts: DataFrame | None = None, limit: int = 0
+) -> DataFrame:
+    """place, term, district, mode, query: every term with every mode and district, which is the plan's definition.
+
+    Terms, modes (mode, template) and districts may be tables with a column ``place``, from 0 without gaps; they stay in
+    Spark. Terms are rows, dealt as they come; each meets the short lists of modes and districts, so a query's place
+    follows from its entries' places and nothing is ranked. An empty list gives an empty plan.
+    """
+    if isinstance(terms, DataFrame):
+        rows = terms.select(F.col("place").alias("i"), "term")
+    else:
+        rows = _entries(spark, [{"term": t} for t in terms or config["terms"]]).select(F.posexplode("entries").alias("i", "e")).select("i", "e.term")
+    kept = modes if isinstance(modes, DataFrame) else [{"mode": m["id"], "template": m["template"]} for m in config["modes"] if not modes or m["id"] in modes]
+    if not isinstance(kept, DataFrame) and not kept:
+        rows, kept = rows.limit(0), [{"mode": "", "template": ""}]
+    parts = districts if districts is not None else [{"district": x} for x in (["", *(config.get("district_shards") or [])] if shards else [""])]
+    lists = {"m": _entries(spark, kept).scalar(), "d": _entries(spark, parts).scalar()}
+    df = rows.select("*", *(c.alias(f"{n}s") for n, c in lists.items()))
+    df = df.select("i", "term", "ds", F.size("ms").alias("m_n"), F.posexplode("ms").alias("m_i", "m"))
+    df = df.select("i", "term", "m_n", "m_i", "m", F.size("ds").alias("d_n"), F.posexplode("ds").alias("d_i", "d"))
+    place = ((F.col("i").cast("long") * F.col("m_n") + F.col("m_i")) * F.col("d_n") + F.col("d_i")).alias("place")
+    query = F.replace(F.replace(F.replace("m.template", F.lit("{city}"), F.lit(config["city"])), F.lit("{district}"), F.col("d.district")), F.lit("{term}"), F.col("term"))
+    df = df.select(place, "term", F.coalesce(F.nullif("d.district", F.lit("")), F.lit("全市")).alias("district"), F.col("m.mode").alias("mode"), squeeze(query).alias("query"))
+    return (df.where(F.col("place") < limit) if limit else df).orderBy("place")
 
 
 def signature(provider: str, pages: int, count: int, plan: list[dict]) -> str:

@@ -31,6 +31,9 @@ def one(spark, text, column):
         ("任职要求：三年经验 立即沟通 其他", "三年经验"),
         ("职位描述 负责增长。张女士 V 在线", "负责增长。"),
         ("一、必备要求：本科", "本科"),
+        ("上海 某公司 岗位要求 负责增长 产品", "上海某"),
+        ("岗位要求：负责增长", "负责增长"),
+        ("一、岗位职责：负责增长", "负责增长"),
     ],
 )
 def test_display_text(spark, text, shown):
