@@ -13,7 +13,7 @@ HIGH = (TOP, CONSIDER)
 #: Fixed patterns of captured texts: how a numbered item begins, signs of the person to contact, usual misreadings, pay.
 ITEM_PATTERN = r"(?:\d{1,2}[、.)]|[一二三四五六七八九十]+、)"
 CONTACT_PATTERN = r"(?i)(?:[\x{4e00}-\x{9fa5}]{1,4}(?:女士|先生)\s*[vV]|招聘(?:专家|HR|专员|顾问)|HRBP?\b|[vV]\s*[•·]\s*(?:在线|今日活跃|刚刚活跃))"
-MISREADINGS = ((r"\b020\b", "O2O"), (r"\bAl\b", "AI"), (r"\s+([，。；：、！？）】》])", "$1"), (r"([（【《])\s+", "$1"))
+MISREADINGS = ((r"(?<!\w)020(?!\w)", "O2O"), (r"(?<!\w)Al(?!\w)", "AI"), (r"\s+([，。；：、！？）】》])", "$1"), (r"([（【《])\s+", "$1"))
 SALARY = r"(?:\d+(?:\.\d+)?-\d+(?:\.\d+)?K(?:·\d+薪)?|\d+-\d+元/(?:时|天))"
 SALARY_K = r"\d+(?:\.\d+)?-\d+(?:\.\d+)?K(?:·\d+薪)?"
 PAGE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ARRAYS, CONSIDER, INSUFFICIENT, RECOMMENDATIONS, REJECT, SCALARS, SHANGHAI_PM, TOP
@@ -18,9 +16,7 @@ from ..operators.score import score, top_positives
 from ..operators.validate import violations
 from ..operators.workbench import Filters, select
 from ..schema import DIMENSIONS, EVALUATION, EVIDENCE, INDEXED, RECORD, conform, fields
-from ..session import scratch_folder
 from ..sources.plan import query_plan
-from ..streaming.history import snapshot, upsert
 
 P = SHANGHAI_PM
 
@@ -237,8 +233,8 @@ _ABSENT = {f: 60 + i for i, f in enumerate([*(f for f in SCALARS if f not in ("i
 _BROKEN = {"id": 97, "city": 43, "title": 47, "recommendation": 37, "score": 53, "pipeline": 59, "entry": 29, "confidence": 23, "version": 19, "differs": 17, "closed": 41, "reasons": 31, "hard": 13}
 
 
-def contract_violations(spark, d):
-    """Customers as records in review, with defects by their number; how often each of the contract's rules is broken."""
+def _contract_rows(spark, d) -> DataFrame:
+    """Customers as records in review, with defects by their number."""
     n = F.col("c_custkey")
     hit = lambda k: n % _BROKEN[k] == 0
     number = F.when(hit("id"), F.lit("0")).otherwise(n.cast("string"))
@@ -253,8 +249,12 @@ def contract_violations(spark, d):
     columns = plain | given
     for f, k in _ABSENT.items():
         columns[f] = F.when(n % k != 0, columns[f])
-    rows = _t(spark, d, "customer").select(*(c.alias(f) for f, c in columns.items()))
-    return violations(rows).groupBy("rule").agg(F.count("*").alias("n"))
+    return _t(spark, d, "customer").select(*(c.alias(f) for f, c in columns.items()))
+
+
+def contract_violations(spark, d):
+    """How often each of the contract's rules is broken."""
+    return violations(_contract_rows(spark, d)).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def _broken_sql() -> str:
@@ -301,23 +301,13 @@ def latest_wins(spark, d):
 
 def collated_sort_rank(spark, d):
     n = _t(spark, d, "nation")
-    return n.select("n_name", F.row_number().over(Window.orderBy(F.collate("n_name", "UNICODE"))).alias("place"))
-
-
-def stream_history(spark, d):
-    """Two micro-batches of the event users through the snapshot merge: what a stream's foreachBatch runs."""
-    e = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("job_title"), F.col("ts").cast("string").alias("last_seen_at"), F.col("event_id").alias("ord"), F.lit(1).cast("long").alias("seen_count"))
-    root = f"{scratch_folder(spark)}/history-{uuid.uuid4().hex[:8]}"
-    step = upsert(root)
-    step(conform(e.where("ord % 2 = 0"), INDEXED), 0)
-    step(conform(e.where("ord % 2 = 1"), INDEXED), 1)
-    return snapshot(spark, root).select("job_id", "job_title", "last_seen_at", "seen_count")
+    return with_ordinal(n.select("n_name"), [F.collate("n_name", "UNICODE")], name="place", start=1)
 
 
 QUERIES = {f.__name__: f for f in (
     query_metrics, plan_matrix, resume_remaining, new_keys, history_merge, index_merge_conflicts, evidence_accumulate, pair_fold_merge, manifest_upsert, weighted_score,
     evidence_confidence, hard_filters, recommend_ladder, top3_positives, rescore_histogram, contract_violations, workbench_filter, recommend_counts_zero_fill, streak_pause,
-    first_seen_min_of_four, latest_wins, collated_sort_rank, stream_history,
+    first_seen_min_of_four, latest_wins, collated_sort_rank,
 )}
 
 #: What nothing speaks against is clear of risk.
@@ -411,9 +401,6 @@ SELECT *, streak >= 3 AS pause FROM s""",
     "first_seen_min_of_four": f"""
 WITH l AS (SELECT l_orderkey, min(l_shipdate) AS a, max(l_shipdate) AS b, min(l_shipdate) FILTER (WHERE l_returnflag = 'R') AS c FROM lineitem GROUP BY 1)
 SELECT o_orderkey, coalesce({_STAMP.format('least(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END, a, b, c)')}, 'unknown') AS first_seen FROM orders LEFT JOIN l ON o_orderkey = l_orderkey""",
-    "stream_history": f"""
-SELECT CAST(user_id AS VARCHAR) AS job_id, arg_max(event_type, (event_id % 2, event_id)) AS job_title, arg_max({_STAMP.format('ts')}, (event_id % 2, event_id)) AS last_seen_at,
-  count(*) AS seen_count FROM events GROUP BY user_id""",
     "collated_sort_rank": "SELECT n_name, row_number() OVER (ORDER BY n_name COLLATE NOCASE) AS place FROM nation",
     "latest_wins": f"""
 WITH s AS (SELECT *, nullif({_KIND}, 'unknown') AS kind FROM events) SELECT user_id, arg_max(kind, (ts, event_id)) FILTER (WHERE kind IS NOT NULL) AS kind FROM s GROUP BY user_id""",
