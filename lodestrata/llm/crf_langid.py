@@ -9,9 +9,9 @@ score.
 
 Scoring is vectorised: texts of a batch stand in order of length and take each step of the recursion together; a word
 is turned into its emissions once for each worker. Every language of the labels is learned. The sample is bounded by
-two parameters: ``per_lang`` documents of each language, drawn by a digest of the id, and ``max_words`` words of their
-texts, cut whole into windows of ``width`` words, of which a seeded choice stays where there are more. So model and
-sample grow with the number of languages and not with the corpus.
+three parameters: some ``per_lang`` documents of each language, drawn by a digest of id and text, ``doc_windows`` windows
+of ``width`` words of each, and ``max_words`` words in all; where there are more a seeded choice stays, of whole texts.
+So model and sample grow with the number of languages and not with the corpus, whatever rows share an id.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so are all texts where nothing is
 labelled; rows with the same id keep a row each; an empty table gives an empty result; other columns are ignored;
@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _other_numbers() -> str:
+    """Ranges, for a set of a pattern, of the characters that count as word characters and are neither letters nor digits."""
+    odd = [c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and unicodedata.category(chr(c))[0] != "L" and not chr(c).isdecimal()]
+    cuts = [i for i, c in enumerate(odd) if not i or odd[i - 1] != c - 1] + [len(odd)]
+    return "".join(f"{chr(odd[a])}-{chr(odd[b - 1])}" for a, b in zip(cuts, cuts[1:]))
+
+
+#: A word is a run of letters, of Unicode's category L: number signs such as halves, squares and Roman numerals are none.
+LETTERS = re.compile(rf"[^\W\d_{_other_numbers()}]+")
 BITS = 16
 #: A worker's memory of words is emptied at this size.
 MEMORY = 300_000
@@ -179,9 +191,10 @@ def train(sample: list[tuple[str, list[list[str]]]], *, steps: int = 45, splice:
 MAX_LANGUAGES_SENT = 100_000
 
 
-def sample_windows(docs: DataFrame, *, per_lang: int, max_words: int, width: int, seed: str) -> list[tuple[str, list[list[str]]]]:
+def sample_windows(docs: DataFrame, *, per_lang: int, max_words: int, doc_windows: int, width: int, seed: str) -> list[tuple[str, list[list[str]]]]:
     """Of (doc_id, text, lang): the texts of a bounded sample, spread evenly over the languages, in windows of words."""
-    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") / float(16**13)
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))
+    place = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / float(16**13)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("place", place)
     sizes = labelled.groupBy(F.col("lang").alias("s_lang")).agg(F.count("*").alias("s_n"))
     if sizes.count() <= MAX_LANGUAGES_SENT:
@@ -192,19 +205,18 @@ def sample_windows(docs: DataFrame, *, per_lang: int, max_words: int, width: int
         for b in batches:
             langs, places, texts = (c.to_pylist() for c in b.columns)
             out = []
-            for text in texts:
+            for at, text in zip(places, texts):
                 words = LETTERS.findall(text.lower())
-                out.append([" ".join(words[i : i + width]) for i in range(0, len(words), width)])
+                starts = range(0, len(words), width)
+                if len(starts) > doc_windows:
+                    starts = sorted(np.random.default_rng(int(at * 2**52)).choice(len(starts), doc_windows, replace=False) * width)
+                out.append([" ".join(words[i : i + width]) for i in starts])
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(places, pa.float64()), pa.array(out, pa.list_(pa.string()))], names=["lang", "place", "windows"])
 
-    rows = drawn.mapInArrow(run, "lang string, place double, windows array<string>").collect()
-    rows.sort(key=lambda r: (r["place"], r["lang"], r["windows"]))
-    taken: dict[str, int] = {}
-    windows = []
-    for r in rows:  # rows that share an id share their place: the bound holds for them too
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= 2 * per_lang:
-            windows += [(r["lang"], [w.split()]) for w in r["windows"]]
+    # rows equal in id and text have one place and are one row; all others' places are independent of each other
+    rows = drawn.dropDuplicates(["lang", "place"]).mapInArrow(run, "lang string, place double, windows array<string>").collect()
+    rows.sort(key=lambda r: (r["place"], r["lang"]))
+    windows = [(r["lang"], [w.split()]) for r in rows for w in r["windows"]]
     order = np.random.default_rng(int(hashlib.sha256(seed.encode()).hexdigest()[:8], 16)).permutation(len(windows))
     total, chosen = 0, []
     for i in order.tolist():
@@ -227,11 +239,22 @@ class _Words(dict):
         return n
 
 
-def _predict(model: Model, texts: Iterator[list[str | None]]) -> Iterator[list[tuple[str, float]]]:
+Verdict = tuple[str, float, list[tuple[str, int, int]]]
+UNDETERMINED: Verdict = ("und", 0.0, [])
+
+
+def _runs(labels: np.ndarray, languages: list[str]) -> list[tuple[str, int, int]]:
+    """Language, first word and end of each run of equal labels."""
+    cuts = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)]
+    return [(languages[labels[a]], a, b) for a, b in zip(cuts, cuts[1:])]
+
+
+def _predict(model: Model, texts: Iterator[list[str | None]], runs: bool = False) -> Iterator[list[Verdict]]:
+    """Language, score and, if asked for, runs of words of each text."""
     words, table = _Words(), np.empty((0, len(model.languages)))
 
-    def settle(ids: list[np.ndarray]) -> np.ndarray:
-        """Mean posteriors of each sequence of word numbers, none empty."""
+    def settle(ids: list[np.ndarray]) -> Iterator[Verdict]:
+        """The verdict on each sequence of word numbers, none empty, by its mean posteriors."""
         nonlocal table
         if words.new:
             parts = [words.new[i : i + 20_000] for i in range(0, len(words.new), 20_000)]
@@ -241,12 +264,16 @@ def _predict(model: Model, texts: Iterator[list[str | None]]) -> Iterator[list[t
         order = np.argsort(-lengths, kind="stable")
         flat = np.concatenate([ids[i] for i in order])
         post, _ = forward_backward(table[flat], lengths[order], model.transitions, model.starts)
-        out = np.empty((len(ids), post.shape[1]))
-        out[order] = np.add.reduceat(post, np.concatenate([[0], np.cumsum(lengths[order])[:-1]])) / lengths[order][:, None]
-        return out
+        ends = np.cumsum(lengths[order])
+        means = np.add.reduceat(post, np.concatenate([[0], ends[:-1]])) / lengths[order][:, None]
+        labels = post.argmax(1) if runs else None
+        place = np.argsort(order)
+        for i in range(len(ids)):
+            p, end = means[place[i]], int(ends[place[i]])
+            yield model.languages[int(p.argmax())], min(1.0, float(p.max())), _runs(labels[end - lengths[i] : end], model.languages) if runs else []
 
     for batch in texts:
-        results: list[tuple[str, float]] = [("und", 0.0)] * len(batch)
+        results = [UNDETERMINED] * len(batch)
         at, ids, n = [], [], 0
         for i, text in enumerate(batch):
             if found := LETTERS.findall((text or "").lower()):
@@ -254,19 +281,23 @@ def _predict(model: Model, texts: Iterator[list[str | None]]) -> Iterator[list[t
                 at.append(i)
                 n += len(found)
             if at and (n >= GROUP_WORDS or i == len(batch) - 1):
-                for k, p in zip(at, settle(ids)):
-                    results[k] = (model.languages[int(p.argmax())], min(1.0, float(p.max())))
+                for k, verdict in zip(at, settle(ids)):
+                    results[k] = verdict
                 at, ids, n = [], [], 0
                 if len(words) > MEMORY:
                     words, table = _Words(), table[:0]
         if at:
-            for k, p in zip(at, settle(ids)):
-                results[k] = (model.languages[int(p.argmax())], min(1.0, float(p.max())))
+            for k, verdict in zip(at, settle(ids)):
+                results[k] = verdict
         yield results
 
 
-def predict(docs: DataFrame, model: Model | None, *keep: str, text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row, with lang_pred and score."""
+def predict(docs: DataFrame, model: Model | None, *keep: str, text_col: str = "text", runs: bool = False) -> DataFrame:
+    """The columns ``keep`` of every row, with lang_pred and score.
+
+    With ``runs`` also how the text switches: a list of runs of words (lang, first word, end), words being those of
+    ``LETTERS``; an undetermined text has none.
+    """
     narrow = docs.select(*keep, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,14 +308,19 @@ def predict(docs: DataFrame, model: Model | None, *keep: str, text_col: str = "t
                 held.append(b)
                 yield b.column(len(keep)).to_pylist()
 
-        found = _predict(model, texts()) if model else ([("und", 0.0)] * len(t) for t in texts())
+        found = _predict(model, texts(), runs) if model else ([UNDETERMINED] * len(t) for t in texts())
         for results in found:
             b = held.pop()
             columns = [*b.columns[: len(keep)], pa.array([r[0] for r in results], pa.string()), pa.array([r[1] for r in results], pa.float64())]
-            yield pa.record_batch(columns, names=[*keep, "lang_pred", "score"])
+            names = [*keep, "lang_pred", "score"]
+            if runs:
+                columns.append(pa.array([[{"lang": x, "first": i, "end": j} for x, i, j in r[2]] for r in results], pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))))
+                names.append("runs")
+            yield pa.record_batch(columns, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    more = ", runs array<struct<lang: string, first: int, end: int>>" if runs else ""
+    return narrow.mapInArrow(run, f"{schema}, lang_pred string, score double{more}")
 
 
 def fold(id_col: Column, n: int) -> Column:
@@ -292,9 +328,9 @@ def fold(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(n))
 
 
-def fit(docs: DataFrame, *, per_lang: int = 150, max_words: int = 200_000, width: int = 30, seed: str = "langid-1") -> Model | None:
+def fit(docs: DataFrame, *, per_lang: int = 150, max_words: int = 200_000, doc_windows: int = 200, width: int = 30, seed: str = "langid-1") -> Model | None:
     """Of (doc_id, text, lang): a model learned from all rows given, by a bounded sample."""
-    return train(sample_windows(docs, per_lang=per_lang, max_words=max_words, width=width, seed=seed))
+    return train(sample_windows(docs, per_lang=per_lang, max_words=max_words, doc_windows=doc_windows, width=width, seed=seed))
 
 
 def keep_known(docs: DataFrame, *, least: float = 0.34, **sample) -> DataFrame:
@@ -307,9 +343,9 @@ def keep_known(docs: DataFrame, *, least: float = 0.34, **sample) -> DataFrame:
     @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         given = ([None if t is None else str(t) for t in part] for part in texts)
-        found = _predict(model, given) if model else ([("und", 0.0)] * len(t) for t in given)
+        found = _predict(model, given) if model else ([UNDETERMINED] * len(t) for t in given)
         for results in found:
-            yield pd.Series([lang != "und" and score >= least for lang, score in results], dtype=bool)
+            yield pd.Series([lang != "und" and score >= least for lang, score, _ in results], dtype=bool)
 
     return docs.where(known("text"))
 

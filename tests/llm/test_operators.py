@@ -426,6 +426,53 @@ def test_forward_backward_equals_enumeration():
     assert flow.sum() == pytest.approx(5)
 
 
+def test_words_are_runs_of_letters():
+    """Of Unicode's category L: number signs, digits and underscores are none."""
+    assert crf_langid.LETTERS.findall("½ ² Ⅷ ① 4_5 x²y éß 漢字 ʰ") == ["x", "y", "éß", "漢字", "ʰ"]
+    import sys
+    import unicodedata
+
+    for c in [*range(0x3100), *range(0x10000, 0x13000), *range(0xFF00, 0xFFFF), sys.maxunicode]:
+        assert bool(crf_langid.LETTERS.fullmatch(chr(c))) == (unicodedata.category(chr(c))[0] == "L"), hex(c)
+
+
+def test_the_language_sample_is_bounded_whatever_rows_share_an_id(spark, monkeypatch):
+    """A third of the rows has one id, most of it also one text; a very long text gives a bounded number of windows."""
+    rng = random.Random(2)
+    rows = [(7 if i % 3 == 0 else i, prose(rng, 40), "en") for i in range(600)] + [(7, "one and the same text", "en")] * 300 + [(5000, "long words here " * 30_000, "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    collected, kind = [], type(table)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    windows = crf_langid.sample_windows(table, per_lang=50, max_words=10**9, doc_windows=20, width=30, seed="s")
+    drawn = [r for r in collected[-1] if r["lang"] == "en"]
+    assert 15 < len(drawn) < 110 and max(len(r["windows"]) for r in collected[-1]) == 20
+    assert sum(lang == "de" for lang, _ in windows) == 20 and {lang for lang, _ in windows} == {"en", "de"}
+
+
+def test_switches_between_languages_are_found(spark, sf):
+    """Texts spliced from two languages: the runs cover all words, and most switches lie where they were made."""
+    real = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and lang is not null").orderBy("doc_id")
+    held = crf_langid.fold(F.col("doc_id"), 5) == 0
+    model = crf_langid.fit(real.where(~held).select("doc_id", "text", "lang"), per_lang=60)
+    texts = [(r["lang"], crf_langid.LETTERS.findall(r["text"])) for r in real.where(held).collect()]
+    texts = [(lang, words[:60]) for lang, words in texts if len(words) >= 60]
+    pairs = [(a, b) for a in texts for b in texts if a[0] != b[0]][::3][:60]
+    table = spark.createDataFrame([(i, " ".join(a[1][:30] + b[1][:30])) for i, (a, b) in enumerate(pairs)], "doc_id long, text string")
+    got = {r["doc_id"]: r["runs"] for r in crf_langid.predict(table, model, "doc_id", runs=True).collect()}
+    right = total = near = 0
+    for i, (a, b) in enumerate(pairs):
+        runs = got[i]
+        assert runs[0]["first"] == 0 and runs[-1]["end"] == 60 and all(x["end"] == y["first"] and x["lang"] != y["lang"] for x, y in zip(runs, runs[1:]))
+        labels = [r["lang"] for r in runs for _ in range(r["first"], r["end"])]
+        right += sum(x == y for x, y in zip(labels, [a[0]] * 30 + [b[0]] * 30))
+        total += 60
+        near += any(abs(r["end"] - 30) <= 2 for r in runs[:-1])
+    assert len(pairs) > 20 and right / total > 0.9 and near / len(pairs) > 0.8
+    none = spark.createDataFrame([(1, None), (2, "12 ½")], "doc_id long, text string")
+    assert [r["runs"] for r in crf_langid.predict(none, model, "doc_id", runs=True).collect()] == [[], []]
+
+
 def test_language_id(spark, docs, rows, empty, sf):
     real = spark.read.parquet(f"{sf}/documents.parquet")
     model = crf_langid.fit(real.where(crf_langid.fold(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang"), per_lang=40)
@@ -653,12 +700,22 @@ def test_look_up_deals_hot_keys(spark, monkeypatch):
     assert got == want and common.look_up(rows, table, "k").count() == sum(v is not None for v in want.values())
 
 
+def library_count(path, text):
+    """The number of ids that the library itself gives, one text at a time."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return len(sentencepiece.SentencePieceProcessor(model_file=path).encode(text))
+    from tokenizers import Tokenizer
+
+    return len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+
+
 @pytest.mark.parametrize("file", ["piece_bpe_32k.model", "word_bpe_49k.json"])
 def test_token_cache(spark, docs, rows, empty, tmp_path, file):
     path, cache = public_tokenizers.path(file), f"file://{tmp_path}/cache"
-    tokenizer = token_cache.TokenizerFile(path)
     got = token_cache.token_counts(docs, path, cache, limit=100).collect()
-    want = Counter((r[0], len((r[1] or "").encode()), n, n > 100) for r, n in zip(rows, tokenizer.count([r[1] or "" for r in rows])))
+    want = Counter((r[0], len((r[1] or "").encode()), n, n > 100) for r in rows for n in [library_count(path, r[1] or "")])
     assert Counter(map(tuple, got)) == want
     size = spark.read.parquet(cache).count()
     assert size == len({r[1] or "" for r in rows})
