@@ -38,13 +38,14 @@ def rounds(start: DataFrame, search: Search, root: str, *, key: str, order: tupl
     seen = SeenKeys(spark, f"{root}/seen", buckets=buckets)
 
     def take(rows: DataFrame, n: int) -> int:
+        """Write a round's new rows; a round is whole once they are written, and its keys follow."""
         rows = keep_first(rows.where(F.col(key).isNotNull()), key, order or (key,))
         seen.split(rows.select(*start.columns), key)[0].write.mode("overwrite").parquet(f"{root}/round={n}")
-        return remember(n)
-
-    def remember(n: int) -> int:
-        """A round is whole once it is written; its keys follow, also after a crash between the two."""
-        return seen.new_rows(spark.read.schema(start.schema).parquet(f"{root}/round={n}"), key).count()
+        fresh = spark.read.schema(start.schema).parquet(f"{root}/round={n}")
+        size = fresh.count()
+        if size:
+            seen.add(fresh.select(F.col(key).cast("string").alias("key")))
+        return size
 
     done = _done(spark, root)
     if not done:
@@ -53,7 +54,7 @@ def rounds(start: DataFrame, search: Search, root: str, *, key: str, order: tupl
         take(start, 0)
         done = [0]
     else:
-        remember(done[-1])
+        seen.new_rows(spark.read.schema(start.schema).parquet(f"{root}/round={done[-1]}"), key)  # a crash may have come between a round and its keys
     n, size = done[-1], spark.read.parquet(f"{root}/round={done[-1]}").count()
     while size and n < max_rounds:
         n += 1

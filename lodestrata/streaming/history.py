@@ -93,8 +93,11 @@ def isolated(step: Callable[[DataFrame, int], None], log: Callable[[int, str], N
 
 
 def history_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, files_per_batch: int = 1, step=None) -> StreamingQuery:
-    """Merge all files that have landed, a few at a time, then stop. Call it again for files that land later."""
-    stream = spark.readStream.schema(fields(INDEXED)).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
+    """Merge all files that have landed, a few at a time, then stop. Call it again for files that land later.
+
+    Rows of one batch merge in the order of ``ord``, where files have it.
+    """
+    stream = spark.readStream.schema(fields(f"{INDEXED}, ord long")).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
     return stream.writeStream.foreachBatch(step or upsert(root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
