@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import multiprocessing
+import queue
 import re
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..config import CAUTION, COMPLETE_CAPTURES, CONSIDER, INSUFFICIENT, REJECT, SALARY_K, SHANGHAI_PM, TOP, UNKNOWN, Profile
 from ..functions.text import card_hint, clean_lines, first_match, infer_company, infer_directions, merge_pages, page_text, recruiter_type, sections
 from ..functions.values import known, no_strings, or_unknown, present
 from ..schema import DIMENSIONS, EVIDENCE, conform
+from ..sources.envelopes import path_exists
 from .dedupe import keep_first, ordered_list
 from .score import computed, half_up, infer_ocr
 
@@ -120,22 +127,108 @@ def map_scored(scored: DataFrame, profile: Profile = SHANGHAI_PM) -> DataFrame:
     }).withColumn("score", F.when(F.col("recommendation") != INSUFFICIENT, F.col("match_score")))
 
 
-def recognise(images: DataFrame, engine, timeout: float = 120.0) -> DataFrame:
-    """Of binary files (path, content): path, text, error. ``engine`` maps bytes to text; a failure is kept apart from text."""
+def _in_child(engine: Callable[[bytes], str], sender, receiver) -> None:
+    """A recogniser's process: images in, (text, error) out, one at a time."""
+    while True:
+        content = receiver.recv()
+        if content is None:
+            return
+        try:
+            sender.send((engine(content), None))
+        except Exception as e:  # one bad image must not end the process
+            sender.send((None, repr(e)[:500]))
+
+
+class _Recogniser:
+    """One process that recognises images. An image that takes too long costs its limit and the process, which is killed."""
+
+    def __init__(self, engine: Callable[[bytes], str], timeout: float):
+        self.engine, self.timeout, self.process = engine, timeout, None
+
+    def _start(self) -> None:
+        context = multiprocessing.get_context("fork")
+        (self.got, sender), (receiver, self.asked) = context.Pipe(False), context.Pipe(False)
+        self.process = context.Process(target=_in_child, args=(self.engine, sender, receiver), daemon=True)
+        self.process.start()
+        sender.close()
+        receiver.close()
+
+    def __call__(self, content: bytes) -> tuple[str | None, str | None]:
+        if self.process is None:
+            self._start()
+        try:
+            self.asked.send(content)
+            if self.got.poll(self.timeout):
+                return self.got.recv()
+            why = f"more than {self.timeout:g} s"
+        except (EOFError, OSError):
+            why = "the recogniser's process ended"
+        self.close(kill=True)
+        return None, why
+
+    def close(self, kill: bool = False) -> None:
+        if self.process is not None:
+            if kill:
+                self.process.kill()
+            else:
+                self.asked.send(None)
+            self.process.join()
+            self.got.close()
+            self.asked.close()
+            self.process = None
+
+
+def recognise(images: DataFrame, engine: Callable[[bytes], str], timeout: float = 120.0, workers: int = 2) -> DataFrame:
+    """Of binary files (path, content): path, text, error. ``engine`` maps bytes to text; a failure is kept apart from text.
+
+    A task has ``workers`` processes at most, each with one image at a time. The limit is enforced from outside: an
+    engine that hangs is killed with its process, and the next image gets a new one. A null image is an error.
+    """
 
     def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    out.append((path, engine(content, timeout), None))
-                except Exception as e:  # one bad image must not end the batch
-                    out.append((path, None, repr(e)[:500]))
-            yield pd.DataFrame(out, columns=["path", "text", "error"])
-
-    return images.select("path", "content").mapInPandas(run, "path string, text string, error string")
+        pool = [_Recogniser(engine, timeout) for _ in range(workers)]
+        free: queue.SimpleQueue = queue.SimpleQueue()
+        for r in pool:
+            free.put(r)
+
+        def one(content: bytes | None) -> tuple[str | None, str | None]:
+            if content is None:
+                return None, "no content"
+            r = free.get()
+            try:
+                return r(content)
+            finally:
+                free.put(r)
+
+        try:
+            with ThreadPoolExecutor(workers) as threads:
+                for b in batches:
+                    found = list(threads.map(one, b.column(1).to_pylist()))
+                    yield pa.record_batch([b.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], names=["path", "text", "error"])
+        finally:
+            for r in pool:
+                r.close()
+
+    return images.select("path", "content").mapInArrow(run, "path string, text string, error string")
+
+
+def recognise_new(images: DataFrame, done: DataFrame | None, engine: Callable[[bytes], str], timeout: float = 120.0, workers: int = 2) -> DataFrame:
+    """``recognise`` of the images whose path has no text in ``done`` yet; failed ones are tried again."""
+    if done is not None:
+        images = images.join(done.where("text is not null").select("path").distinct(), "path", "left_anti")
+    return recognise(images, engine, timeout, workers)
+
+
+def recognise_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, engine: Callable[[bytes], str], *, pattern: str = "*", timeout: float = 120.0, workers: int = 2) -> StreamingQuery:
+    """Recognise the images that have landed, each once, then stop; ``out`` gains a row for each."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(landing)
+
+    def step(batch: DataFrame, n: int) -> None:
+        known = spark.read.schema("path string, text string, error string").parquet(out) if path_exists(spark, out) else None
+        recognise_new(batch, known, engine, timeout, workers).write.mode("append").parquet(out)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def out_of_scope(records: DataFrame, profile: Profile = SHANGHAI_PM) -> Column:

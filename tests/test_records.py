@@ -1,3 +1,4 @@
+import time
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -285,16 +286,45 @@ def test_captures(spark):
     assert {r["sequence"]: r["recommendation"] for r in scored.collect()}[2] == INSUFFICIENT
 
 
-def test_failed_recognition_is_kept_apart(spark):
-    images = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"bad"))], "path string, content binary")
+def test_recognition_keeps_failures_apart_and_enforces_its_limit(spark):
+    """An engine that hangs costs its limit, one that ends its process costs a process; the other images are read."""
 
-    def engine(content, timeout):
-        if content == b"bad":
-            raise TimeoutError("slow")
-        return "text"
+    def engine(content):
+        import os
+        import time
 
-    got = {r["path"]: r for r in ocr.recognise(images, engine).collect()}
-    assert got["a"]["text"] == "text" and got["b"]["text"] is None and "slow" in got["b"]["error"]
+        if content == b"slow":
+            time.sleep(600)
+        if content == b"dead":
+            os._exit(3)
+        if content == b"bad":
+            raise ValueError("no picture")
+        return content.decode().upper()
+
+    rows = [(str(i), x) for i, x in enumerate([b"a", b"slow", b"b", b"bad", b"dead", b"c", None, b"slow", b"d"])]
+    images = spark.createDataFrame(rows, "path string, content binary").coalesce(1)
+    began = time.monotonic()
+    got = {r["path"]: r for r in ocr.recognise(images, engine, timeout=1.5).collect()}
+    assert time.monotonic() - began < 60
+    assert [got[str(i)]["text"] for i in range(9)] == ["A", None, "B", None, None, "C", None, None, "D"]
+    assert "1.5 s" in got["1"]["error"] and "no picture" in got["3"]["error"] and "ended" in got["4"]["error"] and got["6"]["error"] and got["0"]["error"] is None
+    done = spark.createDataFrame([("0", "A", None), ("3", None, "x")], "path string, text string, error string")
+    assert {r["path"] for r in ocr.recognise_new(images.where("path in ('0', '3', '5')"), done, engine).collect()} == {"3", "5"}
+
+
+def test_images_that_land_are_recognised_once(spark, tmp_path):
+    landing, out, check = (f"file://{tmp_path}/{x}" for x in ("landing", "out", "check"))
+    (tmp_path / "landing").mkdir()
+
+    def engine(content):
+        return content.decode().upper()
+
+    for name in ("a.png", "b.png"):
+        (tmp_path / "landing" / name).write_bytes(name[:1].encode())
+    ocr.recognise_stream(spark, landing, out, check, engine, pattern="*.png").awaitTermination()
+    (tmp_path / "landing" / "c.png").write_bytes(b"c")
+    ocr.recognise_stream(spark, landing, out, check, engine, pattern="*.png").awaitTermination()
+    assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["A", "B", "C"]
 
 
 def test_workbench(spark):
