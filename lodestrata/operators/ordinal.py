@@ -11,26 +11,18 @@ that already has the new name is refused.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import scratch_folder
+from lodestrata.session import stored
 
 Writer = Callable[[DataFrame, str], DataFrame]
 #: monotonically_increasing_id has the task above this bit and the row in its task below.
 TASK_BIT = 33
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder, so that later reads see the rows as they were written."""
-    path = f"{scratch_folder(df.sparkSession)}/lodestrata/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _free(taken: Iterable[str], name: str) -> str:
     used = {c.lower() for c in taken}
     while name.lower() in used:
@@ -38,7 +30,7 @@ def _free(taken: Iterable[str], name: str) -> str:
     return name
 
 
-def with_ordinal(df: DataFrame, order: Iterable[str | Column] = (), *, name: str = "ordinal", start: int = 0, unique: bool = False, write: Writer = _stored) -> DataFrame:
+def with_ordinal(df: DataFrame, order: Iterable[str | Column] = (), *, name: str = "ordinal", start: int = 0, unique: bool = False, write: Writer = stored) -> DataFrame:
     """``df`` with each row's running position in ``order``, or as the rows are read where there is none.
 
     ``unique`` says that no two rows are equal in the order, and saves the write that tells such rows apart. ``write``
@@ -68,7 +60,7 @@ def with_ordinal(df: DataFrame, order: Iterable[str | Column] = (), *, name: str
     return placed.withColumn(name, F.col(base) + row).drop(task_name, base, at)
 
 
-def with_position(df: DataFrame, by: Iterable[str], order: Iterable[str | Column], *, name: str = "position", start: int = 0, unique: bool = False, write: Writer = _stored) -> DataFrame:
+def with_position(df: DataFrame, by: Iterable[str], order: Iterable[str | Column], *, name: str = "position", start: int = 0, unique: bool = False, write: Writer = stored) -> DataFrame:
     """``df`` with each row's position among those that share ``by`` (nulls are equal), however many these are."""
     by = list(by)
     at = _free([*df.columns, name], "group_place")

@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import json
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_folder
+from ..session import stored
 from ..sources.sinks import _fs
 
 KEYS = "bucket int, key string"
@@ -116,8 +115,8 @@ class SeenKeys:
         asked - maybe keys were settled by sketches alone; maybe - seen are the sketches' errors.
         """
         asked = rows.select(F.col(key).cast("string").alias("key")).where(F.col("key").isNotNull()).distinct()
-        found = self._stored(self.maybe(asked), "maybe")
-        hits = self._stored(found.join(self.keys_in(found), ["bucket", "key"], "left_semi"), "hits")
+        found = stored(self.maybe(asked), "seen-maybe")
+        hits = stored(found.join(self.keys_in(found), ["bucket", "key"], "left_semi"), "seen-hits")
         fresh = rows.join(hits.select(F.col("key").alias("__seen")), F.col(key).cast("string") == F.col("__seen"), "left_anti")
         count = lambda df, name: df.agg(F.count("*").alias(name))
         one = count(asked, "asked").join(F.broadcast(count(found, "maybe"))).join(F.broadcast(count(hits, "seen")))  # a row each
@@ -127,14 +126,9 @@ class SeenKeys:
         """The seen keys of the buckets that occur in ``found``; other buckets' files are not read."""
         return self.keys().where(F.col("bucket").isin([r["bucket"] for r in found.select("bucket").distinct().collect()]))  # at most as many as there are buckets
 
-    def _stored(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{scratch_folder(self.spark)}/lodestrata/seen-{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
     def new_rows(self, rows: DataFrame, key: str, remember: bool = True) -> DataFrame:
         """The rows whose key no run has seen; their keys are remembered."""
-        fresh = self._stored(self.split(rows, key)[0], "fresh")
+        fresh = stored(self.split(rows, key)[0], "seen-fresh")
         if remember:
             self.add(fresh.select(F.col(key).cast("string").alias("key")).where(F.col("key").isNotNull()).distinct())
         return fresh

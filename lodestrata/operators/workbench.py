@@ -75,12 +75,17 @@ def normalize_payload(records: DataFrame) -> DataFrame:
 
 
 def stale(stored: dict | None, bundled: dict) -> bool:
-    """Whether a stored dataset must give way to the bundled one; an import never does."""
+    """Whether a stored dataset must give way to the bundled one, by their metadata.
+
+    An import never does. Else each part of the bundle's revision that it has (taxonomy version, time of update, number
+    of records) must be the stored one's too; a bundle without a revision replaces nothing.
+    """
     if stored is None:
         return True
     if stored.get("imported"):
         return False
-    return any(stored.get(k) != bundled.get(k) for k in ("direction_taxonomy_version", "updated_at", "job_count"))
+    given = [k for k in ("direction_taxonomy_version", "updated_at") if bundled.get(k)] + [k for k in ("job_count",) if bundled.get(k) is not None]
+    return any(stored.get(k) != bundled[k] for k in given)
 
 
 def set_state(states: DataFrame, job_id: str, status: str) -> DataFrame:

@@ -7,8 +7,9 @@ import os
 import shutil
 import sys
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -27,6 +28,16 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"file://{_own[context.applicationId]}"
 
 
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """A new table in the shared folder, read again: its rows stay as they were written, and no lineage goes past it.
+
+    It stays there until the folder is emptied. With ``by`` the files are parted by that column.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/lodestrata/{name}-{uuid.uuid4().hex[:12]}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings every operator is tested under."""
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import time
-from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,24 +66,6 @@ def parse_agent_output(logs: DataFrame) -> DataFrame:
     return whole.join(last, "file", "left").select("file", F.coalesce(text("last"), text("text")).alias("json"))
 
 
-def paged(fetch: Callable[[str, int], dict], query: str, pages: int, count: int, done: dict[int, dict] | None = None, *, attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> Iterator[dict]:
-    """Pages of a query until the source has no more or a page is short; checkpointed pages are not fetched again."""
-    for page in range(pages):
-        got = (done or {}).get(page)
-        for attempt in range(1, attempts + 1):
-            if got is not None:
-                break
-            try:
-                got = fetch(query, page)
-            except (ConnectionError, TimeoutError):
-                if attempt == attempts:
-                    raise
-                wait(1.5 * attempt)
-        yield got
-        if got.get("moreResultsAvailable") is not True or len(got.get("results", [])) < count:
-            return
-
-
 class ReplaySource(DataSource):
     """``spark.read.format("search_replay")``: recorded pages of a search, a file of JSON lines a query, a partition a file."""
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
 import time
+import urllib.parse
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,25 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file whole; False if it is there already."""
+    target, fs, jvm = _fs(spark, path)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part, False)
+    out.write(text.encode())
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            try:
+                os.link(part.toUri().getPath(), target.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+        return not fs.exists(target) and fs.rename(part, target)
+    finally:
+        fs.delete(part, False)
+
+
 def recover(spark: SparkSession, path: str) -> None:
     """Bring back the old output that a crash between two renames left beside its place, or drop it if its successor is there."""
     target, fs, jvm = _fs(spark, path)
@@ -68,26 +90,34 @@ def write_valid(records: DataFrame, path: str, profile: Profile = SHANGHAI_PM, f
         fs.delete(staged, True)
 
 
-def write_collection(jobs: DataFrame, history: DataFrame, report: str, root: str) -> None:
-    """A run's three outputs: its records, the history after it, and the report."""
-    replace_output(jobs, f"{root}/run")
-    replace_output(history, f"{root}/history")
-    replace_output(jobs.sparkSession.createDataFrame([(report,)], "value string").coalesce(1), f"{root}/report", "text")
+def _status_files(spark: SparkSession, path: str, run_id: str) -> tuple[str, int]:
+    """A run's folder in the status log, and how many moves it has made."""
+    folder = f"{path.rstrip('/')}/{urllib.parse.quote(run_id, safe='')}"
+    pattern, fs, _ = _fs(spark, f"{folder}/*.json")
+    return folder, max([0, *(int(x.getPath().getName().removesuffix(".json")) for x in fs.globStatus(pattern) or [])])
 
 
 def log_status(spark: SparkSession, path: str, run_id: str, status: str, detail: str = "") -> None:
-    """Append a run's new status; only the moves of the state machine are allowed."""
-    if status not in MOVES[current_status(spark, path, run_id)]:
-        raise ValueError(f"{run_id}: no move from {current_status(spark, path, run_id)} to {status}")
-    spark.createDataFrame([(run_id, status, detail, time.time_ns())], "run_id string, status string, detail string, at long").write.mode("append").parquet(path)
+    """Move a run to a new status; only the moves of the state machine are allowed.
+
+    A run's n-th move is a file of that number, which one writer alone can create: of two that move the run at once the
+    other gets an error and the run is where the first put it.
+    """
+    folder, n = _status_files(spark, path, run_id)
+    now = current_status(spark, path, run_id)
+    if status not in MOVES[now]:
+        raise ValueError(f"{run_id}: no move from {now} to {status}")
+    entry = {"run_id": run_id, "n": n + 1, "status": status, "detail": detail, "at": time.time_ns()}
+    if not create_once(spark, f"{folder}/{n + 1:09d}.json", json.dumps(entry, ensure_ascii=False)):
+        raise ValueError(f"{run_id}: moved by another writer at the same time")
 
 
 def statuses(spark: SparkSession, path: str) -> DataFrame:
     """The latest status of every run."""
-    schema = "run_id string, status string, detail string, at long"
-    target, fs, _ = _fs(spark, path)
-    log = spark.read.schema(schema).parquet(path) if fs.exists(target) else spark.createDataFrame([], schema)
-    return log.groupBy("run_id").agg(F.max_by("status", "at").alias("status"), F.max_by("detail", "at").alias("detail"))
+    schema = "run_id string, n long, status string, detail string, at long"
+    pattern, fs, _ = _fs(spark, f"{path.rstrip('/')}/*/*.json")
+    log = spark.read.schema(schema).json(f"{path.rstrip('/')}/*/*.json") if fs.globStatus(pattern) else spark.createDataFrame([], schema)
+    return log.groupBy("run_id").agg(F.max_by("status", "n").alias("status"), F.max_by("detail", "n").alias("detail"))
 
 
 def current_status(spark: SparkSession, path: str, run_id: str) -> str:

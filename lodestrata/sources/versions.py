@@ -16,7 +16,6 @@ parent; staging an output twice replaces it; reading an output that no version h
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from .sinks import _fs
+from .sinks import _fs, create_once
 
 
 class Conflict(RuntimeError):
@@ -98,25 +97,6 @@ class StagedFiles(DataSource):
         return _StagedWriter(self.options["path"])
 
 
-def _create(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a file whole; False if it is there already."""
-    target, fs, jvm = _fs(spark, path)
-    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(part, False)
-    out.write(text.encode())
-    out.close()
-    try:
-        if fs.getScheme() == "file":
-            try:
-                os.link(part.toUri().getPath(), target.toUri().getPath())
-                return True
-            except FileExistsError:
-                return False
-        return not fs.exists(target) and fs.rename(part, target)
-    finally:
-        fs.delete(part, False)
-
-
 class Versions:
     """The version log under ``root``."""
 
@@ -214,7 +194,7 @@ class Transaction:
         version = (self.parent["version"] if self.parent else 0) + 1
         outputs = {**(self.parent["outputs"] if self.parent else {}), **self.outputs}
         record = {"version": version, "parent": version - 1, "at": time.time(), "facts": self.facts, "outputs": outputs}
-        if not _create(self.store.spark, f"{self.store.root}/versions/{version:012d}.json", json.dumps(record)):
+        if not create_once(self.store.spark, f"{self.store.root}/versions/{version:012d}.json", json.dumps(record)):
             raise Conflict(f"version {version} is there already")
         self.published = True
         return version

@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,20 +43,10 @@ def test_envelopes_end_to_end(spark, tmp_path):
     assert envelopes.read_document(spark, f"file://{tmp_path}/bare.json", "id string").first()["id"] == "z"
 
 
-def test_agent_logs_and_paging(spark):
+def test_agent_logs(spark):
     logs = spark.createDataFrame([("a", 1, '{"item":{"text":"no json"}}'), ("a", 2, '{"item":{"text":"{\\"x\\":1}"}}'), ("b", 1, "say"), ("b", 2, "```json"), ("b", 3, '{"x":2}'), ("b", 4, "```")], "file string, line_no int, value string")
     got = {r["file"]: r["json"] for r in envelopes.parse_agent_output(logs).collect()}
     assert json.loads(got["a"]) == {"x": 1} and json.loads(got["b"]) == {"x": 2}
-    calls, waits = [], []
-
-    def fetch(query, page):
-        calls.append(page)
-        if len(calls) == 1:
-            raise ConnectionError
-        return {"results": [1, 2] if page < 2 else [1], "moreResultsAvailable": True}
-
-    assert len(list(envelopes.paged(fetch, "q", 5, 2, {0: {"results": [1, 2], "moreResultsAvailable": True}}, wait=waits.append))) == 3
-    assert calls == [1, 1, 2] and waits == [1.5]
 
 
 def test_replay_source(spark, tmp_path):
@@ -106,6 +97,23 @@ def test_run_status(spark, tmp_path):
         sinks.log_status(spark, log, "r", "skipped")
     sinks.log_status(spark, log, "r", "failed", "why")
     assert sinks.statuses(spark, log).first()["status"] == "failed"
+    sinks.log_status(spark, log, "other/run 1%", "processing")
+    assert {r["run_id"]: r["status"] for r in sinks.statuses(spark, log).collect()} == {"r": "failed", "other/run 1%": "processing"}
+
+
+def test_of_two_writers_one_moves_a_run(spark, tmp_path):
+    log, outcome = f"file://{tmp_path}/status", []
+
+    def move(_):
+        try:
+            sinks.log_status(spark, log, "r", "processing")
+            outcome.append("moved")
+        except ValueError:
+            outcome.append("refused")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(move, range(4)))
+    assert sorted(outcome) == ["moved"] + ["refused"] * 3 and sinks.current_status(spark, log, "r") == "processing"
 
 
 def test_stream_equals_batch_and_replays_change_nothing(spark, tmp_path):

@@ -335,6 +335,8 @@ def test_workbench(spark):
     assert [r["id"] for r in workbench.select(df, workbench.Filters(user_status="已投递"), states).collect()] == ["a"]
     assert [r["id"] for r in workbench.select(df, workbench.Filters(text="乙"), None).collect()] == ["b"]
     assert workbench.select(df, workbench.Filters(min_score=1)).count() == 2 and workbench.top(df, 1).count() == 1
+    assert not workbench.stale({"job_count": 2}, {}) and not workbench.stale({"updated_at": "a"}, {"updated_at": "", "job_count": None})
+    assert workbench.stale({"updated_at": "a", "job_count": 1}, {"job_count": 1, "updated_at": "b"}) and not workbench.stale({"updated_at": "a", "job_count": 0}, {"job_count": 0})
     assert workbench.stale(None, {}) and not workbench.stale({"imported": True}, {"job_count": 1}) and workbench.stale({"job_count": 2}, {"job_count": 1})
     with pytest.raises(ValueError):
         workbench.set_state(states, "a", "乱写")
