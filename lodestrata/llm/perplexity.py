@@ -1,8 +1,9 @@
 """Quality rules with n-gram perplexity under a modified Kneser-Ney model counted and estimated by Spark.
 
-The model's tokens are code points, unfolded, so every script has a model of its own; its order is 5. Texts that pass
-the base rules are made distinct by digest, so copies count once. Tasks count their n-grams by language, Spark sums
-them. At the highest order counts below ``least_count`` are pruned (what only one text says supports nobody, noise
+The model's tokens are code points, unfolded, so every script has a model of its own; its order is 5. It learns from
+texts that it can trust: they pass the base rules, and few of their characters are symbols. Else a kind of junk that
+is common would teach the model its own habits and pass. Texts are made distinct by digest, so copies count once. Tasks
+count their n-grams by language, Spark sums them. At the highest order counts below ``least_count`` are pruned (what only one text says supports nobody, noise
 least of all), below it stand continuation counts of what remains; three discounts an order come from the counts of
 counts, and the mass of what was discounted or pruned goes to the lower order, so each context's probabilities sum to
 one. All of it is joins between tables of n-grams in the shared folder: the model grows with the corpus and nothing
@@ -13,11 +14,12 @@ weights, which travel with the tasks: a bounded size. A task looks every positio
 is the whole model, what it lacks backs off at once; else the n-grams not found, a list for each text, go to the
 model's tables in joins, once for each different n-gram. Either way gives the same perplexity.
 
-A document is judged by its own language's model alone. The bands are language-specific: the median of the
-log-perplexity of the language's distinct texts that pass the base rules, give or take a multiple of their median
-distance from it, and at least a fixed margin; up to half of the texts being noise can't carry either away. A document
-below or above its band is rejected. Documents without a language, or in one that has fewer than ``least_texts``
-such texts, are judged by the model and the band of all languages together.
+A document, trusted or not, is judged by its own language's model alone. The bands are language-specific: the median
+of the log-perplexity of the language's distinct trusted texts, give or take a multiple of their median distance from
+it, and at least a margin, which is wider above, as clean texts with names, numbers or a foreign passage reach further
+up than down; up to half of these texts being noise can't carry either away. A document below or above its band is
+rejected. Documents without a language, or in one that has fewer than ``least_texts`` trusted texts, are judged by the
+model and the band of all languages together.
 
 Edge cases: null and empty text have no words and fail the base rules; equal rows keep a row each and get equal
 verdicts; an empty table, or one without a text that passes, gives no bands and rejects by the base rules only; other
@@ -47,6 +49,10 @@ GROUP_CHARS = 1 << 16
 #: A task's memory of counted n-grams is sent at this size.
 MEMORY = 1 << 20
 
+#: The model learns from no text with more symbols than this in a thousand characters of its words.
+SYMBOLS_PERMILLE = 20
+#: A table of bands of at most so many languages is broadcast.
+MAX_BANDS_SENT = 100_000
 #: So many partitions of distinct texts go to one counting task.
 MERGED = 4
 
@@ -190,13 +196,13 @@ class _Counts:
         return pa.record_batch(columns, names=["language", "gram", "n"])
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """Of (language, text), texts that fail the base rules left out: language, gram, n."""
+def count_grams(texts: DataFrame, symbols: int = SYMBOLS_PERMILLE) -> DataFrame:
+    """Of (language, text): language, gram, n over the texts that the model trusts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Counts()
         for b in batches:
-            pairs = [(x, t) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and not fails(base_counts(t))]
+            pairs = [(x, t) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and trusted(base_counts(t), symbols)]
             for group in groups([x for x, _ in pairs], [t for _, t in pairs]):
                 seen.add(group)
                 if len(seen) >= MEMORY:
@@ -362,6 +368,11 @@ def fails(counts: tuple[int, int, int, int, int]) -> bool:
     return counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
 
 
+def trusted(counts: tuple[int, ...], symbols: int) -> bool:
+    """Whether the model may learn from a text: it passes the base rules, and few of its characters are symbols."""
+    return not fails(counts) and 1000 * counts[2] <= symbols * counts[1]
+
+
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -409,6 +420,11 @@ def resolve(scored: DataFrame, model: DataFrame, scratch: common.Scratch) -> Dat
     return scored.join(more, "row", "left").withColumn("log_sum", F.col("log_sum") + F.coalesce("more", F.lit(0.0))).drop("more", "row", "unknown")
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A table of a row a language: to every task, if there are not very many, so that a language's rows need not meet in one."""
+    return F.broadcast(table) if table.count() <= MAX_BANDS_SENT else table
+
+
 def quality_rules(
     docs: DataFrame,
     *,
@@ -416,9 +432,11 @@ def quality_rules(
     text_col: str = "text",
     lang_col: str = "lang",
     spread: float = 25.0,
-    margin: float = 0.7,
+    margin: float = 0.85,
+    low_margin: float = 0.4,
     least_count: int = 2,
     least_texts: int = 30,
+    symbols: int = SYMBOLS_PERMILLE,
     head: int = 1 << 21,
 ) -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, perplexity, its band's ends, and kept."""
@@ -428,7 +446,7 @@ def quality_rules(
         distinct = rows.where("text IS NOT NULL").withColumn("digest", F.sha2("text", 256)).dropDuplicates(["language", "digest"])
         # a task counts several partitions' texts: the more it sees, the fewer sums it sends for each text
         tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // MERGED)
-        counts = scratch.table(count_grams(distinct.select("language", "text").coalesce(tasks)), "lm-grams")
+        counts = scratch.table(count_grams(distinct.select("language", "text").coalesce(tasks), symbols), "lm-grams")
         # a text's end has a gram of its own, so the grams that end texts count the texts
         ends = counts.where(F.col("gram").endswith(END)).groupBy("language").agg(F.sum("n").alias("texts"))
         large = scratch.table(ends.where((F.col("texts") >= least_texts) & (F.col("language") != ALL)).select(F.col("language").alias("l_language")), "lm-languages")
@@ -443,21 +461,23 @@ def quality_rules(
             scored = scratch.table(resolve(scored, model, scratch), "lm-scores")
         scored = scored.withColumn("log_perplexity", -F.col("log_sum") / F.col("size"))
         scored = scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        judged = scored.where(~F.col("base_failed")).groupBy("language", "digest").agg(F.first("log_perplexity").alias("x"))
+        few = 1000 * F.col("n_symbols") <= symbols * F.col("word_chars")
+        judged = scored.where(~F.col("base_failed") & few).groupBy("language", "digest").agg(F.first("log_perplexity").alias("x"))
         if small:  # the band of all languages together is taken over texts of all of them
             judged = judged.where(F.col("language") != ALL)
             pool = score(distinct.select(F.col("digest").alias("doc_id"), F.lit(ALL).alias("language"), "text"), arrays)
             if not arrays.whole:
                 pool = resolve(pool, model, scratch)
-            pool = pool.where((F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")))
+            pool = pool.where((F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")) & few)
             judged = judged.unionByName(pool.groupBy("language", "digest").agg(F.first(-F.col("log_sum") / F.col("size")).alias("x")))
         judged = scratch.table(judged, "lm-judged")
         middle = F.percentile_approx("x", F.lit(0.5), F.lit(10_000))
         middles = scratch.table(judged.groupBy(F.col("language").alias("b_language")).agg(middle.alias("middle")), "lm-middles")
-        away = judged.join(middles, F.col("language") == F.col("b_language")).withColumn("x", F.abs(F.col("x") - F.col("middle")))
-        bands = away.groupBy("b_language").agg(F.first("middle").alias("middle"), F.greatest(F.lit(margin), spread * middle).alias("wide"))
-        bands = bands.select("b_language", F.exp(F.col("middle") - F.col("wide")).alias("band_low"), F.exp(F.col("middle") + F.col("wide")).alias("band_high"))
-        out = scored.join(bands, F.col("language") == F.col("b_language"), "left").withColumn("perplexity", F.exp("log_perplexity"))
+        away = judged.join(_sent(middles), F.col("language") == F.col("b_language")).withColumn("x", F.abs(F.col("x") - F.col("middle")))
+        bands = away.groupBy("b_language").agg(F.first("middle").alias("middle"), (spread * middle).alias("wide"))
+        low, high = (F.greatest(F.lit(m), F.col("wide")) for m in (low_margin, margin))
+        bands = scratch.table(bands.select("b_language", F.exp(F.col("middle") - low).alias("band_low"), F.exp(F.col("middle") + high).alias("band_high")), "lm-bands")
+        out = scored.join(_sent(bands), F.col("language") == F.col("b_language"), "left").withColumn("perplexity", F.exp("log_perplexity"))
         kept = ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(True))
         out = out.select("doc_id", *_NAMES, "base_failed", kept.alias("kept"), "perplexity", "band_low", "band_high")
         return scratch.keep(scratch.table(out, "lm-verdicts"))

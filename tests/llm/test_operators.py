@@ -318,6 +318,33 @@ def test_quality_rules_keep_prose_and_reject_noise(spark, docs, rows, empty):
     assert short and all(r["base_failed"] and not r["kept"] for r in short)
 
 
+def test_common_junk_does_not_teach_the_model(spark):
+    """Half of the distinct texts are prose with signs in every word, a few are far too regular; prose with a few signs stays."""
+    rng = random.Random(6)
+    made, junk = [], []
+    for lang, syllables in SCRIPTS.items():
+        make = speech(rng, syllables, 90)
+        texts = [make() for _ in range(120)]
+        made += [(f"{lang}{i}", t if i % 4 else t.replace(" ", " # ", 1) + " 100%", lang) for i, t in enumerate(texts[:60])]
+        junk += [(f"{lang}-signs{i}", " ".join(w + rng.choice(["$$$", "###", "|", " | "]) for w in t.split()), lang) for i, t in enumerate(texts[60:])]
+        likely = syllables[0] * 3
+        junk += [(f"{lang}-regular{i}", " ".join(likely * (1 + (7 * i + j) % 9) + syllables[j % 2] * (j % 5) for j in range(60)), lang) for i in range(2)]
+    df = spark.createDataFrame(made + junk, "doc_id string, text string, lang string")
+    got = perplexity.quality_rules(df).collect()
+    assert len(got) == len(made) + len(junk) and all(r["kept"] for r in got if "-" not in r["doc_id"])
+    signs = [r for r in got if "signs" in r["doc_id"]]
+    assert not any(r["base_failed"] for r in signs) and not any(r["kept"] for r in signs) and all(r["perplexity"] > r["band_high"] for r in signs)
+    assert not any(r["kept"] for r in got if "regular" in r["doc_id"])
+
+
+def test_labelled_documents(spark):
+    """At sf0.01, of what passes the base rules: at least half of the bad ones go, and hardly a good one."""
+    sf = "/root/testdata/sf0.01"
+    got = perplexity.op3_perplexity(spark, sf).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    count = {(r["quality"], r["kept"]): r["n"] for r in got.groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
+    assert count.get((0, False), 0) > count.get((0, True), 0) > -1 and count[0, False] >= 20 and count.get((1, False), 0) <= 0.01 * count[1, True]
+
+
 def brute_syncmers(text, k=syncmers.K, s=syncmers.S):
     """Places and inner hashes of the k-mers whose least s-mer is the first or the last, by definition."""
     base, spread, mask = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
