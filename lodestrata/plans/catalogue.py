@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mechanism_queries, record_queries, text_queries
+from . import edge_queries, mechanism_queries, record_queries, text_queries
 
 FLAGSHIP = "recommend_ladder"
-QUERIES = {**text_queries.QUERIES, **record_queries.QUERIES, **mechanism_queries.QUERIES}
-SQL = {**text_queries.SQL, **record_queries.SQL, **mechanism_queries.SQL}
+QUERIES = {**text_queries.QUERIES, **record_queries.QUERIES, **mechanism_queries.QUERIES, **edge_queries.QUERIES}
+SQL = {**text_queries.SQL, **record_queries.SQL, **mechanism_queries.SQL, **edge_queries.SQL}
