@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import REJECT, SHANGHAI_PM
+from ..config import INSUFFICIENT, REJECT, SHANGHAI_PM
 from ..functions.display import display_value, risk_texts, verification_label
-from ..functions.text import page_text
+from ..functions.text import card_hint, page_text
 from ..functions.url import strict_detail_url
+from ..functions.values import no_strings
 from ..operators import metrics, ocr, workbench
-from ..operators.normalize import index_to_records
+from ..operators.normalize import evidence_entries, index_to_records
 from ..operators.ordinal import with_ordinal
-from ..operators.score import score
-from ..schema import INDEX_EVIDENCE, INDEXED, conform
+from ..operators.score import evidence_text, reclassify, score, score_document
+from ..operators.validate import import_payload
+from ..schema import EVIDENCE, INDEX_EVIDENCE, INDEXED, conform
 from ..sources import captures
 from .record_queries import _LADDER, _records
-from .text_queries import _DIRECTIONS, _SPACE, _decoded, _directions
+from .text_queries import _DIRECTIONS, _SPACE, PROSE, _decoded, _directions, _tags
 
 P = SHANGHAI_PM
 
@@ -137,12 +139,89 @@ def workbench_order(spark, d):
     return with_ordinal(found, name="place", start=1)
 
 
+# --- records ------------------------------------------------------------------------------------
+
+
+def imported_records(spark, d):
+    """Customers as imported JSON documents of a hundred records, read under the strict rules for types."""
+    n = F.col("c_custkey").cast("string")
+    none = F.lit(None).cast("string")
+    job = F.struct(
+        n.alias("id"), F.concat(F.lit(f"https://www.{P.host}/job_detail/"), n, F.lit(".html")).alias("url"), F.concat("c_mktsegment", F.lit(P.role)).alias("title"), F.lit(P.city).alias("city"), F.lit(INSUFFICIENT).alias("recommendation"),
+        F.lit("public_index").alias("pipeline"), F.lit("unverified_index_snapshot").alias("verification_status"), F.lit(None).cast("double").alias("score"), F.array(F.struct(F.lit("public_index").alias("type"), none.alias("detail"))).alias("evidence_source"),
+        F.array(F.col("c_name")).alias("missing_information"), no_strings().alias("review_reasons"),
+    )
+    texts = _t(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100)).agg(F.to_json(F.struct(F.collect_list(job).alias("jobs")), {"ignoreNullFields": "false"}).alias("value"))
+    out = import_payload(texts)
+    return out.select("id", "title", F.array_join("missing_information", ",").alias("missing"), F.col("score").isNull().alias("unscored"))
+
+
+def evidence_texts(spark, d):
+    n = F.col("c_custkey")
+    row = _t(spark, d, "customer").select(n, F.when(n % 3 == 0, "unknown").when(n % 3 == 1, F.col("c_name")).alias("a"), F.when(n % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("b"), F.lit("c").alias("c"))
+    return row.select("c_custkey", evidence_text(("a", "b", "c")).alias("known"), evidence_text(("a", "b", "c"), keep_unknown=True).alias("given"))
+
+
+def card_hints(spark, d):
+    """Customers as the one line of a card: title, pay, experience, education, a tag for some, company, city and district."""
+    n = F.col("c_custkey").cast("string")
+    line = F.concat(
+        F.lit(f"{P.role}"), n, F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("  "), n, F.lit("-60K·13薪"))).otherwise(""), F.lit(" 3-5年 本科 "), F.when(F.col("c_custkey") % 3 == 0, f"{P.card_tags[0]} ").otherwise(""),
+        F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit("公司"), n, F.lit(" "))).otherwise(""), F.when(F.col("c_custkey") % 7 > 0, f"{P.city} {P.districts[0]}").otherwise(""),
+    )
+    found = card_hint(F.when(F.col("c_custkey") % 11 > 0, line), P)
+    return _t(spark, d, "customer").select("c_custkey", *(c.alias(k) for k, c in found.items()))
+
+
+def user_states(spark, d):
+    states = _t(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("toxic") == 1, "不合适").when(F.col("quality") == 1, "候选").otherwise("no state").alias("status"))
+    least = _t(spark, d, "documents").agg(F.min("doc_id").cast("string")).first()[0]
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    return workbench.with_states(docs, workbench.set_state(states, least, "已投递")).groupBy("user_status").agg(F.count("*").alias("n"))
+
+
+def document_metadata(spark, d):
+    return score_document(_records(spark, d), {"source": "documents", "job_count": "given"})[1]
+
+
+def reclassified(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.col("lang").alias("title"), F.col("text").alias("job_description_raw"), F.lit("unknown").alias("responsibilities"), F.lit(None).cast("string").alias("requirements"))
+    return reclassify(rows, PROSE).select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+def evidence_defaults(spark, d):
+    """Users' observations as lists of evidence without types or times, or none: filled in."""
+    none = F.lit(None).cast("string")
+    entry = F.struct(F.when(F.col("value") < 10, "seen").alias("type"), F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).alias("observed_at"), *(none.alias(c) for c in ("url", "query", "detail", "provider", "summary", "capture_status")))
+    items = F.when(F.col("event_id") % 5 > 0, F.array(entry)).cast(EVIDENCE)
+    rows = _t(spark, d, "events").select("event_id", evidence_entries(items, F.lit("public_index"), F.when(F.col("event_id") % 3 > 0, "then")).alias("e"))
+    return rows.select("event_id", F.element_at("e", 1)["type"].alias("type"), F.element_at("e", 1)["observed_at"].alias("at"), F.size("e").cast("long").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
+    imported_records, evidence_texts, card_hints, user_states, document_metadata, reclassified, evidence_defaults,
     strict_urls, manifest_only, captures_joined, page_texts, capture_names, page_kinds, risk_lines, admission, scope_flags, metadata_row, capture_tally, direction_list, workbench_top, workbench_order,
 )}
 
 _NOTHING = "公开索引只确认了上海、产品经理标题和具体岗位链接；完整 JD 待验证。"
 SQL = {
+    "imported_records": f"SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment || '{P.role}' AS title, c_name AS missing, TRUE AS unscored FROM customer",
+    "evidence_texts": """
+SELECT c_custkey, concat_ws(' ', CASE WHEN c_custkey % 3 = 1 THEN c_name END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'c') AS known,
+  concat_ws(' ', CASE c_custkey % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN c_name ELSE '' END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END, 'c') AS given FROM customer""",
+    "card_hints": f"""
+SELECT c_custkey, CASE WHEN c_custkey % 11 > 0 THEN '{P.role}' || c_custkey END AS title, CASE WHEN c_custkey % 11 > 0 AND c_custkey % 5 > 0 THEN '公司' || c_custkey END AS company,
+  CASE WHEN c_custkey % 11 > 0 THEN '3-5年' END AS experience, CASE WHEN c_custkey % 11 > 0 THEN '本科' END AS education, CASE WHEN c_custkey % 11 > 0 AND c_custkey % 7 > 0 THEN '{P.districts[0]}' END AS district FROM customer""",
+    "user_states": """
+WITH s AS (SELECT d.doc_id, CASE WHEN d.doc_id = (SELECT min(doc_id) FROM documents) THEN '已投递' WHEN toxic = 1 THEN '不合适' WHEN quality = 1 THEN '候选' ELSE '未看' END AS user_status FROM documents d LEFT JOIN labels USING (doc_id))
+SELECT user_status, count(*) AS n FROM s GROUP BY 1""",
+    "document_metadata": f"SELECT 'documents' AS source, '{P.version}' AS scoring_algorithm_version, '{P.preferences_version}' AS preference_version, count(*) AS job_count FROM documents",
+    "reclassified": f"""
+WITH b AS (SELECT doc_id, lang || chr(10) || {_SPACE.format('text')} AS body FROM documents), t AS (SELECT doc_id, {_tags('body')} AS t FROM b)
+SELECT doc_id, CASE WHEN len(t) = 0 THEN 'plain' ELSE array_to_string(t[1:4], ',') END AS tags FROM t""",
+    "evidence_defaults": """
+SELECT event_id, CASE WHEN event_id % 5 > 0 AND value < 10 THEN 'seen' ELSE 'public_index' END AS type,
+  CASE WHEN event_id % 5 > 0 AND event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 3 > 0 THEN 'then' ELSE 'unknown' END AS at, 1::BIGINT AS n FROM events""",
     "strict_urls": f"""
 SELECT page_id, CASE WHEN page_id % 4 < 3 AND page_id % 5 <> 1 THEN 'https://www.{P.host}/job_detail/' || page_id || CASE WHEN page_id % 5 = 0 THEN '.HTML' ELSE '.html' END END AS url FROM pages""",
     "manifest_only": f"""
