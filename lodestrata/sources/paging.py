@@ -94,7 +94,7 @@ def _bucket(query: str, buckets: int) -> int:
     return zlib.crc32(query.encode()) % buckets
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=32)
 def _recorded(root: str, bucket: int) -> dict[tuple[str, int], tuple[list[int], str]]:
     import pyarrow.parquet as pq
 
