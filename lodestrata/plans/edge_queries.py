@@ -11,6 +11,7 @@ from ..functions.text import card_hint, page_text
 from ..functions.url import strict_detail_url
 from ..functions.values import no_strings
 from ..operators import metrics, ocr, workbench
+from ..operators.dedupe import evidence_places
 from ..operators.normalize import evidence_entries, index_to_records
 from ..operators.ordinal import with_ordinal
 from ..operators.score import evidence_text, reclassify, score, score_document
@@ -198,13 +199,21 @@ def evidence_defaults(spark, d):
     return rows.select("event_id", F.element_at("e", 1)["type"].alias("type"), F.element_at("e", 1)["observed_at"].alias("at"), F.size("e").cast("long").alias("n"))
 
 
+def evidence_table(spark, d):
+    """Events as their users' evidence, a row each with its place."""
+    rows = _t(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("value") > 1, F.concat_ws("/", "event_type", F.col("event_id").cast("string"))).alias("said"))
+    return evidence_places(rows, "user_id", ["ts", "event_id"], "said").withColumnRenamed("key", "user_id")
+
+
 QUERIES = {f.__name__: f for f in (
+    evidence_table,
     imported_records, evidence_texts, card_hints, user_states, document_metadata, reclassified, evidence_defaults,
     strict_urls, manifest_only, captures_joined, page_texts, capture_names, page_kinds, risk_lines, admission, scope_flags, metadata_row, capture_tally, direction_list, workbench_top, workbench_order,
 )}
 
 _NOTHING = "公开索引只确认了上海、产品经理标题和具体岗位链接；完整 JD 待验证。"
 SQL = {
+    "evidence_table": "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, event_type || '/' || event_id AS entry FROM events WHERE value > 1",
     "imported_records": f"SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment || '{P.role}' AS title, c_name AS missing, TRUE AS unscored FROM customer",
     "evidence_texts": """
 SELECT c_custkey, concat_ws(' ', CASE WHEN c_custkey % 3 = 1 THEN c_name END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'c') AS known,
