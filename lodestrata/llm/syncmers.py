@@ -12,18 +12,20 @@ the same order: the longest run of partners whose places rise in both. So text p
 anchors that it touches, wherever it stands.
 
 ``compare_next`` needs each document's successor in descending order of ids without sorting the table into one task.
-Cut points from approximate quantiles deal rows to parts by id, a few for each shuffle partition; the first row of each part is sent to the part before
-it as well, so every document finds its successor in its own part, and the order wraps around.
+Cut points from approximate quantiles deal rows to parts by id, a few for each shuffle partition, and the rows of an id
+that very many share, or of none, to several parts by their texts' digests; the first row of each part is sent to the
+part before it as well, so every document finds its successor in its own part, and the order wraps around.
 
 Edge cases: null text counts as empty; texts without an anchor (shorter than k, say) have the hash of the whole text
 as their one anchor; equal texts have equal fingerprints; a null id comes last; rows with the same id follow each
-other by text; one row is its own successor; an empty table gives an empty result; other columns are ignored.
+other by text (by a digest of it if very many share one); one row is its own successor; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,18 +129,30 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-def _deal(cuts: list[int], before: dict[int | None, int]):
-    """A column function of the id: its part (the cut points above it, counted) and, if it heads a part, the part before."""
-    table = -np.array(sorted(cuts, reverse=True), np.int64)
+#: A part's number is that of its cut point and, behind it, of its share of a hot id's rows.
+SHARE_BITS = 20
 
-    @F.pandas_udf("part int, guest int")
-    def deal(ids):
+
+def _deal(cuts: Counter, nulls: int, before: dict[tuple[int | None, int], int]):
+    """A column function of (id or 0, whether it is null, digest): a row's part and, if it heads a part, the part before.
+
+    Parts lie between cut points, in descending order. A cut point that several quantiles share is a hot id: its rows
+    are dealt over so many parts by ranges of their digests, and ids below it go to a part of their own; so are null ids.
+    """
+    table = np.array(sorted(cuts, reverse=True), np.int64)
+    shares = np.array([0, *(cuts[c] if cuts[c] > 1 else 0 for c in table.tolist()), nulls], np.int64)
+
+    @F.pandas_udf("part long, guest long")
+    def deal(ids, none, digests):
         import pandas as pd
 
-        null = ids.isna().to_numpy()
-        part = np.searchsorted(table, -ids.fillna(0).to_numpy().astype(np.int64), "right")
-        guest = [before.get(None if n else int(i), -1) for i, n in zip(ids.fillna(0), null)]
-        return pd.DataFrame({"part": np.where(null, len(table), part).astype(np.int32), "guest": np.array(guest, np.int32)})
+        i, d, null = ids.to_numpy().astype(np.int64), digests.to_numpy().astype(np.int64), none.to_numpy().astype(bool)
+        base = np.where(null, len(table) + 1, len(table) - np.searchsorted(table[::-1], i, "left"))
+        share = shares[base]
+        head = null | ((base > 0) & (base <= len(table)) & (np.append(table, [0, 0])[np.maximum(base, 1) - 1] == i))
+        part = (base << SHARE_BITS) + np.where(head, ((d >> 31) * share) >> 31, share)
+        guest = [before.get((None if n else x, y), -1) for x, y, n in zip(i.tolist(), d.tolist(), null.tolist())]
+        return pd.DataFrame({"part": part, "guest": np.array(guest, np.int64)})
 
     return deal
 
@@ -148,16 +162,23 @@ def _with_successors(docs: DataFrame) -> DataFrame:
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * width  # as many as the cluster works on, whatever the rows
     steps = [i / parts for i in range(1, parts)]
-    ids = docs.select("doc_id")
-    cuts = sorted(set(ids.select(F.percentile_approx("doc_id", steps, 10 * parts).alias("q")).first()["q"] or []))
-    found = ids.groupBy(_deal(cuts, {})(F.col("doc_id"))["part"].alias("part")).agg(F.max("doc_id").alias("head")).orderBy("part").collect()
-    before = {r["head"]: found[i - 1]["part"] for i, r in enumerate(found)}
-    dealt = docs.withColumn("to", _deal(cuts, before)(F.col("doc_id")))
-    own = F.struct(F.col("to.part").alias("part"), F.lit(False).alias("guest"))
+    found = docs.agg(F.percentile_approx("doc_id", steps, 10 * parts).alias("q"), F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    cuts = Counter(found["q"] or [])
+    nulls = -(-(found["n"] - found["known"]) * parts // max(found["n"], 1))
+    hot = nulls > 1 or max(cuts.values(), default=0) > 1
+    # digests part the rows of hot ids only; without one no text is read for them
+    digest = F.shiftrightunsigned(F.xxhash64("text"), 2) if hot else F.lit(0).cast("long")
+    own = docs.withColumn("digest", digest)
+    place = lambda before: _deal(cuts, nulls, before)(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("digest"))
+    first = F.min_by(F.struct("doc_id", "digest"), F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), "digest"))
+    heads = own.groupBy(place({})["part"].alias("part")).agg(first.alias("head")).orderBy("part").collect()  # a row a part
+    before = {tuple(r["head"]): heads[i - 1]["part"] for i, r in enumerate(heads)}
+    dealt = own.withColumn("to", place(before))
+    here = F.struct(F.col("to.part").alias("part"), F.lit(False).alias("guest"))
     as_guest = F.struct(F.col("to.guest").alias("part"), F.lit(True).alias("guest"))
-    dealt = dealt.select("doc_id", "text", F.explode(F.when(F.col("to.guest") >= 0, F.array(own, as_guest)).otherwise(F.array(own))).alias("at"))
-    dealt = dealt.select("doc_id", "text", F.col("at.part").alias("part"), F.col("at.guest").alias("guest"))
-    return dealt.repartition(width, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
+    dealt = dealt.select("doc_id", "text", "digest", F.explode(F.when(F.col("to.guest") >= 0, F.array(here, as_guest)).otherwise(F.array(here))).alias("at"))
+    dealt = dealt.select("doc_id", "text", F.col("at.part").alias("part"), F.col("at.guest").alias("guest"), "digest")
+    return dealt.repartition(width, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "digest", "text").drop("digest")
 
 
 def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:

@@ -393,6 +393,28 @@ def test_closed_syncmers_are_context_free():
     assert 0.08 < len(at) / len(text) < 0.3
 
 
+def test_successors_under_shared_ids(spark):
+    """A third of the rows has one id and a third none: their parts are split, and each row is followed by one row, in one round."""
+    rng = random.Random(7)
+    rows = [(500 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} " + prose(rng, 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = syncmers._with_successors(df).select("part", "guest", "doc_id").collect()
+    sizes = Counter(r["part"] for r in dealt)
+    assert max(sizes.values()) < 3 * 900 / 16 and sum(r["guest"] for r in dealt) == len(sizes)
+    ids = {p: [r["doc_id"] for r in dealt if r["part"] == p and not r["guest"]] for p in sorted(sizes)}
+    line = [i for p in ids.values() for i in sorted(p, key=lambda i: (i is None, -(i or 0)))]
+    assert line == sorted((r[0] for r in rows), key=lambda i: (i is None, -(i or 0)))  # parts follow each other in descending order
+    got = syncmers.compare_next(df).select("doc_id", "n_chars", "edited_sha256").collect()
+    texts = {t: i for i, t in rows}
+    following = {hashlib.sha256(syncmers.edited(t, o).encode()).hexdigest(): (t, o) for t in texts for o in texts}
+    pairs = dict(following[r["edited_sha256"]] for r in got)
+    seen, now = [], rows[0][1]
+    for _ in rows:
+        seen.append(now)
+        now = pairs[now]
+    assert len(got) == 900 and len(set(seen)) == 900 and now == rows[0][1]
+
+
 def test_compare_next(docs, rows, empty):
     got = syncmers.compare_next(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
