@@ -8,6 +8,7 @@ replay can read any more are deleted, so disk does not grow with the number of b
 
 from __future__ import annotations
 
+import json
 import traceback
 import uuid
 from collections.abc import Callable
@@ -19,13 +20,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import merge_history
 from ..schema import INDEXED, fields
+from ..sources.sinks import create_once
 
+#: Buckets of a history that is made without saying how many.
 BUCKETS = 64
 
 
-def _bucket() -> Column:
+def _bucket(buckets: int) -> Column:
     """The bucket of a record's key."""
-    return F.pmod(F.xxhash64(F.coalesce(F.nullif(F.col("job_id"), F.lit("")), F.col("job_url"))), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(F.coalesce(F.nullif(F.col("job_id"), F.lit("")), F.col("job_url"))), F.lit(buckets)).cast("int")
+
+
+def buckets_of(spark: SparkSession, root: str, wanted: int = BUCKETS) -> int:
+    """The history's number of buckets, which is settled when it is made."""
+    create_once(spark, f"{root}/_buckets.json", json.dumps({"buckets": wanted}))
+    path, fs = _folder(spark, f"{root}/_buckets.json")
+    source = fs.open(path)
+    try:
+        return json.loads(bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode())["buckets"]
+    finally:
+        source.close()
 
 
 def _folder(spark: SparkSession, path: str):
@@ -66,17 +80,27 @@ def _forget(spark: SparkSession, root: str, n: int) -> None:
             fs.delete(p, True)
 
 
-def upsert(root: str, merge: Callable[[DataFrame, DataFrame], DataFrame] = merge_history) -> Callable[[DataFrame, int], None]:
+def upsert(root: str, merge: Callable[[DataFrame, DataFrame], DataFrame] = merge_history, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A micro-batch's step. A new history gets so many buckets: some rows of a batch for each, and a task's worth of records in each."""
+
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        touched = [r[0] for r in batch.select(_bucket().alias("bucket")).where("bucket IS NOT NULL").distinct().collect()]  # BUCKETS at most
+        bucket = _bucket(buckets_of(spark, root, buckets))
+        touched = [r[0] for r in batch.select(bucket.alias("bucket")).where("bucket IS NOT NULL").distinct().collect()]  # as many as there are buckets
         merged = merge(snapshot(spark, root, n, touched), batch)
-        merged.withColumn("bucket", F.coalesce(_bucket(), F.lit(0))).write.partitionBy("bucket").mode("overwrite").parquet(f"{root}/batch={n}")
+        merged.withColumn("bucket", F.coalesce(bucket, F.lit(0))).write.partitionBy("bucket").mode("overwrite").parquet(f"{root}/batch={n}")
         _forget(spark, root, n)
 
     return run
 
 
+def rebucket(spark: SparkSession, root: str, to: str, buckets: int, n: int = 0) -> None:
+    """The newest snapshot as batch ``n`` of a new history with another number of buckets."""
+    if buckets_of(spark, to, buckets) != buckets:
+        raise ValueError(f"{to} has another number of buckets")
+    snapshot(spark, root).withColumn("bucket", F.coalesce(_bucket(buckets), F.lit(0))).write.partitionBy("bucket").mode("overwrite").parquet(f"{to}/batch={n}")
+
+
 def isolated(step: Callable[[DataFrame, int], None], log: Callable[[int, str], None], dead: str | None = None) -> Callable[[DataFrame, int], None]:
     """A failed micro-batch is kept in the folder ``dead``, logged, and the stream goes on with the next."""
 

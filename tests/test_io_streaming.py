@@ -139,6 +139,19 @@ def test_stream_equals_batch_and_replays_change_nothing(spark, tmp_path):
     assert all(len(v) <= 2 for v in versions.values()) and {r["job_id"]: r["seen_count"] for r in history.snapshot(spark, root).collect()} == {"a": 6, "b": 1}
 
 
+def test_a_history_grows_by_more_buckets(spark, tmp_path):
+    schema = fields(INDEXED + ", ord long")
+    make = lambda rows: spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
+    one, two = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
+    history.upsert(one, buckets=2)(make([{"job_id": f"k{i}", "seen_count": 1, "ord": i} for i in range(20)]), 0)
+    history.upsert(one, buckets=99)(make([{"job_id": "k1", "seen_count": 1, "ord": 0}]), 1)  # two buckets stay two
+    assert history.buckets_of(spark, one) == 2 and set(history._versions(spark, one)) <= {0, 1}
+    history.rebucket(spark, one, two, 16)
+    history.upsert(two)(make([{"job_id": "k2", "seen_count": 1, "ord": 0}]), 1)
+    counts = {r["job_id"]: r["seen_count"] for r in history.snapshot(spark, two).collect()}
+    assert len(counts) == 20 and counts["k1"] == counts["k2"] == 2 and len(history._versions(spark, two)) > 2
+
+
 def test_worker_loop():
     size = [0]
 
