@@ -333,19 +333,21 @@ def fit(docs: DataFrame, *, per_lang: int = 150, max_words: int = 200_000, doc_w
     return train(sample_windows(docs, per_lang=per_lang, max_words=max_words, doc_windows=doc_windows, width=width, seed=seed))
 
 
-def keep_known(docs: DataFrame, *, least: float = 0.34, **sample) -> DataFrame:
+def keep_known(docs: DataFrame, *, least: float = 1.05, **sample) -> DataFrame:
     """``docs`` (with doc_id, text, lang) without the rows whose text has no language, or hardly one.
 
-    Only the text goes to Python; the other columns wait in the JVM.
+    Hardly one means that no language's posterior is ``least`` times what each would have if all were alike: a short
+    text in a mixture of languages, or of names and numbers, stays. Only the text goes to Python; the other columns wait in the JVM.
     """
     model = fit(docs.select("doc_id", "text", "lang"), **sample)
+    floor = min(1.0, least / len(model.languages)) if model else 0.0
 
     @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         given = ([None if t is None else str(t) for t in part] for part in texts)
         found = _predict(model, given) if model else ([UNDETERMINED] * len(t) for t in given)
         for results in found:
-            yield pd.Series([lang != "und" and score >= least for lang, score, _ in results], dtype=bool)
+            yield pd.Series([lang != "und" and score >= floor for lang, score, _ in results], dtype=bool)
 
     return docs.where(known("text"))
 
