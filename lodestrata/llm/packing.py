@@ -33,8 +33,8 @@ from . import common
 PIECE_SCHEMA = "doc_id {}, piece int, start long, length int, ids_crc32 long"
 #: Ranks are taken within groups of a length of about so many pieces.
 GROUP_ROWS = 1 << 16
-#: A worker's memory of pre-tokens is emptied at this size.
-MEMORY = 800_000
+#: A worker's memory of pre-tokens is emptied at this size: it stays with the worker, beside what later stages need.
+MEMORY = 250_000
 
 # --- token ids ---------------------------------------------------------------------------------
 
