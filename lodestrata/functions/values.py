@@ -70,3 +70,14 @@ def first_in_list(text: Column, words: Iterable[str]) -> Column:
 def parsed(stamp: str | Column) -> Column:
     """An ISO 8601 string as a timestamp, NULL where it is none."""
     return F.expr("try_cast(x as timestamp)") if stamp is None else col(stamp).try_cast("timestamp")
+
+
+def whole_json(text: Column) -> Column:
+    """The text as a variant if all of it is one JSON value, else NULL.
+
+    The parser stops behind the first value, so that "12 of them" would be a number. Hence the text is read as the first
+    item of a list whose second and last is the text's digest: only a whole value lets the parser come to that.
+    """
+    end = F.md5(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), end, F.lit('"]')))
+    return F.when(F.try_variant_get(pair, "$[1]", "string") == end, F.try_variant_get(pair, "$[0]", "variant"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ARRAYS, COMPLETE_CAPTURES, HIGH, IMPORT_LISTS, IMPORT_OPTIONAL, IMPORT_OPTIONAL_LISTS, IMPORT_TEXTS, INSUFFICIENT, PIPELINES, RECOMMENDATIONS, REJECT, SCALARS, SHANGHAI_PM, TOP, UNKNOWN, VERIFICATIONS, Profile
 from ..functions.url import detail_url, url_job_id
-from ..functions.values import is_unknown
+from ..functions.values import is_unknown, whole_json
 from ..schema import RECORD, conform
 
 
@@ -160,7 +160,7 @@ def import_payload(texts: DataFrame, column: str = "value", profile: Profile = S
     Types are checked before anything is read as a record, so a number is no id and a single text no list; then the
     rules that imports must keep. A document is an object with a list ``jobs``.
     """
-    parsed = texts.select(F.try_parse_json(F.col(column)).alias("doc"))
+    parsed = texts.select(whole_json(F.col(column)).alias("doc"))
     listed = F.try_variant_get("doc", "$.jobs", "array<variant>")
     meta = _kind(F.try_variant_get("doc", "$.metadata", "variant"))
     if not parsed.where(F.col("doc").isNull() | ~F.coalesce(_kind(F.try_variant_get("doc", "$.jobs", "variant")) == "array", F.lit(False)) | (meta.isNotNull() & (meta != "object"))).isEmpty():

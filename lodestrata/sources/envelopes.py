@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.values import whole_json
 from ..schema import ENVELOPE, RESULT, fields
 
 
@@ -60,7 +61,7 @@ def parse_agent_output(logs: DataFrame) -> DataFrame:
     whole = logs.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "\n").alias("text"))
     message = F.coalesce(F.get_json_object("value", "$.item.text"), F.get_json_object("value", "$.message"), F.get_json_object("value", "$.text"))
     last = logs.withColumn("m", message).groupBy("file").agg(F.max_by("m", F.when(F.col("m").isNotNull(), F.col("line_no"))).alias("last"))
-    parses = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    parses = lambda c: F.when(whole_json(c).isNotNull(), c)
     fenced = lambda c: F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
     text = lambda c: F.coalesce(parses(F.col(c)), parses(fenced(F.col(c))))
     return whole.join(last, "file", "left").select("file", F.coalesce(text("last"), text("text")).alias("json"))

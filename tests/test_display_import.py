@@ -97,6 +97,8 @@ def test_strict_import_takes_what_is_right(spark):
     assert [(r["id"], r["company"], r["tags"], r["description"], r["review_reasons"]) for r in sorted(out, key=lambda r: r["id"])] == [("a", "unknown", [], INSUFFICIENT, []), ("b", "甲", ["x"], INSUFFICIENT, [])]
     with pytest.raises(validate.ContractError, match="a document"):
         validate.import_payload(spark.createDataFrame([('{"jobs": 1}',)], "value string"))
+    with pytest.raises(validate.ContractError, match="a document"):
+        validate.import_payload(spark.createDataFrame([(json.dumps({"jobs": [job()]}) + " and more",)], "value string"))
     with pytest.raises(validate.ContractError, match="repeated"):
         imported(spark, job(), job())
 

@@ -49,6 +49,11 @@ def test_agent_logs(spark):
     assert json.loads(got["a"]) == {"x": 1} and json.loads(got["b"]) == {"x": 2}
 
 
+def test_agent_output_is_json_from_end_to_end(spark):
+    logs = spark.createDataFrame([("a", 0, json.dumps({"text": "12 files read"}))], "file string, line_no int, value string")
+    assert json.loads(envelopes.parse_agent_output(logs).first()["json"]) == {"text": "12 files read"}
+
+
 def test_replay_source(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text(json.dumps({"query": "q", "page": 0, "results": [{"url": "u", "title": "t"}]}) + "\n")
     spark.dataSource.register(envelopes.ReplaySource)

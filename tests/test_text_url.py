@@ -59,6 +59,15 @@ def test_page_text(spark):
     assert one(spark, "plain text", c)[0] == "plain text"
 
 
+def test_a_page_that_only_begins_as_json_is_plain_text(spark):
+    c = T.page_text(F.col("x"))
+    for text in ("4763 Of the", "true story", '"a" b', "[1] a note", '{"status":"ok"} b', "1] x", "1, 2", "", " "):
+        assert one(spark, text, c)[0] == text
+    for text in ("4763", ' {"status":"error"}\n', "[1]", "null"):
+        assert one(spark, text, c)[0] == ""
+    assert one(spark, None, c)[0] is None
+
+
 def test_sections(spark):
     duties, needs = T.split_sections(F.col("x"))
     row = one(spark, "标题\n【岗位职责】\n一、负责增长\n二、负责转化；\n任职要求：\n本科", duties, needs)
