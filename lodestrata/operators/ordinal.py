@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.session import stored
@@ -70,3 +70,23 @@ def with_position(df: DataFrame, by: Iterable[str], order: Iterable[str | Column
     starts = placed.groupBy(*(F.col(c).alias(k) for c, k in keys.items())).agg(F.min(at).alias(first))
     same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
     return placed.join(starts, same).withColumn(name, F.col(at) - F.col(first) + start).drop(at, first, *keys.values())
+
+
+def with_next(df: DataFrame, by: Iterable[str], order: Iterable[str | Column], columns: Iterable[str], *, prefix: str = "next_", unique: bool = False, block: int = 1 << 16, write: Writer = stored) -> DataFrame:
+    """``df`` with ``columns`` of the next row among those that share ``by`` (nulls are equal), null for the last of them.
+
+    Rows meet in blocks of their running positions, not by ``by``, so no group makes a task longer; a block's first row
+    also stands behind the block before it.
+    """
+    by, columns = list(by), list(columns)
+    at = _free([*df.columns, *(prefix + c for c in columns)], "group_place")
+    part = _free([*df.columns, *(prefix + c for c in columns), at], "row_block")
+    placed = with_ordinal(df, [*by, *order], name=at, unique=unique, write=write)
+    own = F.floor(F.col(at) / block).cast("long")
+    rows = placed.withColumn(part, F.explode(F.when((F.col(at) % block == 0) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))))
+    window = Window.partitionBy(part).orderBy(at)
+    same = F.lead(F.lit(True)).over(window).isNotNull()
+    for c in by:
+        same = same & F.lead(c).over(window).eqNullSafe(F.col(c))
+    following = [F.when(same, F.lead(c).over(window)).alias(prefix + c) for c in columns]
+    return rows.select("*", *following).where(F.col(part) == own).drop(at, part)

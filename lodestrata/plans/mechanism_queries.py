@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from ..config import ITEM_PATTERN, MISREADINGS, SHANGHAI_PM
 from ..functions.display import display_items, display_text
 from ..operators.ocr import structure
-from ..operators.ordinal import with_ordinal, with_position
+from ..operators.ordinal import with_next, with_ordinal, with_position
 from ..operators.score import hard_filters as score_hard_filters
 from ..operators.score import score
 from ..operators.seen import SeenKeys
 from ..operators.validate import observed
 from ..schema import DIMENSIONS, EVALUATION, INDEXED, conform
-from ..session import scratch_folder
+from ..session import scratch_folder, stored
 from ..sources import discovery, paging
 from ..sources.versions import Versions
 from ..streaming import history, keyed_history
@@ -96,11 +96,11 @@ def keyed_stream_history(spark, d):
 def discovery_rounds(spark, d):
     """From the part of the first line on: parts that stand in an order next after a part that was found, in up to 8 rounds."""
     li = _t(spark, d, "lineitem")
-    steps = with_position(li.select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], ["l_linenumber", "l_partkey"], name="n", unique=True)
-    after = steps.select(F.col("l_orderkey").alias("o"), (F.col("n") - 1).alias("m"), F.col("l_partkey").cast("string").alias("part"))
-    edges = steps.join(after, (F.col("l_orderkey") == F.col("o")) & (F.col("n") == F.col("m"))).select(F.col("l_partkey").cast("string").alias("source"), "part").distinct()
+    steps = with_next(li.select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], ["l_linenumber", "l_partkey"], ["l_partkey"], unique=True)
+    edges = stored(steps.where(F.col("next_l_partkey").isNotNull()).select(F.col("l_partkey").alias("source"), F.col("next_l_partkey").alias("target")), "discovery-edges")  # every round reads them
     start = li.agg(F.min_by("l_partkey", F.struct("l_orderkey", "l_linenumber", "l_partkey")).cast("string").alias("part"))
-    got, _ = discovery.rounds(start, lambda delta, n: delta.join(edges, delta["part"] == edges["source"]).select(edges["part"]), _folder(spark, "discovery"), key="part", max_rounds=8)
+    search = lambda delta, n: delta.select(F.col("part").cast(li.schema["l_partkey"].dataType).alias("at")).join(edges, F.col("at") == F.col("source")).select("target").distinct().select(F.col("target").cast("string").alias("part"))
+    got, _ = discovery.rounds(start, search, _folder(spark, "discovery"), key="part", max_rounds=8)
     return got.select("part", F.col("round").cast("long").alias("round"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import keep_first
 from ..operators.seen import SeenKeys
+from ..session import stored
 from .sinks import _fs
 
 Search = Callable[[DataFrame, int], DataFrame]
@@ -38,9 +39,9 @@ def rounds(start: DataFrame, search: Search, root: str, *, key: str, order: tupl
     seen = SeenKeys(spark, f"{root}/seen", buckets=buckets)
 
     def take(rows: DataFrame, n: int) -> int:
-        """Write a round's new rows; a round is whole once they are written, and its keys follow."""
-        rows = keep_first(rows.where(F.col(key).isNotNull()), key, order or (key,))
-        seen.split(rows.select(*start.columns), key)[0].write.mode("overwrite").parquet(f"{root}/round={n}")
+        """Write a round's new rows; a round is whole once they are written, and its keys follow. The search runs once."""
+        rows = stored(keep_first(rows.where(F.col(key).isNotNull()), key, order or (key,)).select(*start.columns), "discovery-found")
+        seen.split(rows, key)[0].write.mode("overwrite").parquet(f"{root}/round={n}")
         fresh = spark.read.schema(start.schema).parquet(f"{root}/round={n}")
         size = fresh.count()
         if size:

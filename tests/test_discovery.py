@@ -68,3 +68,17 @@ def test_rounds_are_a_breadth_first_search(spark, tmp_path):
     assert {r["url"]: r["round"] for r in rest.collect()} == depth
     none, taken = discovery.rounds(start.limit(0), search, f"file://{tmp_path}/c", key="url")
     assert none.count() == 0 and taken == 0
+
+
+def test_a_round_searches_once(spark, tmp_path):
+    """The search of a round, its dearest step, runs over its rows once."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def ask(batches):
+        for batch in batches:
+            asked.add(batch.num_rows)
+            yield batch
+
+    start = spark.createDataFrame([("a",)], "url string")
+    got, _ = discovery.rounds(start, lambda delta, n: delta.mapInArrow(ask, "url string").select(F.concat("url", F.lit("a")).alias("url")), f"file://{tmp_path}/once", key="url", max_rounds=3)
+    assert got.count() == 4 and asked.value == 3

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators.ordinal import with_ordinal, with_position
+from lodestrata.operators.ordinal import with_next, with_ordinal, with_position
 
 
 def test_positions_follow_the_order_over_many_parts(spark):
@@ -43,3 +43,12 @@ def test_empty_tables_and_taken_names(spark):
     assert with_ordinal(spark.range(0)).count() == 0 and with_position(spark.range(0), ["id"], ["id"]).columns == ["id", "position"]
     with pytest.raises(ValueError):
         with_ordinal(spark.range(1), name="ID")
+
+
+def test_the_next_row_of_a_group_over_blocks(spark):
+    """Groups that span blocks, null groups and null values; a block's first row stands in two blocks and comes out once."""
+    rows = spark.createDataFrame([("hot", i) for i in range(500)] + [("b", 2), ("b", None), (None, 1), (None, 3), ("c", 7)], "g string, v long").repartition(4)
+    want = rows.withColumn("next_v", F.lead("v").over(Window.partitionBy("g").orderBy("v")))
+    for block in (1, 7, 1 << 16):
+        got = with_next(rows, ["g"], ["v"], ["v"], unique=True, block=block)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
