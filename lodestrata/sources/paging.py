@@ -79,7 +79,7 @@ def replay(query: str, page: int, attempt: int, options: dict) -> tuple[int, str
         files.create_dir(log, recursive=True)
         with files.open_output_stream(f"{log}/{hashlib.md5(query.encode()).hexdigest()}-{page}-{attempt}-{uuid.uuid4().hex}"):
             pass
-    fails, body = _recorded(options["replay"], _bucket(query, int(options.get("replay_buckets", REPLAY_BUCKETS)))).get((query, page), ([], None))
+    fails, body = _recorded(options["replay"], _bucket(query, int(options.get("replay_buckets", REPLAY_BUCKETS))), query, page) or ([], None)
     if attempt <= len(fails):
         if fails[attempt - 1] < 0:
             raise ConnectionError("no answer")
@@ -94,25 +94,68 @@ def _bucket(query: str, buckets: int) -> int:
     return zlib.crc32(query.encode()) % buckets
 
 
-@lru_cache(maxsize=32)
-def _recorded(root: str, bucket: int) -> dict[tuple[str, int], tuple[list[int], str]]:
+#: Bytes of a row group of recorded answers; a worker holds the answers of GROUPS_HELD of them and no more.
+GROUP_BYTES = 1 << 20
+GROUPS_HELD = 2
+
+
+@lru_cache(maxsize=64)
+def _groups(root: str, bucket: int) -> list[tuple[str, int, tuple | None, tuple | None]]:
+    """Of a bucket's row groups: file, number, and the least and the greatest query and page, None where that is not known."""
     import pyarrow.parquet as pq
 
     from pyarrow import fs
 
     files, path = _files(f"{root}/bucket={bucket}")
-    if files.get_file_info(path).type == fs.FileType.NotFound:
-        return {}
-    rows = pq.ParquetDataset(path, filesystem=files, partitioning=None).read(["query", "page", "fails", "body"]).to_pylist()
+    found = []
+    for file in files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if not file.base_name.endswith(".parquet"):
+            continue
+        with files.open_input_file(file.path) as source:
+            meta = pq.ParquetFile(source).metadata
+        for n in range(meta.num_row_groups):
+            group = meta.row_group(n)
+            ranges = {c.path_in_schema: c.statistics for c in map(group.column, range(group.num_columns)) if c.path_in_schema in ("query", "page")}
+            known = [s if s is not None and s.has_min_max else None for s in (ranges.get("query"), ranges.get("page"))]
+            found.append((file.path, n, *(s and (s.min, s.max) for s in known)))
+    return found
+
+
+@lru_cache(maxsize=GROUPS_HELD)
+def _group(root: str, file: str, n: int) -> dict[tuple[str, int], tuple[list[int], str]]:
+    import pyarrow.parquet as pq
+
+    files, _ = _files(root)
+    with files.open_input_file(file) as source:
+        rows = pq.ParquetFile(source).read_row_group(n, ["query", "page", "fails", "body"]).to_pylist()
     return {(r["query"], r["page"]): (r["fails"] or [], r["body"]) for r in rows}
 
 
+def _recorded(root: str, bucket: int, query: str, page: int) -> tuple[list[int], str] | None:
+    within = lambda value, ends: ends is None or ends[0] <= value <= ends[1]
+    for file, n, queries, pages in _groups(root, bucket):
+        if within(query, queries) and within(page, pages):
+            got = _group(root, file, n).get((query, page))
+            if got is not None:
+                return got
+    return None
+
+
 def record(pages: DataFrame, root: str, buckets: int = REPLAY_BUCKETS) -> None:
-    """Write answers (query, page, fails array<int>, body) for ``replay``, dealt by query."""
+    """Write answers (query, page, fails array<int>, body) for ``replay``, dealt by query, by page and query in small row groups."""
     bucket = F.crc32("query") % buckets
-    pages.select("query", F.col("page").cast("long").alias("page"), F.col("fails").cast("array<int>").alias("fails"), "body", bucket.alias("bucket")).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(root)
+    rows = pages.select("query", F.col("page").cast("long").alias("page"), F.col("fails").cast("array<int>").alias("fails"), "body", bucket.alias("bucket")).repartition(buckets, "bucket")
+    small = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "10", "parquet.block.size.row.check.min": "10"}
+    rows.sortWithinPartitions("bucket", "page", "query").write.options(**small).partitionBy("bucket").parquet(root)
+
+
+def _replay_place(query: str, options: dict) -> tuple[int, str]:
+    """Recorded answers lie by bucket and query; asked in that order, each row group is read once."""
+    return _bucket(query, int(options.get("replay_buckets", REPLAY_BUCKETS))), query
 
 
+#: The order in which a transport would be asked for the queries of a page; none for the plan's.
+PLACES = {"replay": _replay_place}
 TRANSPORTS = {"rest": rest, "replay": replay}
 
 
@@ -158,7 +201,7 @@ class _Collection:
     """The plan, its limits, and the files of pages that have been fetched."""
 
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = {k: v for k, v in dict(options).items() if k != "plan"}
         self.plan = json.loads(options.get("plan", "[]"))
         self.pages, self.count = int(options.get("pages", 3)), int(options.get("count", 20))
         self.options["count"] = str(self.count)
@@ -190,18 +233,28 @@ class _Collection:
                 return page + 1
         return self.pages
 
-    def deal(self, queries: list[int]) -> list[list[int]]:
-        width = max(1, min(len(queries), int(self.options.get("concurrency", 8))))
-        return [part for k in range(width) if (part := queries[k::width])]
+    def __getstate__(self) -> dict:
+        """Tasks get their queries by their partition, and so no copy of the plan."""
+        return {**self.__dict__, "plan": []}
 
-    def page(self, i: int, page: int, fetched: dict[int, bool], pause: Callable[[], None]) -> dict:
+    def deal(self, queries: list[int]) -> list[list[tuple[int, dict]]]:
+        """Place in the plan and entry of the queries of each partition, in the order in which the transport would be asked."""
+        width = max(1, min(len(queries), int(self.options.get("concurrency", 8))))
+        place = PLACES.get(self.options.get("transport", "rest"))
+        if place:
+            queries = sorted(queries, key=lambda i: place(self.plan[i]["query"], self.options))
+        cuts = [len(queries) * k // width for k in range(width + 1)]
+        parts = [queries[a:b] for a, b in zip(cuts, cuts[1:])] if place else [queries[k::width] for k in range(width)]
+        return [[(i, self.plan[i]) for i in part] for part in parts if part]
+
+    def page(self, i: int, asked: dict, page: int, fetched: dict[int, bool], pause: Callable[[], None]) -> dict:
         """The page from its file, or fetched and then kept there."""
         files, folder = _files(f"{self.root}/page={page:06d}")
         if i in fetched:
             with files.open_input_stream(f"{folder}/{i:09d}-{'more' if fetched[i] else 'last'}.json") as f:
                 return json.loads(f.read())
         pause()
-        got = {**self.plan[i], "page": page, **fetch(self.plan[i]["query"], page, self.options)}
+        got = {**asked, "page": page, **fetch(asked["query"], page, self.options)}
         more = got["moreResultsAvailable"] and len(got["results"]) >= self.count
         files.create_dir(folder, recursive=True)
         name = f"{folder}/{i:09d}-{'more' if more else 'last'}.json"
@@ -264,8 +317,8 @@ class _Pages(DataSourceStreamReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         page, queries = partition.value
         fetched, pause = self.collection.fetched(page), _pacer(float(self.collection.options.get("delay_ms", 0)))
-        for i in queries:
-            yield _row(self.collection.page(i, page, fetched, pause))
+        for i, asked in queries:
+            yield _row(self.collection.page(i, asked, page, fetched, pause))
 
 
 class _Queries(DataSourceReader):
@@ -281,9 +334,9 @@ class _Queries(DataSourceReader):
             if not left:
                 return
             fetched = self.collection.fetched(page)
-            for i in left:
-                yield _row(self.collection.page(i, page, fetched, pause))
-            left = [i for i in left if fetched[i]]
+            for i, asked in left:
+                yield _row(self.collection.page(i, asked, page, fetched, pause))
+            left = [(i, asked) for i, asked in left if fetched[i]]
 
 
 def _with_options(reader, plan: list[dict], state: str, options: dict):

@@ -119,6 +119,24 @@ def test_restart_between_pages_fetches_no_page_twice(spark, tmp_path):
     assert sum(Counter(tuple(f.split("-")[:2]) for f in os.listdir(tmp_path / "log")).values()) == len(WANT) + 1
 
 
+def test_a_replay_holds_a_few_row_groups(spark, tmp_path, monkeypatch):
+    """Every answer is found, asked in any order, and what a worker holds is bounded however much is recorded."""
+    rows = spark.range(3000).select(F.concat(F.lit("q"), (F.col("id") % 600).cast("string")).alias("query"), F.floor(F.col("id") / 600).alias("page"), F.array().cast("array<int>").alias("fails"), F.concat("id", F.expr("sha2(string(id), 512) || repeat(sha2(string(id + 1), 512), 3)")).alias("body"))
+    monkeypatch.setattr(paging, "GROUP_BYTES", 20_000)
+    root = f"file://{tmp_path}/many"
+    paging.record(rows, root, 2)
+    opts = {"replay": root, "replay_buckets": "2"}
+    want = {(r["query"], r["page"]): r["body"] for r in rows.collect()}
+    assert all(paging.replay(*key, 1, opts) == (200, body) for key, body in sorted(want.items())[::17])
+    assert paging.replay("q1", 9, 1, opts)[0] == paging.replay("zz", 0, 1, opts)[0] == 404
+    groups = [g for b in (0, 1) for g in paging._groups(root, b)]
+    assert len(groups) > 20 and paging._group.cache_info().currsize <= paging.GROUPS_HELD
+    paging._group.cache_clear()
+    for q in sorted({q for q, _ in want}, key=lambda q: paging._replay_place(q, opts)):
+        paging.replay(q, 1, 1, opts)
+    assert paging._group.cache_info().misses < len(groups)  # of a page each group is read once
+
+
 def test_requests_keep_their_distance():
     clock, waits = [0.0], []
     pause = paging._pacer(1100, lambda: clock[0], waits.append)
