@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SHANGHAI_PM
-from ..functions.text import clean_lines, facts, infer_directions, list_items, merge_pages, normalize_text, normalize_title, recruiter_type, sections
+from ..functions.text import clean_lines, fact_evidence, facts_of, infer_directions, list_items, merge_pages, normalize_text, normalize_title, recruiter_type, sections
 from ..functions.url import canonical_url, site_key, url_job_id, url_kind
 from ..functions.values import present
 from ..operators.dedupe import keep_first, ordered_list
@@ -65,8 +65,9 @@ def title_strip(spark, d):
 
 def fact_extract(spark, d):
     title = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("职位 "), F.col("doc_id") % 50, F.lit("-60k·14薪")))
-    found = facts(title, F.col("text"), PROSE)
-    return _t(spark, d, "documents").select("doc_id", F.md5(found["evidence"]).alias("evidence_md5"), *(found[c].alias(c) for c in ("salary", "experience", "education", "district")), F.array_join(found["tags"], ",").alias("tags"))
+    found = facts_of(F.col("evidence"), PROSE)
+    rows = computed(_t(spark, d, "documents"), evidence=fact_evidence(title, F.col("text")))
+    return rows.select("doc_id", F.md5("evidence").alias("evidence_md5"), *(found[c].alias(c) for c in ("salary", "experience", "education", "district")), F.array_join(found["tags"], ",").alias("tags"))
 
 
 def q_clean_lines(spark, d):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.functions.values import contains_any
 from lodestrata.functions import url as U
 
 
@@ -75,6 +76,30 @@ def test_sections(spark):
     assert tuple(one(spark, "没有标题", duties, needs)) == (None, None)
 
 
+def test_white_space_as_the_patterns_have_it(spark):
+    """Runs and ends against the patterns; no pattern looks for an end, as that takes a try at every run."""
+    blanks = [chr(c) for c in (*range(9, 14), 0x1C, 0x1F, 32, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    texts = ["", " ", "a", "a b", *(f"{x}a{x}b {x}c{x} d{x}{x}e{x}" for x in blanks), "".join(blanks), None]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    ends = lambda c: F.regexp_replace(c, f"^{T.WS}+|{T.WS}+$", "")
+    got = rows.select("x", T.strip(F.col("x")).alias("a"), T.squeeze(F.col("x")).alias("b"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.select("x", ends(F.col("x")).alias("a"), ends(F.regexp_replace("x", f"{T.WS}+", " ")).alias("b")).collect()))
+    assert "+$" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facts_read_evidence_that_is_made_once(spark, tmp_path):
+    from lodestrata.plans.text_queries import fact_extract
+
+    spark.createDataFrame([(4, "a &lt;b> <i>x</i>")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = fact_extract(spark, str(tmp_path))
+    assert out.count() == 1 and out._jdf.queryExecution().optimizedPlan().toString().count("<[^>]*>") == 1
+
+
+def test_words_by_their_first_character(spark):
+    c = contains_any(F.col("x"), ("]x", "^", "-a", "的"))
+    assert [one(spark, t, c)[0] for t in ("a]x", "]", "^", "-", "b-a", "x的", "")] == [True, False, True, False, True, True, False]
+
+
 def test_card_hint(spark):
     h = T.card_hint(F.col("x"))
     row = one(spark, "用户产品经理 20-35K 3-5年 本科 C端产品 某某科技 上海 浦东新区 张江", *(h[k] for k in ("title", "company", "experience", "education", "district")))
