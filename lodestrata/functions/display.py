@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..config import CONTACT_PATTERN, ITEM_PATTERN, MISREADINGS, NO_TEXT, NOT_KNOWN, SHANGHAI_PM, VERIFICATION_LABELS, Profile
 from .text import squeeze, strip
-from .values import is_unknown, known, let, no_strings
+from .values import any_word, is_unknown, known, let, no_strings
 
 HAN = r"[\x{4e00}-\x{9fff}]"
 
 
 def _any(words: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(map(re.escape, words)) + ")"
+    return any_word(words)
 
 
 def _place(text: Column, pattern: str) -> Column:
@@ -29,11 +29,20 @@ def _from(text: Column, place: Column) -> Column:
 
 def repaired(text: Column) -> Column:
     """One line without spaces between ideographs or inside brackets, and with the usual misreadings put right."""
-    out = squeeze(text)
-    for _ in range(3):
-        out = F.regexp_replace(out, f"({HAN})\\s+({HAN})", "$1$2")
+
+    def joined(line: Column) -> Column:
+        out = line
+        for _ in range(3):
+            out = F.regexp_replace(out, f"({HAN})\\s+({HAN})", "$1$2")
+        return F.when(line.rlike(f"{HAN}\\s"), out).otherwise(line)
+
+    out = let(squeeze(text), joined)
     for pattern, right in MISREADINGS:
-        out = F.regexp_replace(out, pattern, right)
+        word = re.fullmatch(r"\(\?<!\\w\)(\w+)\(\?!\\w\)", pattern)
+        if word:  # rare words: the text is looked through for them alone first
+            out = let(out, lambda t: F.when(t.contains(word[1]), F.regexp_replace(t, pattern, right)).otherwise(t))
+        else:
+            out = F.regexp_replace(out, pattern, right)
     return out
 
 
