@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import SHANGHAI_PM
+from .values import let
 
 _PARTS = r"^[\s]*(?i:https?|wss?|ftp)://([^/?#@]*@)?([^/?#:@]+)(:\d*)?([^?#]*)"
 
@@ -65,6 +66,6 @@ def url_job_id(canonical: Column) -> Column:
 
 
 def detail_url(url: Column, host: str = SHANGHAI_PM.host) -> Column:
-    """The canonical URL if it is a detail page's."""
-    canonical = canonical_url(url, host)
-    return F.when(url_kind(canonical) == "job_detail", canonical)
+    """The canonical URL if it is a detail page's. One that is canonical already is told by a single pattern."""
+    already = url.rlike(rf"^https://www\.{re.escape(host)}/job_detail/[\x21-\x7e&&[^\"#/<>?`{{}}]]+\.html\z")
+    return F.when(already, url).otherwise(let(canonical_url(url, host), lambda c: F.when(url_kind(c) == "job_detail", c)))

@@ -86,6 +86,14 @@ ALIASES = {
 }
 
 
+#: Scalars that are the sentinel and lists that are empty where no column gives them.
+SENTINELS = (
+    "title", "company", "city", "district", "office_location", "salary", "workExperience", "education", "company_size", "financing_stage",
+    "industry", "recruiter_type", "description", "job_description_raw", "responsibilities", "requirements", "capture_status",
+)
+LISTS = ("tags", "directions", "missing_information", "review_reasons", "hard_filter_reasons")
+
+
 def to_contract(records: DataFrame, pipeline: str = "public_index", profile: Profile = SHANGHAI_PM, sentinel: bool = True) -> tuple[DataFrame, DataFrame]:
     """Contract records, and the rows whose URL is no detail page.
 
@@ -100,11 +108,8 @@ def to_contract(records: DataFrame, pipeline: str = "public_index", profile: Pro
     status = pick("verification_status").cast("string")
     public = (way == "public_index") | F.coalesce(status == "unverified_index_snapshot", F.lit(False))
     scalar = or_unknown if sentinel else known
-    columns = {c: scalar(pick(c).cast("string")) for c in (
-        "title", "company", "city", "district", "office_location", "salary", "workExperience", "education", "company_size", "financing_stage",
-        "industry", "recruiter_type", "description", "job_description_raw", "responsibilities", "requirements", "capture_status",
-    )}
-    columns |= {c: strings(pick(c).cast("array<string>")) for c in ("tags", "directions", "missing_information", "review_reasons", "hard_filter_reasons")}
+    columns = {c: scalar(pick(c).cast("string")) for c in SENTINELS}
+    columns |= {c: strings(pick(c).cast("array<string>")) for c in LISTS}
     columns |= {
         "id": url_job_id(F.col("__url")), "url": F.col("__url"), "pipeline": F.when(public, "public_index").otherwise(way),
         "verification_status": F.when(public, "unverified_index_snapshot").otherwise(F.coalesce(status, F.lit("needs_review"))),
