@@ -12,6 +12,7 @@ nothing; a key's rows of one batch are held together, its history is not.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -41,32 +42,31 @@ def _union(old: list | None, new: list | None) -> list:
     return list(dict.fromkeys(x for x in [*(old or []), *(new or [])] if x is not None and x != ""))
 
 
-def fold(record: dict | None, rows: list[Row], kinds: T.StructType) -> tuple[dict, list]:
-    """The record after a batch's rows of its key, in their order, and the evidence that they bring."""
+def fold(record: dict | None, rows: list[dict], kinds: T.StructType) -> tuple[dict, list]:
+    """The record after a batch's rows of its key, in their order, and the evidence that they bring. A row has its known fields alone."""
     old, evidence = record, []
     record = dict(record or {})
+    for f in kinds:
+        name = f.name
+        given = [row[name] for row in rows if name in row]
+        if isinstance(f.dataType, T.ArrayType):
+            record[name] = _union(record.get(name), [x for value in given for x in value])
+        elif isinstance(f.dataType, T.MapType):
+            record[name] = dict(record.get(name) or ())  # maps come as pairs
+            for value in given:
+                record[name] |= {k: v for k, v in value.items() if v is not None or k not in record[name]}
+        elif name == "last_seen_at":
+            record[name] = rows[-1].get(name)
+        elif name == "first_seen_at":
+            record[name] = next(filter(_known, [record.get(name), *given]), None)
+        elif name not in ("job_id", "seen_count") and given:
+            known = [*filter(_known, given)] if isinstance(f.dataType, T.StringType) else given
+            record[name] = known[-1] if known else record.get(name)
     for row in rows:
-        for f in kinds:
-            name, value = f.name, row[f.name]
-            if name in ("job_id", "seen_count"):
-                continue
-            if name == "last_seen_at":
-                record[name] = value
-            elif name == "first_seen_at":
-                record[name] = record.get(name) if _known(record.get(name)) else value if _known(value) else None
-            elif isinstance(f.dataType, T.ArrayType):
-                record[name] = _union(record.get(name), value)
-            elif isinstance(f.dataType, T.MapType):
-                before = dict(record.get(name) or ())  # maps come as pairs
-                record[name] = before | {k: v for k, v in dict(value or ()).items() if v is not None or k not in before}
-            elif isinstance(f.dataType, T.StringType):
-                record[name] = value if _known(value) else record.get(name)
-            else:
-                record[name] = value if value is not None else record.get(name)
-        evidence += row["index_evidence_all"] if row["index_evidence_all"] is not None else [row["index_evidence"]] if row["index_evidence"] is not None else []
+        evidence += row["index_evidence_all"] if "index_evidence_all" in row else [row["index_evidence"]] if "index_evidence" in row else []
     if old is None:
-        counts = [r["seen_count"] for r in rows if r["seen_count"] is not None]
-        record["job_id"], seen = rows[0]["job_id"], min(counts) - 1 if counts else 0
+        counts = [r["seen_count"] for r in rows if "seen_count" in r]
+        record["job_id"], seen = rows[0].get("job_id"), min(counts) - 1 if counts else 0
     else:
         seen = old["seen_count"] if old["seen_count"] is not None else 1
     record["seen_count"] = seen + len(rows)
@@ -87,7 +87,12 @@ class _Merge(StatefulProcessor):
         old = dict(zip(self.state.names, self.record.get())) if self.record.exists() else None
         if old and old["index_evidence"] is not None:  # from the store structs come as tuples
             old["index_evidence"] = dict(zip(self.entry["evidence"].dataType.names, old["index_evidence"]))
-        record, new = fold(old, sorted(rows, key=lambda r: (r["ord"] is not None, r["ord"])), self.kinds)
+        listed = sorted(rows, key=lambda r: (r["ord"] is not None, r["ord"]))
+        record, new = fold(old, [json.loads(r["given"]) for r in listed], self.kinds)
+        entry = self.entry["evidence"].dataType.names  # JSON leaves out what is null
+        new = [None if x is None else {n: x.get(n) for n in entry} for x in new]
+        if isinstance(record.get("index_evidence"), dict):
+            record["index_evidence"] = {n: record["index_evidence"].get(n) for n in entry}
         before = old["evidence_count"] if old else 0
         record["evidence_count"] = before + len(new)
         values = {n: record.get(n) for n in self.state.names}
@@ -103,11 +108,14 @@ class _Merge(StatefulProcessor):
 def merged(stream: DataFrame) -> DataFrame:
     """A stream of records: each key's merged record whenever a batch brings the key, with the evidence that is new.
 
-    ``ord`` is the order in a batch.
+    ``ord`` is the order in a batch. A row goes to Python as the JSON of its fields that are not null, as every column of a
+    row costs there, most are null as a rule, and a batch brings many rows.
     """
     if "ord" not in stream.columns:
         stream = stream.withColumn("ord", F.lit(0).cast("long"))
-    rows = conform(stream, INDEXED).withColumn(KEY, F.coalesce(F.nullif("job_id", F.lit("")), "job_url", F.lit("")))
+    key = F.coalesce(F.nullif("job_id", F.lit("")), "job_url", F.lit(""))
+    given = F.to_json(F.struct(*fields(INDEXED).names), {"ignoreNullFields": "true"})
+    rows = conform(stream, INDEXED).select(key.alias(KEY), "ord", given.alias("given"))
     list_of = fields(f"new_evidence array<{INDEX_EVIDENCE}>")
     step = _Merge(_record(), list_of[0].dataType.elementType)
     return rows.groupBy(KEY).transformWithState(step, T.StructType([*step.state, *list_of]), "update", "none")
