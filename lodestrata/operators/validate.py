@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import ARRAYS, COMPLETE_CAPTURES, HIGH, IMPORT_LISTS, IMPORT_OPTIONAL, IMPORT_OPTIONAL_LISTS, IMPORT_TEXTS, INSUFFICIENT, PIPELINES, RECOMMENDATIONS, REJECT, SCALARS, SHANGHAI_PM, TOP, UNKNOWN, VERIFICATIONS, Profile
 from ..functions.url import detail_url, url_job_id
-from ..functions.values import is_unknown, whole_json
+from ..functions.values import is_unknown, let, whole_json
 from ..schema import RECORD, conform
+from ..session import stored
+from .score import computed
 
 
 class ContractError(ValueError):
@@ -122,15 +124,22 @@ def first_violation(records: DataFrame, rules: tuple[str, ...], profile: Profile
 
 def _kind(value: Column) -> Column:
     """The kind of a variant as JSON has it: string, number, array, object, boolean, null; NULL where it is absent."""
-    name = F.schema_of_variant(value)
-    number = name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL")
-    return F.when(name == "STRING", "string").when(number, "number").when(name == "VOID", "null").when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object").otherwise(F.lower(name))
+
+    def told(name: Column) -> Column:
+        number = name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL")
+        return F.when(name == "STRING", "string").when(number, "number").when(name == "VOID", "null").when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object").otherwise(F.lower(name))
+
+    return let(F.schema_of_variant(value), told)
+
+
+def _members(value: Column) -> Column:
+    """An object's fields as variants by name; NULL for what is no object."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def _import_types() -> list[tuple[str, Column]]:
-    """Rules on the types of an imported record ``job``, a variant: nothing is coerced."""
-    field = lambda f: F.try_variant_get("job", f"$.{f}", "variant")
-    kind = lambda f: _kind(field(f))
+    """Rules on the types of an imported record ``job``, a variant, whose fields' kinds are the map ``kinds``: nothing is coerced."""
+    kind = lambda f: F.try_element_at("kinds", F.lit(f))
     text = lambda f: F.try_variant_get("job", f"$.{f}", "string")
     items = lambda f: F.try_variant_get("job", f"$.{f}", "array<variant>")
     number = lambda f: F.when(kind(f) == "number", F.try_variant_get("job", f"$.{f}", "double"))
@@ -140,7 +149,7 @@ def _import_types() -> list[tuple[str, Column]]:
     evidence, parts = items("evidence_source"), items("score_components")
     untyped = lambda x: (_kind(x) != "object") | F.coalesce(_kind(F.try_variant_get(x, "$.type", "variant")) != "string", F.lit(True)) | (F.trim(F.try_variant_get(x, "$.type", "string")) == "")
     return [
-        ("job: not an object", _kind(F.col("job")) != "object"),
+        ("job: not an object", F.col("job").isNotNull() & F.col("kinds").isNull()),
         *((f"{f}: not a text", other(f, "string") | (F.trim(text(f)) == "")) for f in IMPORT_TEXTS),
         *((f"{f}: not a text", there(f) & other(f, "string")) for f in IMPORT_OPTIONAL),
         ("score: not a number or null", other("score", "number", "null")),
@@ -160,17 +169,18 @@ def import_payload(texts: DataFrame, column: str = "value", profile: Profile = S
     Types are checked before anything is read as a record, so a number is no id and a single text no list; then the
     rules that imports must keep. A document is an object with a list ``jobs``.
     """
-    parsed = texts.select(whole_json(F.col(column)).alias("doc"))
+    parsed = stored(texts.select(whole_json(F.col(column)).alias("doc")), "import-documents")  # three passes read it
     listed = F.try_variant_get("doc", "$.jobs", "array<variant>")
     meta = _kind(F.try_variant_get("doc", "$.metadata", "variant"))
-    if not parsed.where(F.col("doc").isNull() | ~F.coalesce(_kind(F.try_variant_get("doc", "$.jobs", "variant")) == "array", F.lit(False)) | (meta.isNotNull() & (meta != "object"))).isEmpty():
+    if not parsed.where(F.col("doc").isNull() | listed.isNull() | (meta.isNotNull() & (meta != "object"))).isEmpty():
         raise ContractError("a document is an object with a list of jobs and, maybe, an object of metadata")
     jobs = parsed.select(F.posexplode(listed).alias("place", "job"))
+    kinds = computed(jobs, kinds=F.transform_values(_members(F.col("job")), lambda _, x: _kind(x)))
     broken = F.array_compact(F.array(*(F.when(F.coalesce(cond, F.lit(False)), F.lit(rule)) for rule, cond in _import_types())))
-    fault = jobs.select("place", F.try_element_at(broken, F.lit(1)).alias("rule")).where("rule IS NOT NULL").orderBy("place").first()
+    fault = kinds.select("place", F.try_element_at(broken, F.lit(1)).alias("rule")).where("rule IS NOT NULL").orderBy("place").first()
     if fault:
         raise ContractError(f"jobs[{fault['place']}]: {fault['rule']}")
-    records = conform(jobs.select(F.from_json(F.to_json("job"), RECORD).alias("r")).select("r.*"), RECORD)
+    records = stored(conform(jobs.select(F.from_json(F.to_json("job"), RECORD).alias("r")).select("r.*"), RECORD), "import-records")
     found = first_violation(records, IMPORT_RULES, profile)
     if found:
         raise ContractError(found)
